@@ -37,27 +37,28 @@ U64 = np.uint64
 # ---- sample -----------------------------------------------------------------------------------------
 
 
+_BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(n: int) -> np.ndarray:
-    have = _powers.get(0)
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers 0 .. n - 1 of base, modulo 2**64."""
+    have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 18), 0x9E3779B97F4A7C15, U64)
+        have = np.full(max(n, 1 << 18), base, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[0] = have
+        _powers[base] = have
     return have[:n]
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     """64-bit hashes of all strings of gram bytes: a rolling polynomial, mixed."""
     n = len(raw)
-    power = _power(n + 1)
     total = np.empty(n + 1, U64)
     total[0] = 0
-    np.cumsum((raw.astype(U64) + U64(1)) * power[:n], out=total[1:])
-    h = (total[gram:] - total[: n + 1 - gram]) * power[: n + 1 - gram][::-1]
+    np.cumsum((raw.astype(U64) + U64(1)) * _power(_BASE, n), out=total[1:])
+    h = (total[gram:] - total[: n + 1 - gram]) * _power(pow(_BASE, -1, 1 << 64), n + 1 - gram)
     h ^= h >> U64(32)
     h *= U64(0xD6E8FEB86659FD93)
     h ^= h >> U64(32)
