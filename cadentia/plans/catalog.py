@@ -1,11 +1,561 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables and the SQL that checks them.
+
+The tables stand in for a library: orders are tracks and their lines carry the features, users are pieces and their
+events are the points of a trajectory, embeddings are feature vectors and their labels are clusters.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .. import rules
+from ..operators import labels, library, phases, sections
 
 FLAGSHIP = "mood_score_tracks"
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# ---- relations that stand in for a library: sums of integers, so that every engine gets the same doubles ------------
+
+
+def tracks(spark: SparkSession, sf: str, key: str = "l_orderkey") -> DataFrame:
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    n = F.count("*").cast("double")
+    total = lambda c: F.sum(cents(c)).cast("double")
+    return _t(spark, sf, "lineitem").groupBy(key).agg(
+        (total("l_discount") / (100 * n)).alias("energy"),
+        (total("l_extendedprice") / (2000 * n)).alias("brightness"),
+        (total("l_tax") / (50 * n)).alias("roughness"),
+        (total("l_quantity") / (1000 * n)).alias("onset"),
+        (n * 20).alias("duration"),
+        ((F.max(cents("l_extendedprice")) - F.min(cents("l_extendedprice"))).cast("double") / 3000).alias("bandwidth"),
+        (total("l_extendedprice") / (1000 * n)).alias("rolloff"),
+        (total("l_tax") / (100 * n)).alias("zcr"),
+        (40 + total("l_quantity") / (25 * n)).alias("tempo"),
+        (total("l_discount") / (8 * n)).alias("key_confidence"),
+        F.min("l_linenumber").cast("long").alias("first_line"),
+    ).select(F.concat(F.lit("t"), F.col(key).cast("string")).alias("filename"), F.col(key).alias("id"), "*").drop(key)
+
+
+def _tracks_sql(key: str = "l_orderkey") -> str:
+    total = lambda c: f"CAST(sum(CAST(round({c} * 100) AS BIGINT)) AS DOUBLE)"
+    n = "CAST(count(*) AS DOUBLE)"
+    return f"""tracks AS (SELECT 't' || CAST({key} AS VARCHAR) AS filename, {key} AS id, {total("l_discount")} / (100 * {n}) AS energy,
+      {total("l_extendedprice")} / (2000 * {n}) AS brightness, {total("l_tax")} / (50 * {n}) AS roughness, {total("l_quantity")} / (1000 * {n}) AS onset,
+      {n} * 20 AS duration, CAST(max(CAST(round(l_extendedprice * 100) AS BIGINT)) - min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 3000 AS bandwidth,
+      {total("l_extendedprice")} / (1000 * {n}) AS rolloff, {total("l_tax")} / (100 * {n}) AS zcr, 40 + {total("l_quantity")} / (25 * {n}) AS tempo,
+      {total("l_discount")} / (8 * {n}) AS key_confidence, CAST(min(l_linenumber) AS BIGINT) AS first_line FROM lineitem GROUP BY {key})"""
+
+
+TRACKS = _tracks_sql()
+
+
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """Trajectory points: 2 seconds apart, in the order of a user's events."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    kinds = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    return _t(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("filename"),
+        (F.row_number().over(w) - 1).cast("long").alias("rn"),
+        ((F.row_number().over(w) - 1) * 2.0).alias("time"),
+        F.col("value").alias("energy"),
+        F.get_json_object("props", "$.k").cast("double").alias("brightness"),
+        F.coalesce(F.abs(F.col("value") - F.lag("value").over(w)), F.lit(0.0)).alias("roughness"),
+        F.when(F.col("event_type") == "error", 1.0).otherwise(0.0).alias("zcr"),
+        ((F.array_position(kinds, F.col("event_type")) - 1) / 4.0).alias("chroma_spread"),
+    )
+
+
+POINTS = """points AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS filename, row_number() OVER w - 1 AS rn, CAST((row_number() OVER w - 1) * 2 AS DOUBLE) AS time,
+  value AS energy, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS brightness, coalesce(abs(value - lag(value) OVER w), 0) AS roughness,
+  CASE WHEN event_type = 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS zcr,
+  CASE event_type WHEN 'click' THEN 0.0::DOUBLE WHEN 'error' THEN 0.25::DOUBLE WHEN 'purchase' THEN 0.5::DOUBLE WHEN 'signup' THEN 0.75::DOUBLE ELSE 1.0::DOUBLE END AS chroma_spread
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"""
+
+_MM = "CASE WHEN max({c}) OVER f = min({c}) OVER f THEN 0 ELSE ({c} - min({c}) OVER f) / (max({c}) OVER f - min({c}) OVER f) END"
+TENSE = f"""{POINTS}, tense AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.35::DOUBLE * ({_MM.format(c="energy")}) + 0.25::DOUBLE * ({_MM.format(c="roughness")})
+  + 0.2::DOUBLE * (1 - ({_MM.format(c="chroma_spread")})) + 0.2::DOUBLE * ({_MM.format(c="zcr")}))) AS tension FROM points WINDOW f AS (PARTITION BY filename))"""
+
+
+def phase_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Phases of a customer's orders: the lines of an order are one phase, numbered by order key."""
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    t = tracks(spark, sf).join(o, F.col("id") == F.col("o_orderkey"))
+    w = Window.partitionBy("o_custkey").orderBy("id")
+    return t.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("filename"), F.row_number().over(w).cast("long").alias("phase_number"), (F.col("energy") * 2).alias("energy"), "brightness", "onset", "duration")
+
+
+PHASES = f"""{TRACKS}, phase_rows AS (SELECT 'c' || CAST(o_custkey AS VARCHAR) AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY id) AS phase_number,
+  energy * 2 AS energy, brightness, onset, duration FROM tracks JOIN orders ON id = o_orderkey)"""
+CLASSED = f"""{PHASES}, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY filename ORDER BY phase_number) - 1 AS DOUBLE) / greatest(count(*) OVER (PARTITION BY filename) - 2, 1) AS position FROM phase_rows),
+classed AS (SELECT *, CASE WHEN energy < 0.02 AND onset < 0.5 THEN CASE WHEN position < 0.3 THEN 'Intro/Ambient' WHEN position > 0.7 THEN 'Outro/Fade' ELSE 'Breakdown/Quiet' END
+  WHEN energy > 0.1 AND onset > 2 THEN CASE WHEN position > 0.5 THEN 'Climax/Peak' ELSE 'Build-up/Energetic' END
+  WHEN onset > 1 THEN 'Rhythmic/Percussive' WHEN brightness > 2000 THEN 'Bright/Melodic' WHEN position < 0.3 THEN 'Introduction' WHEN position > 0.7 THEN 'Conclusion' ELSE 'Development' END AS phase_type FROM placed)"""
+
+# ---- labels ---------------------------------------------------------------------------------------
+
+_MOOD_COLS = ", ".join(rules.moods()[0])
+_TAG_COLS = ", ".join(rules.tags()[0])
+_in = lambda a, b, w: f"CASE WHEN {a} BETWEEN r.{b}_lo AND r.{b}_hi THEN {w}::DOUBLE ELSE 0 END"
+SCORED = f"""{TRACKS}, r({_MOOD_COLS}) AS (VALUES {rules.as_values(rules.moods())}),
+raw AS (SELECT t.filename, r.ord, r.name, CASE WHEN r.name = 'synthetic' AND zcr > 0.05 THEN 0 ELSE ({" + ".join(_in(k, k, w) for k, w in labels.MOOD_WEIGHTS.items())}
+  + CASE WHEN duration >= r.min_duration THEN 1.0::DOUBLE ELSE 0 END) / 12 END AS s FROM tracks t, r),
+scored AS (SELECT filename, ord, name, CASE WHEN s > 0.8::DOUBLE THEN least(1.0::DOUBLE, s * 1.1::DOUBLE) ELSE s END AS s FROM raw)"""
+FALLBACK = """CASE WHEN energy > 0.08 THEN CASE WHEN onset > 4 THEN CASE WHEN brightness > 2500 THEN 'tempestuous' ELSE 'volcanic' END WHEN onset > 2 THEN CASE WHEN brightness > 2500 THEN 'euphoric' ELSE 'surging' END ELSE CASE WHEN brightness > 2200 THEN 'triumphant' ELSE 'molten' END END
+  WHEN energy < 0.02 THEN CASE WHEN brightness > 3000 THEN CASE WHEN onset < 0.2 THEN 'celestial' ELSE 'gossamer' END WHEN brightness > 2000 THEN CASE WHEN onset < 0.6 THEN 'luminous' ELSE 'spectral' END ELSE CASE WHEN onset < 0.1 THEN 'glacial' ELSE 'serene' END END
+  WHEN brightness > 2500 THEN CASE WHEN onset > 1.5 THEN 'crystalline_hard' ELSE 'prismatic' END WHEN onset > 2 THEN CASE WHEN brightness > 1500 THEN 'pulsating' ELSE 'granular' END
+  WHEN brightness < 1000 THEN CASE WHEN onset < 1 THEN 'velvet' ELSE 'wooden' END WHEN brightness > 1500 THEN 'hopeful' ELSE 'contemplative' END"""
+
+
+@query(f"WITH {SCORED} SELECT filename, arg_max(name, s * 1000 - ord * 1e-6::DOUBLE) AS primary_mood, round(max(s), 6) AS mood_confidence FROM scored GROUP BY filename")
+def mood_score_tracks(spark, sf):
+    return labels.mood_scores(tracks(spark, sf)).select("filename", "primary_mood", _r("mood_confidence").alias("mood_confidence"))
+
+
+@query(f"WITH {SCORED}, d AS (SELECT filename, string_agg(name, ', ' ORDER BY ord) AS moods, count(*) AS n FROM scored WHERE s >= 0.7::DOUBLE GROUP BY filename) SELECT t.filename, coalesce(d.moods, {FALLBACK}) AS moods, coalesce(d.n, 1) AS n FROM tracks t LEFT JOIN d USING (filename)")
+def mood_detected_list(spark, sf):
+    return labels.mood_scores(tracks(spark, sf)).select("filename", F.array_join("moods", ", ").alias("moods"), F.size("moods").cast("long").alias("n"))
+
+
+@query(f"WITH {TRACKS} SELECT filename, {FALLBACK} AS mood FROM tracks")
+def mood_fallback(spark, sf):
+    return tracks(spark, sf).select("filename", labels.fallback_mood(F.col("energy"), F.col("brightness"), F.col("onset")).alias("mood"))
+
+
+_TAGGED = f"""{TRACKS}, r({_TAG_COLS}) AS (VALUES {rules.as_values(rules.tags())}),
+raw AS (SELECT t.filename, r.ord, r.name, r.threshold, ({_in("brightness", "centroid", "3.0")} + {_in("bandwidth", "bandwidth", "3.5")} + {_in("rolloff", "rolloff", "2.5")} + {_in("zcr", "zcr", "2.0")}
+  + CASE r.timbre WHEN 'precision=low' THEN 0 WHEN 'complexity=high' THEN 0 ELSE 1.5::DOUBLE END)
+  / (12.5::DOUBLE + CASE WHEN r.flatness_lo IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN r.flux_lo IS NOT NULL THEN 2.5::DOUBLE ELSE 0 END + CASE WHEN r.stereo_lo IS NOT NULL THEN 5 ELSE 0 END) AS s FROM tracks t, r),
+scored AS (SELECT filename, ord, name, threshold, CASE WHEN s > 0.85::DOUBLE THEN least(1.0::DOUBLE, s * 1.05::DOUBLE) ELSE s END AS s FROM raw)"""
+
+
+@query(f"WITH {_TAGGED} SELECT filename, arg_max(name, s * 1000 - ord * 1e-6::DOUBLE) AS primary_character, round(max(s), 6) AS character_confidence, string_agg(name, ', ' ORDER BY ord) FILTER (WHERE s >= threshold) AS tags FROM scored GROUP BY filename")
+def character_score_tracks(spark, sf):
+    t = tracks(spark, sf).withColumnRenamed("brightness", "centroid")
+    return labels.character_scores(t).select("filename", "primary_character", _r("character_confidence").alias("character_confidence"), F.array_join("tags", ", ").alias("tags"))
+
+
+@query(f"WITH {SCORED}, p AS (SELECT filename, arg_max(name, s * 1000 - ord * 1e-6::DOUBLE) AS mood FROM scored GROUP BY filename) SELECT mood, r.category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM p), 6) AS percentage FROM p JOIN r ON r.name = p.mood GROUP BY mood, r.category")
+def mood_distribution(spark, sf):
+    m = labels.mood_scores(tracks(spark, sf)).select(F.col("primary_mood").alias("mood"))
+    return labels.distribution(m, "mood", rules.moods()).withColumn("percentage", _r("percentage"))
+
+
+# ---- phases ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CLASSED} SELECT filename, phase_number, round(position, 6) AS position, phase_type FROM classed")
+def phase_position_class(spark, sf):
+    return phases.classify(phase_rows(spark, sf)).select("filename", "phase_number", _r("position").alias("position"), "phase_type")
+
+
+@query(f"""WITH {PHASES}, d AS (SELECT filename, phase_number, lead(energy) OVER w - energy AS d_energy, lead(brightness) OVER w - brightness AS d_brightness, lead(onset) OVER w - onset AS d_onset FROM phase_rows WINDOW w AS (PARTITION BY filename ORDER BY phase_number))
+SELECT filename, phase_number, round(d_energy, 6) AS d_energy, CASE WHEN d_energy > 0.02 THEN 'Energy Build-up' WHEN d_energy < -0.02 THEN 'Energy Drop' WHEN d_brightness > 500 THEN 'Brightness Increase' WHEN d_brightness < -500 THEN 'Brightness Decrease' WHEN d_onset > 0.5 THEN 'Rhythmic Intensification' WHEN d_onset < -0.5 THEN 'Rhythmic Simplification' ELSE 'Gradual Evolution' END AS transition FROM d WHERE d_energy IS NOT NULL""")
+def phase_transitions(spark, sf):
+    return phases.transitions(phase_rows(spark, sf)).select("filename", "phase_number", _r("d_energy").alias("d_energy"), "transition")
+
+
+_TREND = "CASE WHEN n < 2 THEN 'static' WHEN (CASE WHEN {v}a = 0 THEN 1 ELSE {v}b / {v}a END) > 1.2::DOUBLE THEN 'increasing' WHEN (CASE WHEN {v}a = 0 THEN 1 ELSE {v}b / {v}a END) < 0.8::DOUBLE THEN 'decreasing' ELSE 'stable' END"
+
+
+@query(f"""WITH {CLASSED}, m AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY phase_number) AS rn, count(*) OVER (PARTITION BY filename) AS n FROM classed),
+g AS (SELECT filename, count(*) AS n, max(energy) - min(energy) AS er, avg(duration) AS ad, stddev_pop(duration) AS sd, bool_or(contains(phase_type, 'Climax')) AS hc, bool_or(contains(phase_type, 'Breakdown')) AS hb, bool_or(contains(phase_type, 'Build-up')) AS hu, count(DISTINCT phase_type) AS sc,
+avg(energy) FILTER (WHERE rn <= greatest(1, n // 4)) AS ea, avg(energy) FILTER (WHERE rn > n - greatest(1, n // 4)) AS eb, avg(brightness) FILTER (WHERE rn <= greatest(1, n // 4)) AS ba, avg(brightness) FILTER (WHERE rn > n - greatest(1, n // 4)) AS bb FROM m GROUP BY filename)
+SELECT filename, n AS num_phases, round(er, 6) AS energy_range, round(ad, 6) AS avg_phase_duration, round(sd, 6) AS phase_duration_std, hc AS has_climax, hb AS has_breakdown, hu AS has_build_up, sc AS structural_complexity, {_TREND.format(v="e")} AS energy_progression, {_TREND.format(v="b")} AS brightness_progression FROM g""")
+def structural_features(spark, sf):
+    s = phases.structure(phases.classify(phase_rows(spark, sf)))
+    return s.select("filename", "num_phases", *[_r(c).alias(c) for c in ("energy_range", "avg_phase_duration", "phase_duration_std")], "has_climax", "has_breakdown", "has_build_up", "structural_complexity", "energy_progression", "brightness_progression")
+
+
+@query(f"""WITH {POINTS}, n AS (SELECT *, count(*) OVER (PARTITION BY filename) AS n FROM points), k AS (SELECT unnest(range(-3, 3)) AS k),
+j AS (SELECT n.filename, n.rn, CASE WHEN n.rn + k < 0 THEN -1 - n.rn - k WHEN n.rn + k >= n.n THEN 2 * n.n - 1 - n.rn - k ELSE n.rn + k END AS at FROM n, k)
+SELECT j.filename, j.rn, round(avg(p.energy), 6) AS smooth FROM j JOIN points p ON p.filename = j.filename AND p.rn = j.at GROUP BY j.filename, j.rn""")
+def moving_average(spark, sf):
+    return phases.moving_average(points(spark, sf), "energy", "filename", "rn", 6, "smooth").select("filename", "rn", _r("smooth").alias("smooth"))
+
+
+_GRAD = "CASE WHEN lag({c}) OVER w IS NULL THEN lead({c}) OVER w - {c} WHEN lead({c}) OVER w IS NULL THEN {c} - lag({c}) OVER w ELSE (lead({c}) OVER w - lag({c}) OVER w) / 2 END"
+CHANGE = f"{POINTS}, changed AS (SELECT *, abs({_GRAD.format(c='energy')}) + abs({_GRAD.format(c='brightness')}) / 1000 AS change FROM points WINDOW w AS (PARTITION BY filename ORDER BY rn))"
+
+
+@query(f"WITH {CHANGE} SELECT filename, rn, round(change, 6) AS change FROM changed")
+def gradient_change_signal(spark, sf):
+    return phases.change_signal(points(spark, sf), "filename", "rn").select("filename", "rn", _r("change").alias("change"))
+
+
+PEAKS = f"{CHANGE}, peaks AS (SELECT * FROM (SELECT *, lag(change) OVER w AS a, lead(change) OVER w AS b, 1.5::DOUBLE * stddev_pop(change) OVER (PARTITION BY filename) AS h FROM changed WINDOW w AS (PARTITION BY filename ORDER BY rn)) WHERE change > a AND change > b AND change >= h)"
+
+
+@query(f"WITH {PEAKS} SELECT filename, rn FROM peaks")
+def local_peaks(spark, sf):
+    return phases.local_peaks(phases.change_signal(points(spark, sf), "filename", "rn"), "filename", "rn").select("filename", "rn")
+
+
+@query()
+def separated_peaks(spark, sf):
+    p = phases.local_peaks(phases.change_signal(points(spark, sf), "filename", "rn"), "filename", "rn")
+    return phases.separated(p, "filename", "rn", "change", 10)
+
+
+@query(f"""WITH {PEAKS}, ends AS (SELECT filename, max(time) AS t FROM points GROUP BY filename), every AS (SELECT filename, time AS t FROM peaks WHERE time > 5 UNION SELECT filename, 0.0 FROM ends UNION SELECT * FROM ends)
+SELECT * FROM (SELECT filename, row_number() OVER w AS phase_number, CAST(t AS DOUBLE) AS start_time, CAST(lead(t) OVER w AS DOUBLE) AS end_time FROM every WINDOW w AS (PARTITION BY filename ORDER BY t)) WHERE end_time IS NOT NULL""")
+def phase_boundaries(spark, sf):
+    p = points(spark, sf)
+    peaks = phases.local_peaks(phases.change_signal(p, "filename", "rn"), "filename", "rn").withColumn("t", F.col("time"))
+    b = phases.boundaries(peaks, p.groupBy("filename").agg(F.max("time").alias("duration")), "filename")
+    return b.withColumn("phase_number", F.col("phase_number").cast("long"))
+
+
+# ---- trajectories and sections ----------------------------------------------------------------------
+
+
+def tense(spark, sf):
+    return sections.tension(points(spark, sf))
+
+
+@query(f"WITH {TENSE} SELECT filename, rn, round(tension, 6) AS tension FROM tense")
+def trajectory_minmax_tension(spark, sf):
+    return tense(spark, sf).select("filename", "rn", _r("tension").alias("tension"))
+
+
+@query(f"WITH {POINTS} SELECT filename, rn // 10 AS win, count(*) AS frames, round(avg(energy), 6) AS energy, round(avg(brightness), 6) AS brightness FROM points GROUP BY filename, rn // 10 HAVING count(*) >= 5")
+def tumbling_windows(spark, sf):
+    return sections.tumbling(points(spark, sf), "filename", "rn", 10, 5).select("filename", F.col("window").alias("win"), "frames", _r("energy").alias("energy"), _r("brightness").alias("brightness"))
+
+
+@query("SELECT user_id, epoch_us(time_bucket(INTERVAL '30 seconds', ts) - INTERVAL (30 * k) SECONDS) // 1000000 AS chunk, count(*) AS n, round(sum(value), 6) AS total FROM events, (VALUES (0), (1)) x(k) WHERE epoch_us(ts) < epoch_us(time_bucket(INTERVAL '30 seconds', ts) - INTERVAL (30 * k) SECONDS) + 32000000 GROUP BY 1, 2")
+def sliding_chunks(spark, sf):
+    e = _t(spark, sf, "events")
+    return e.groupBy("user_id", F.window("ts", "32 seconds", "30 seconds").alias("w")).agg(F.count("*").alias("n"), _r(F.sum("value")).alias("total")).select("user_id", F.unix_timestamp("w.start").alias("chunk"), "n", "total")
+
+
+_CS = " + ".join(f"abs(avg({f}) OVER nx - avg({f}) OVER pv) / CASE WHEN max({f}) OVER f = min({f}) OVER f THEN 1 ELSE max({f}) OVER f - min({f}) OVER f END" for f in sections.FIELDS)
+SCORES = f"""{TENSE}, cs AS (SELECT *, CASE WHEN rn >= 5 AND rn < count(*) OVER f - 5 THEN ({_CS}) / 4 ELSE 0 END AS score FROM tense
+WINDOW f AS (PARTITION BY filename), pv AS (PARTITION BY filename ORDER BY rn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), nx AS (PARTITION BY filename ORDER BY rn ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))"""
+
+
+@query(f"WITH {SCORES} SELECT filename, rn, round(score, 6) AS score FROM cs")
+def change_score(spark, sf):
+    return sections.change_score(tense(spark, sf)).select("filename", "rn", _r("score").alias("score"))
+
+
+def limits(spark, sf):
+    t = tense(spark, sf)
+    return sections.boundaries(sections.change_score(t), t.groupBy("filename").agg((F.max("time") + 2).alias("duration")))
+
+
+LIMITS = f"""{SCORES.replace("POINTS", "POINTS")}, cand AS (SELECT filename, rn AS i, time AS t FROM (SELECT *, lag(score) OVER w AS a, lead(score) OVER w AS b FROM cs WINDOW w AS (PARTITION BY filename ORDER BY rn)) WHERE score >= 0.15::DOUBLE AND score >= a AND score >= b),
+greedy(filename, i, t) AS (SELECT filename, min(i), arg_min(t, i) FROM cand GROUP BY filename UNION ALL (SELECT c.filename, c.i, c.t FROM greedy g JOIN cand c ON c.filename = g.filename AND c.i >= g.i + 7 WHERE NOT EXISTS (SELECT 1 FROM cand d WHERE d.filename = g.filename AND d.i >= g.i + 7 AND d.i < c.i))),
+ends AS (SELECT filename, max(time) + 2 AS d FROM points GROUP BY filename),
+merged(filename, t) AS (SELECT filename, CAST(0 AS DOUBLE) FROM ends UNION ALL (SELECT c.filename, c.t FROM merged g JOIN greedy c ON c.filename = g.filename AND c.t >= g.t + 15 WHERE NOT EXISTS (SELECT 1 FROM greedy d WHERE d.filename = g.filename AND d.t >= g.t + 15 AND d.t < c.t))),
+times AS (SELECT m.filename, m.t FROM merged m JOIN ends USING (filename) WHERE m.t < d UNION SELECT filename, d FROM ends)"""
+
+
+@query(f"WITH RECURSIVE {LIMITS} SELECT filename, t FROM times")
+def section_boundaries_greedy(spark, sf):
+    return limits(spark, sf).select("filename", F.explode("times").alias("t"))
+
+
+SECS = f"""{LIMITS}, secs AS (SELECT * FROM (SELECT filename, row_number() OVER w AS section, t AS start, lead(t) OVER w AS stop FROM times WINDOW w AS (PARTITION BY filename ORDER BY t)) WHERE stop IS NOT NULL),
+st AS (SELECT s.filename, s.section, s.start, s.stop, count(p.tension) AS points, coalesce(avg(p.tension), 0.3::DOUBLE) AS m, CASE WHEN count(p.tension) < 2 THEN 0 ELSE regr_slope(p.tension, p.time) END AS slope
+  FROM secs s LEFT JOIN tense p ON p.filename = s.filename AND p.time >= s.start AND p.time < s.stop GROUP BY ALL),
+typed AS (SELECT *, CASE WHEN slope > 0.01 THEN 'building' WHEN slope < -0.01 THEN 'releasing' WHEN m > 0.65 THEN 'peak' WHEN m < 0.3 THEN 'valley' ELSE 'plateau' END AS arc,
+  CASE WHEN m < 0.25 AND lead(m) OVER w IS NULL AND (section <> 1 OR start > 0) THEN 'outro' WHEN m < 0.25 AND section = 1 THEN 'intro' WHEN slope > 0.015 THEN 'rising' WHEN m > 0.75 THEN 'climax' WHEN m > 0.65 AND abs(slope) < 0.015 THEN 'plateau'
+  WHEN slope < -0.015 THEN 'falling' WHEN m < 0.35 AND section > 1 AND lag(m) OVER w > 0.5 THEN 'release' ELSE 'plateau' END AS section_type FROM st WINDOW w AS (PARTITION BY filename ORDER BY section))"""
+
+
+def typed(spark, sf):
+    return sections.section_stats(sections.sections(limits(spark, sf)), tense(spark, sf))
+
+
+@query(f"WITH RECURSIVE {SECS} SELECT filename, section, points, round(m, 6) AS m, round(slope, 6) AS slope, arc, section_type FROM typed")
+def section_stats(spark, sf):
+    return typed(spark, sf).select("filename", F.col("section").cast("long").alias("section"), "points", _r("m").alias("m"), _r("slope").alias("slope"), "arc", "section_type")
+
+
+@query()
+def section_split_long(spark, sf):
+    return sections.split_long(limits(spark, sf), tense(spark, sf)).select("filename", F.explode("times").alias("t"))
+
+
+@query(f"""WITH RECURSIVE {SECS}, near AS (SELECT * FROM (SELECT s.filename, s.section, p.energy, p.brightness, p.time >= s.start AS after, row_number() OVER (PARTITION BY s.filename, s.section, p.time >= s.start ORDER BY CASE WHEN p.time >= s.start THEN p.time ELSE -p.time END) AS r
+  FROM secs s JOIN points p ON p.filename = s.filename AND (p.time < s.start OR p.time < s.stop)) WHERE r <= 2),
+g AS (SELECT filename, section, count(*) AS n, count(*) FILTER (WHERE after) AS na, (avg(energy) FILTER (WHERE after) - avg(energy) FILTER (WHERE NOT after)) / greatest(max(energy) - min(energy), 1e-6::DOUBLE) AS de, (avg(brightness) FILTER (WHERE after) - avg(brightness) FILTER (WHERE NOT after)) / greatest(max(brightness) - min(brightness), 1e-6::DOUBLE) AS db FROM near GROUP BY filename, section)
+SELECT filename, section, CASE WHEN na = 0 OR na = n THEN 'stable' WHEN de > 0.1 OR db > 0.1 THEN 'rising' WHEN de < -0.1 OR db < -0.1 THEN 'falling' ELSE 'stable' END AS direction,
+  CASE WHEN na = 0 OR na = n THEN 'gradual' WHEN n <= 2 THEN 'instant' WHEN n <= 6 THEN 'fast' ELSE 'gradual' END AS rate,
+  CASE WHEN na = 0 OR na = n THEN 'gradual' WHEN greatest(abs(de), abs(db)) > 0.4 AND n <= 3 THEN 'abrupt' WHEN de > 0.2 THEN 'swell' WHEN de < -0.2 THEN 'fade' ELSE 'gradual' END AS motion_type FROM g""")
+def section_motion(spark, sf):
+    m = sections.motion(sections.sections(limits(spark, sf)), points(spark, sf))
+    return m.withColumn("section", F.col("section").cast("long"))
+
+
+_CODE = "CASE section_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(sections.SECTION_TYPES)) + " ELSE 4 END"
+
+
+@query(f"WITH RECURSIVE {SECS}, c AS (SELECT filename, {_CODE} * 5 + least(floor(m * 5), 4) AS cell, count(*) AS n FROM typed GROUP BY 1, 2) SELECT filename, CAST(cell AS BIGINT) AS cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY filename)), 6) AS weight FROM c")
+def structure_fingerprint(spark, sf):
+    f = sections.structure_fingerprint(typed(spark, sf)).select("filename", F.posexplode("structure").alias("cell", "weight"))
+    return f.where("weight <> 0").select("filename", F.col("cell").cast("long").alias("cell"), _r("weight").alias("weight"))
+
+
+_TEX = ", ".join(f"{f}({c})" for c in ("energy", "brightness", "roughness", "zcr") for f in ("avg", "stddev_pop"))
+TEX = f"tex AS (SELECT filename, [{_TEX}, avg(chroma_spread), least((max(time) - min(time)) / 600, 1.0::DOUBLE)] AS v FROM points GROUP BY filename)"
+
+
+@query(f"WITH {POINTS}, {TEX}, l AS (SELECT filename, unnest(range(10)) AS dim, unnest(v) AS x FROM tex) SELECT filename, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY filename)), 6) AS value FROM l")
+def texture_fingerprint(spark, sf):
+    return sections.texture_fingerprint(points(spark, sf)).select("filename", F.posexplode("texture").alias("dim", "value")).select("filename", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"))
+
+
+@query(f"""WITH RECURSIVE {SECS}, {TEX}, c AS (SELECT filename, {_CODE} * 5 + least(floor(m * 5), 4) AS cell, CAST(count(*) AS DOUBLE) AS n FROM typed GROUP BY 1, 2),
+cells AS (SELECT filename, list(n ORDER BY k) AS v FROM (SELECT e.filename, k.k, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT filename FROM c) e CROSS JOIN (SELECT unnest(range(35)) AS k) k LEFT JOIN c ON c.filename = e.filename AND c.cell = k.k) GROUP BY filename),
+s AS (SELECT a.filename, b.filename AS other, round(0.6::DOUBLE * greatest(0, least(1.0::DOUBLE, list_cosine_similarity(a.v, b.v))) + 0.4::DOUBLE * greatest(0, least(1.0::DOUBLE, list_cosine_similarity(x.v, y.v))), 6) AS score
+  FROM cells a JOIN cells b ON a.filename <> b.filename JOIN tex x ON x.filename = a.filename JOIN tex y ON y.filename = b.filename)
+SELECT filename, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY score DESC, other DESC) AS rank FROM s) WHERE rank <= 3""")
+def pair_similarity_topk(spark, sf):
+    prints = sections.structure_fingerprint(typed(spark, sf)).join(sections.texture_fingerprint(points(spark, sf)), "filename")
+    s = sections.similar(prints)
+    return s.select("filename", F.col("rank").cast("long").alias("rank"), _r("score").alias("score"))
+
+
+@query(f"WITH {POINTS} SELECT filename, rn, energy FROM points WHERE time <= 61 AND time + 2 > 61")
+def point_in_section(spark, sf):
+    return points(spark, sf).where((F.col("time") <= 61) & (F.col("time") + 2 > 61)).select("filename", "rn", "energy")
+
+
+# ---- library --------------------------------------------------------------------------------------
+
+_NUM = ["energy", "brightness", "roughness", "onset", "duration", "bandwidth"]
+PARTS = """parts AS (SELECT p_partkey, p_size % 4 AS cluster, p_type AS mood, p_brand AS key, CAST(p_retailprice AS DOUBLE) AS brightness, CAST(p_size AS DOUBLE) AS tempo, CAST(p_size AS DOUBLE) / 100 AS energy FROM part)"""
+
+
+def parts(spark, sf):
+    d = lambda c: F.col(c).cast("double")
+    return _t(spark, sf, "part").select("p_partkey", (F.col("p_size") % 4).alias("cluster"), F.col("p_type").alias("mood"), F.col("p_brand").alias("key"), d("p_retailprice").alias("brightness"), d("p_size").alias("tempo"), (d("p_size") / 100).alias("energy"))
+
+
+@query(f"WITH {PARTS} SELECT cluster, count(*) AS n, round(avg(tempo), 6) AS tempo, round(stddev_samp(tempo), 6) AS tempo_std, round(avg(brightness), 4) AS brightness, count(DISTINCT key) AS keys, (SELECT mood FROM parts q WHERE q.cluster = p.cluster GROUP BY mood ORDER BY count(*) DESC, mood LIMIT 1) AS dominant_mood FROM parts p GROUP BY cluster")
+def cluster_profile(spark, sf):
+    p = parts(spark, sf)
+    return p.groupBy("cluster").agg(F.count("*").alias("n"), _r(F.avg("tempo")).alias("tempo"), _r(F.stddev_samp("tempo")).alias("tempo_std"), _r(F.avg("brightness"), 4).alias("brightness"), F.countDistinct("key").alias("keys"), F.mode("mood", True).alias("dominant_mood"))
+
+
+@query(f"WITH {PARTS}, l AS (SELECT cluster, f, stddev_samp(v) / abs(avg(v)) AS cv FROM (SELECT cluster, unnest(['tempo', 'energy', 'brightness']) AS f, unnest([tempo, energy, brightness]) AS v FROM parts) GROUP BY cluster, f HAVING avg(v) <> 0) SELECT cluster, round(coalesce(avg(cv), 0), 6) AS homogeneity FROM l GROUP BY cluster")
+def cluster_homogeneity(spark, sf):
+    return library.homogeneity(parts(spark, sf), "cluster", ["tempo", "energy", "brightness"]).withColumn("homogeneity", _r("homogeneity"))
+
+
+@query(f"""WITH {PARTS}, g AS (SELECT cluster, count(*) AS n, max(tempo) - min(tempo) AS t, count(DISTINCT key) AS k, count(DISTINCT mood) AS m, stddev_samp(energy) / avg(energy) AS e FROM parts GROUP BY cluster),
+p AS (SELECT *, CASE WHEN t < 20 THEN 2 WHEN t < 40 THEN 1 ELSE 0 END + CASE WHEN k <= 2 THEN 2 WHEN k <= 3 THEN 1 ELSE 0 END + CASE WHEN m <= 2 THEN 2 WHEN m <= 3 THEN 1 ELSE 0 END + CASE WHEN e < 0.2 THEN 2 WHEN e < 0.5 THEN 1 ELSE 0 END AS points FROM g)
+SELECT cluster, n, points, CASE WHEN n = 1 THEN 'Single Track' WHEN points >= 6 THEN 'High' WHEN points >= 4 THEN 'Moderate' ELSE 'Low' END AS coherence FROM p""")
+def cluster_coherence(spark, sf):
+    return library.coherence(parts(spark, sf), "cluster", "tempo", "key", "mood", "energy")
+
+
+@query("SELECT p_type AS key, p_size % 4 AS cluster, count(*) AS n FROM part GROUP BY 1, 2")
+def crosstab_key_cluster(spark, sf):
+    return library.crosstab(parts(spark, sf).withColumn("key", F.col("mood")), "key", "cluster")
+
+
+@query(f"""WITH {TRACKS} SELECT unnest(['files', 'total_duration', 'mean_duration', 'mean_energy', 'max_brightness']) AS metric, unnest([CAST(count(*) AS DOUBLE), sum(duration), round(avg(duration), 6), round(avg(energy), 6), round(max(brightness), 6)]) AS value FROM tracks""")
+def collection_summary(spark, sf):
+    one = tracks(spark, sf).agg(F.count("*").cast("double").alias("files"), F.sum("duration").alias("total_duration"), _r(F.avg("duration")).alias("mean_duration"), _r(F.avg("energy")).alias("mean_energy"), _r(F.max("brightness")).alias("max_brightness"))
+    return one.unpivot([], one.columns, "metric", "value")
+
+
+_LONG = "unnest([" + ", ".join(f"'{c}'" for c in _NUM) + "]) AS feature, unnest([" + ", ".join(_NUM) + "]) AS v"
+
+
+@query(f"WITH {TRACKS} SELECT feature, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std, round(min(v), 4) AS min, round(max(v), 4) AS max, round(median(v), 4) AS median, round(stddev_samp(v) / abs(avg(v)), 4) AS cv FROM (SELECT {_LONG} FROM tracks) GROUP BY feature")
+def feature_statistics(spark, sf):
+    s = library.feature_statistics(tracks(spark, sf), _NUM)
+    return s.select("feature", *[_r(c, 4).alias(c) for c in ("mean", "std", "min", "max", "median", "cv")])
+
+
+@query(f"WITH {TRACKS} SELECT feature, count(v) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75 FROM (SELECT {_LONG} FROM tracks) GROUP BY feature")
+def describe_quartiles(spark, sf):
+    return library.describe(tracks(spark, sf), _NUM).select("feature", "n", *[_r(c, 4).alias(c) for c in ("mean", "p25", "p50", "p75")])
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice / 1000 END AS tempo, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_totalprice END AS spectral_centroid_mean, CASE WHEN o_orderkey % 3 = 0 THEN -1.0::DOUBLE ELSE o_totalprice / 1e6 END AS energy FROM orders), m AS (SELECT median(spectral_centroid_mean) AS md FROM o)
+SELECT o_orderkey, round(least(greatest(coalesce(tempo, 120), 30), 300), 6) AS tempo, round(greatest(coalesce(spectral_centroid_mean, md), 0), 4) AS spectral_centroid_mean, round(greatest(energy, 0), 6) AS energy FROM o, m""")
+def clean_impute_clip(spark, sf):
+    o = _t(spark, sf, "orders")
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    df = o.select("o_orderkey", F.when(k % 7 == 0, float("nan")).otherwise(p / 1000).alias("tempo"), F.when(k % 5 == 0, float("inf")).otherwise(p).alias("spectral_centroid_mean"), F.when(k % 3 == 0, -1.0).otherwise(p / 1e6).alias("energy"))
+    return library.clean(df, ["tempo", "spectral_centroid_mean", "energy"]).select("o_orderkey", _r("tempo").alias("tempo"), _r("spectral_centroid_mean", 4).alias("spectral_centroid_mean"), _r("energy").alias("energy"))
+
+
+def _scale_sql(a: str, b: str) -> str:
+    one = ", ".join(f"round(({c} - (SELECT {a.format(c=c)} FROM tracks)) / (SELECT {b.format(c=c)} FROM tracks), 5) AS {c}" for c in ("energy", "brightness"))
+    return f"WITH {TRACKS} SELECT filename, {one} FROM tracks"
+
+
+def _scaled(spark, sf, how):
+    return library.scale(tracks(spark, sf), ["energy", "brightness"], how).select("filename", _r("energy", 5).alias("energy"), _r("brightness", 5).alias("brightness"))
+
+
+@query(_scale_sql("avg({c})", "stddev_pop({c})"))
+def zscore_population(spark, sf):
+    return _scaled(spark, sf, "standard")
+
+
+@query(_scale_sql("min({c})", "max({c}) - min({c})"))
+def minmax_scale(spark, sf):
+    return _scaled(spark, sf, "minmax")
+
+
+@query(_scale_sql("median({c})", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"))
+def robust_scale(spark, sf):
+    return _scaled(spark, sf, "robust")
+
+
+@query(f"WITH {TRACKS} SELECT feature, round(var_samp(v), 6) AS variance FROM (SELECT {_LONG} FROM tracks) GROUP BY feature HAVING var_samp(v) < 0.01")
+def low_variance_columns(spark, sf):
+    u = library.unpivot(tracks(spark, sf).select(*_NUM), [], _NUM)
+    return u.groupBy("feature").agg(_r(F.var_samp("value")).alias("variance")).where("variance < 0.01")
+
+
+_PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
+
+
+@query(f"WITH {TRACKS} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) AS r FROM tracks" for a, b in _PAIRS))
+def correlated_pairs(spark, sf):
+    return library.correlations(tracks(spark, sf), _NUM).withColumn("r", _r("r", 5))
+
+
+_KEYS = ("C", "G", "D", "A", "E", "B", "F", "C#", "F#", "D#", "G#", "A#")
+_MOODS = ("atmospheric", "spacey", "ethereal", "warm", "oozy", "organic", "driving", "chaos")
+_CHARS = ("analog_synth", "digital_synth", "mellotron", "warm_harmonics", "organic", "bright_harmonics")
+
+
+def playlist(spark, sf):
+    """Suppliers as tracks of a playlist."""
+    t = tracks(spark, sf, "l_suppkey")
+    pick = lambda xs, k: F.array(*map(F.lit, xs))[((F.col("id") * k) % len(xs)).cast("int")]
+    return t.select("filename", "energy", "tempo", "brightness", F.col("duration").alias("duration"), (F.col("id") % 10 / 10).alias("key_confidence"), pick(_KEYS, 5).alias("key"), pick(_MOODS, 3).alias("mood"), pick(_CHARS, 7).alias("character"))
+
+
+def _pick_sql(xs, k):
+    return "[" + ", ".join(f"'{x}'" for x in xs) + f"][(id * {k}) % {len(xs)} + 1]"
+
+
+PLAYLIST = f"{_tracks_sql('l_suppkey')}, playlist AS (SELECT filename, energy, tempo, brightness, duration, CAST(id % 10 AS DOUBLE) / 10 AS key_confidence, {_pick_sql(_KEYS, 5)} AS key, {_pick_sql(_MOODS, 3)} AS mood, {_pick_sql(_CHARS, 7)} AS character FROM tracks)"
+_REL = lambda text, c: f"a.{c} || '>' || b.{c} IN (" + ", ".join(f"'{x}>{y}'" for x, y in rules.edges(text)) + ")"
+
+
+@query(f"""WITH {PLAYLIST} SELECT a.filename AS src, b.filename AS dst, CASE WHEN a.key = b.key THEN 10 WHEN {_REL(rules.KEY_EDGES, "key")} THEN 5 ELSE 0 END + CASE WHEN a.key_confidence > 0.7 AND b.key_confidence > 0.7 THEN 2 ELSE 0 END
+ + CASE WHEN abs(a.tempo - b.tempo) < 10 THEN 8 WHEN abs(a.tempo - b.tempo) < 20 THEN 5 WHEN abs(a.tempo - b.tempo) < 40 THEN 2 ELSE 0 END + CASE WHEN abs(a.energy - b.energy) < 0.02 THEN 6 WHEN abs(a.energy - b.energy) < 0.05 THEN 3 ELSE 0 END
+ + CASE WHEN b.energy - a.energy > 0 AND b.energy - a.energy < 0.03 THEN 3 ELSE 0 END + CASE WHEN a.mood = b.mood THEN 4 WHEN {_REL(rules.MOOD_EDGES, "mood")} THEN 7 ELSE 0 END + CASE WHEN a.character = b.character THEN 4 WHEN {_REL(rules.CHARACTER_EDGES, "character")} THEN 2 ELSE 0 END
+ + CASE WHEN a.duration > 30 AND a.duration < 300 AND b.duration > 30 AND b.duration < 300 THEN 3 ELSE 0 END + CASE WHEN a.duration < b.duration THEN 1 ELSE 0 END + CASE WHEN abs(a.brightness - b.brightness) < 500 THEN 3 WHEN abs(a.brightness - b.brightness) < 1000 THEN 1 ELSE 0 END + 2 AS score
+ FROM playlist a JOIN playlist b ON a.filename <> b.filename""")
+def transition_scores(spark, sf):
+    return library.transitions(playlist(spark, sf))
+
+
+OPENING = "CASE WHEN mood IN ('atmospheric', 'spacey', 'ethereal', 'warm') THEN 10 WHEN mood IN ('oozy', 'pensive', 'organic') THEN 7 ELSE 0 END + CASE WHEN character IN ('analog_synth', 'warm_harmonics') THEN 5 WHEN character IN ('mellotron', 'organic') THEN 3 ELSE 0 END + CASE WHEN energy < 0.03 THEN 10 WHEN energy < 0.05 THEN 5 ELSE 0 END + CASE WHEN duration > 240 THEN 5 WHEN duration > 120 THEN 3 ELSE 0 END + CASE WHEN key IN ('C', 'G', 'D', 'A') THEN 2 ELSE 0 END"
+
+
+@query(f"WITH {PLAYLIST} SELECT filename, {OPENING} AS opening FROM playlist ORDER BY opening DESC, filename LIMIT 1")
+def opening_track(spark, sf):
+    o = library.opening_score(playlist(spark, sf))
+    return o.orderBy(F.desc("opening"), "filename").limit(1).select("filename", "opening")
+
+
+@query()
+def greedy_sequence(spark, sf):
+    return library.sequence(playlist(spark, sf)).select("position", "filename")
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS total, round(CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1 THEN (row_number() OVER w - 1) * 100.0::DOUBLE / (count(*) OVER (PARTITION BY o_custkey) - 1) ELSE 0 END, 6) AS position_pct FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
+def sequence_running_total(spark, sf):
+    r = library.running_total(_t(spark, sf, "orders"), "o_orderkey", "o_totalprice", "o_custkey")
+    return r.select("o_custkey", "o_orderkey", _r("total", 2).alias("total"), _r("position_pct").alias("position_pct"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS cluster, v FROM e WHERE vec_id < 4),
+n AS (SELECT e.vec_id, e.v, arg_min(c.cluster, list_distance(e.v, c.v)) AS cluster FROM e, c GROUP BY ALL)
+SELECT cluster, dim, round(avg(x), 6) AS value, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS dim, unnest(v) AS x FROM n) GROUP BY cluster, dim""")
+def lloyd_kmeans_step(spark, sf):
+    e = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    c = e.where("vec_id < 4").select(F.col("vec_id").alias("cluster"), F.col("v").alias("center"))
+    return library.lloyd_step(e, c, "vec_id", "v").select("cluster", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"), "n")
+
+
+@query()
+def kmeans_labels(spark, sf):
+    return library.kmeans(tracks(spark, sf, "l_suppkey"), _NUM, 4).select("filename", "cluster")
+
+
+@query()
+def pca_projection(spark, sf):
+    return library.pca(tracks(spark, sf, "l_suppkey"), _NUM).select("filename", "pc1", "pc2")
+
+
+@query("SELECT o_orderkey, printf('%d:%02d', CAST(floor(o_totalprice / 60) AS BIGINT), CAST(floor(o_totalprice) AS BIGINT) % 60) AS short, CASE WHEN o_totalprice >= 3600 THEN printf('%d:%02d:%02d', CAST(floor(o_totalprice / 3600) AS BIGINT), CAST(floor(o_totalprice / 60) AS BIGINT) % 60, CAST(floor(o_totalprice) AS BIGINT) % 60) ELSE printf('%d:%02d', CAST(floor(o_totalprice / 60) AS BIGINT), CAST(floor(o_totalprice) AS BIGINT) % 60) END AS long FROM orders")
+def format_times(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", library.clock(F.col("o_totalprice")).alias("short"), library.clock(F.col("o_totalprice"), True).alias("long"))
+
+
+@query("SELECT page_id, concat_ws('; ', CASE WHEN NOT regexp_matches(lower(url), '\\.(wav|aiff?|mp3)$') THEN 'suffix' END, CASE WHEN octet_length(encode(html)) < 1000 THEN 'too small' END, CASE WHEN octet_length(encode(html)) > 104857600 THEN 'too large' END) AS errors FROM pages")
+def payload_validation(spark, sf):
+    from ..sources import audio
+
+    p = _t(spark, sf, "pages").select("page_id", F.col("url").alias("filename"), F.base64(F.col("html").cast("binary")).alias("content"))
+    return audio.validate_payloads(p).select("page_id", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def dedup_keep_first(spark, sf):
+    return library.keep_first(_t(spark, sf, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+_B = lambda c, x: "CASE " + " ".join(f"WHEN {c} < {a} THEN '{n}'" for a, n in x[0]) + f" ELSE '{x[1]}' END"
+
+
+@query(f"WITH {TRACKS} SELECT filename, {_B('energy', library.ENERGY)} AS energy_level, {_B('brightness', library.BRIGHTNESS)} AS brightness_level, {_B('tempo', library.TEMPO)} AS tempo_level FROM tracks")
+def category_buckets(spark, sf):
+    t = tracks(spark, sf)
+    return t.select("filename", *[library.bucket(F.col(c), *x).alias(f"{c}_level") for c, x in (("energy", library.ENERGY), ("brightness", library.BRIGHTNESS), ("tempo", library.TEMPO))])
 
 
-def queries():
-    return {}
+@query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS \"column\", CAST(0 AS BIGINT) AS nulls, (SELECT count(*) FROM orders) AS rows, 100.0::DOUBLE AS completeness")
+def data_quality(spark, sf):
+    return library.data_quality(_t(spark, sf, "orders"))
 
 
-def oracle_sql():
-    return {}
+@query("SELECT user_id, count(*) AS sessions, sum(n) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s) GROUP BY user_id")
+def event_sessions(spark, sf):
+    s = _t(spark, sf, "events").groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
