@@ -1,7 +1,6 @@
 """Rule classification: moods and character tags of tracks, phases and sections.
 
-The rules ride along as one broadcast row that holds them all as an array (its size is that of the rule
-table, not of the data). Scores are a projection over that array, so labelling needs no shuffle.
+Rules are data: a broadcast table that every row is scored against.
 """
 
 from __future__ import annotations
@@ -23,38 +22,48 @@ def to_number(c: Column, default: float | None = 0.0) -> Column:
     return F.when(bad, F.lit(default).cast("double")).otherwise(x)
 
 
-def with_rules(df: DataFrame, rows: list[dict], name: str = "_rules") -> DataFrame:
-    """df with the rules as an array column, in rule order."""
-    table = rules.as_table(df.sparkSession, rows)
-    one = table.coalesce(1).agg(F.array_sort(F.collect_list(F.struct(*table.columns))).alias(name))
-    return df.crossJoin(F.broadcast(one))
+def _inside(value: str, rule: str) -> str:
+    return f"coalesce({value} between {rule}_lo and {rule}_hi, false)"
 
 
-def _inside(value: str, rule: str) -> str:
-    return f"coalesce({value} between r.{rule}_lo and r.{rule}_hi, false)"
+def _label(df: DataFrame, key: str, rows: list[dict], score: str, threshold: str, keep: list[str]) -> DataFrame:
+    """(key, labels, best, confidence) and the numbers in keep, of scored pairs of rows and rules.
+
+    The rule table is broadcast (its size is its own, whatever the data) and its pairs with the rows
+    are aggregated by key at once: one row per key crosses the shuffle. A score and its rule are
+    one whole number and the detected rules are bits, so the hash aggregate holds fixed-width values only.
+    """
+    r = rules.as_table(df.sparkSession, rows)
+    pairs = df.crossJoin(F.broadcast(r)).withColumn("_s", F.expr(score))
+    words = range(-(-len(rows) // 60))
+    bit = lambda w: f"bit_or(if(_s >= {threshold} and ord div 60 = {w}, shiftleft(1L, ord % 60), 0L))"
+    g = pairs.groupBy(key).agg(F.expr("max(cast(round(_s * 1e12D) as bigint) * 1024 + (1023 - ord))").alias("_top"), *[F.expr(bit(w)).alias(f"_w{w}") for w in words], *[F.max(c).alias(c) for c in keep])
+    names = F.array(*[F.lit(x["name"]) for x in rows])
+    hit = " or ".join(f"(i div 60 = {w} and bit_get(_w{w}, i % 60) = 1)" for w in words)
+    return g.withColumn("_names", names).select(
+        key,
+        F.expr(f"transform(filter(sequence(0, {len(rows) - 1}), i -> {hit}), i -> _names[i])").alias("labels"),
+        F.expr("_names[cast(1023 - _top % 1024 as int)]").alias("best"),
+        F.expr("floor(_top / 1024) / 1e12D").alias("confidence"),
+        *keep,
+    )
 
 
-def mood_scores(df: DataFrame, threshold: float = 0.7, mood_rules: list[dict] | None = None) -> DataFrame:
-    """df with moods (detected, in rule order), primary_mood and mood_confidence.
+def mood_scores(df: DataFrame, threshold: float = 0.7, mood_rules: list[dict] | None = None, key: str = "filename") -> DataFrame:
+    """key, moods (detected, in rule order), primary_mood and mood_confidence of every key of df.
 
     df has energy, brightness, roughness, onset, duration and bandwidth, and may have zcr. Missing and
     non-finite values count as 0. Of equal scores the earlier rule wins. Where no mood reaches the
     threshold, moods is the single fallback with confidence unchanged.
     """
     inputs = [*MOOD_WEIGHTS, "duration"]
-    clean = df.withColumns({f"_{c}": to_number(F.col(c)) for c in inputs} | {"_zcr": to_number(F.col("zcr")) if "zcr" in df.columns else F.lit(0.0)})
+    clean = df.select(key, *[to_number(F.col(c)).alias(f"_{c}") for c in inputs], (to_number(F.col("zcr")) if "zcr" in df.columns else F.lit(0.0)).alias("_zcr"))
     parts = " + ".join(f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in MOOD_WEIGHTS.items())
-    raw = f"({parts} + if(_duration >= r.min_duration, 1D, 0D)) / 12D"
-    score = f"transform(_rules, r -> struct(if(r.name = 'synthetic' and _zcr > 0.05D, 0D, {raw}) as s, r.ord as ord, r.name as name))"
-    boosted = "transform(_scores, x -> struct(if(x.s > 0.8D, least(1D, x.s * 1.1D), x.s) as s, -x.ord as o, x.name as name))"
-    out = with_rules(clean, mood_rules or rules.moods()).withColumn("_scores", F.expr(score)).withColumn("_scores", F.expr(boosted))
-    out = out.withColumn("_best", F.array_max("_scores"))
-    detected = F.expr(f"transform(filter(_scores, x -> x.s >= {threshold}D), x -> x.name)")
-    return (
-        out.withColumn("moods", detected)
-        .withColumn("moods", F.when(F.size("moods") > 0, F.col("moods")).otherwise(F.array(fallback_mood(F.col("_energy"), F.col("_brightness"), F.col("_onset")))))
-        .select(*df.columns, "moods", F.col("_best.name").alias("primary_mood"), F.col("_best.s").alias("mood_confidence"))
-    )
+    raw = f"if(name = 'synthetic' and _zcr > 0.05D, 0D, ({parts} + if(_duration >= min_duration, 1D, 0D)) / 12D)"
+    score = f"if({raw} > 0.8D, least(1D, {raw} * 1.1D), {raw})"
+    out = _label(clean, key, mood_rules or rules.moods(), score, f"{threshold}D", ["_energy", "_brightness", "_onset"])
+    other = F.array(fallback_mood(F.col("_energy"), F.col("_brightness"), F.col("_onset")))
+    return out.select(key, F.when(F.size("labels") > 0, F.col("labels")).otherwise(other).alias("moods"), F.col("best").alias("primary_mood"), F.col("confidence").alias("mood_confidence"))
 
 
 def fallback_mood(energy: Column, bright: Column, onset: Column) -> Column:
@@ -71,28 +80,25 @@ def fallback_mood(energy: Column, bright: Column, onset: Column) -> Column:
     return F.when(energy > 0.08, loud).when(energy < 0.02, quiet).otherwise(rest)
 
 
-def character_scores(df: DataFrame, threshold: float | None = None, tag_rules: list[dict] | None = None) -> DataFrame:
-    """df with tags (detected, in rule order), primary_character and character_confidence.
+def character_scores(df: DataFrame, threshold: float | None = None, tag_rules: list[dict] | None = None, key: str = "filename") -> DataFrame:
+    """key, tags (detected, in rule order), primary_character and character_confidence of every key of df.
 
     df has centroid, bandwidth, rolloff and zcr, and may have timbre_variance (the mean spread of the
     first five cepstral coefficients), flatness, flux and stereo. An optional range that a tag defines
     counts in its denominator even if the feature is missing. threshold replaces the tags' own.
     """
     have = set(df.columns)
-    cols = {f"_{c}": to_number(F.col(c)) if c in have else F.lit(0.0) for c in (*TAG_WEIGHTS, "timbre_variance")}
-    cols |= {f"_{c}": to_number(F.col(c), None) if c in have else F.lit(None).cast("double") for c in OPTIONAL_TAG_WEIGHTS}
-    timbre = "case r.timbre when 'precision=high' then _timbre_variance < 0.5D when 'precision=low' then _timbre_variance > 0.5D when 'complexity=high' then _timbre_variance > 0.8D when 'complexity=low' then _timbre_variance < 0.3D else true end"
+    cols = [(to_number(F.col(c)) if c in have else F.lit(0.0)).alias(f"_{c}") for c in (*TAG_WEIGHTS, "timbre_variance")]
+    cols += [(to_number(F.col(c), None) if c in have else F.lit(None).cast("double")).alias(f"_{c}") for c in OPTIONAL_TAG_WEIGHTS]
+    timbre = "case timbre when 'precision=high' then _timbre_variance < 0.5D when 'precision=low' then _timbre_variance > 0.5D when 'complexity=high' then _timbre_variance > 0.8D when 'complexity=low' then _timbre_variance < 0.3D else true end"
     got = " + ".join([f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in (TAG_WEIGHTS | OPTIONAL_TAG_WEIGHTS).items()] + [f"if({timbre}, 1.5D, 0D)"])
-    of = " + ".join(["12.5D", *[f"if(r.{k}_lo is not null, {w}D, 0D)" for k, w in OPTIONAL_TAG_WEIGHTS.items()]])
-    limit = f"{threshold}D" if threshold is not None else "r.threshold"
-    score = f"transform(_rules, r -> struct(({got}) / ({of}) as s, -r.ord as o, r.name as name, {limit} as t))"
-    boosted = "transform(_scores, x -> struct(if(x.s > 0.85D, least(1D, x.s * 1.05D), x.s) as s, x.o as o, x.name as name, x.t as t))"
-    out = with_rules(df.withColumns(cols), tag_rules or rules.tags()).withColumn("_scores", F.expr(score)).withColumn("_scores", F.expr(boosted))
-    out = out.withColumn("_best", F.array_max("_scores")).withColumn("tags", F.expr("transform(filter(_scores, x -> x.s >= x.t), x -> x.name)"))
-    other = fallback_character(F.col("_centroid"), F.col("_bandwidth"), F.col("_rolloff"), F.col("_zcr"))
-    return out.withColumn("tags", F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(other))).select(
-        *df.columns, "tags", F.col("_best.name").alias("primary_character"), F.col("_best.s").alias("character_confidence")
-    )
+    of = " + ".join([f"12.5D", *[f"if({k}_lo is not null, {w}D, 0D)" for k, w in OPTIONAL_TAG_WEIGHTS.items()]])
+    raw = f"(({got}) / ({of}))"
+    score = f"if({raw} > 0.85D, least(1D, {raw} * 1.05D), {raw})"
+    limit = f"{threshold}D" if threshold is not None else "threshold"
+    out = _label(df.select(key, *cols), key, tag_rules or rules.tags(), score, limit, ["_centroid", "_bandwidth", "_rolloff", "_zcr"])
+    other = F.array(fallback_character(F.col("_centroid"), F.col("_bandwidth"), F.col("_rolloff"), F.col("_zcr")))
+    return out.select(key, F.when(F.size("labels") > 0, F.col("labels")).otherwise(other).alias("tags"), F.col("best").alias("primary_character"), F.col("confidence").alias("character_confidence"))
 
 
 def fallback_character(centroid: Column, bandwidth: Column, rolloff: Column, zcr: Column) -> Column:

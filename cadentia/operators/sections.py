@@ -94,7 +94,7 @@ def split_long(limits: DataFrame, points: DataFrame, key: str = "filename", long
 
 def sections(limits: DataFrame, key: str = "filename") -> DataFrame:
     """(key, section, start, end) from limits."""
-    pair = "filter(transform(times, (t, i) -> struct(i + 1 as section, t as start, times[i + 1] as end)), x -> x.end is not null)"
+    pair = "filter(transform(times, (t, i) -> struct(i + 1 as section, t as start, get(times, i + 1) as end)), x -> x.end is not null)"
     return limits.select(key, F.explode(F.expr(pair)).alias("x")).select(key, "x.section", "x.start", "x.end")
 
 
@@ -161,7 +161,7 @@ def cosine(a: str, b: str) -> Column:
     """Cosine of two arrays within 0..1; 0 if either has no length."""
     dot = f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, v) -> s + v)"
     norm = lambda v: f"sqrt(aggregate({v}, 0D, (s, x) -> s + x * x))"
-    return F.expr(f"coalesce(greatest(0D, least(1D, try_divide({dot}, {norm(a)} * {norm(b)}))), 0D)")
+    return F.expr(f"greatest(0D, least(1D, coalesce(try_divide({dot}, {norm(a)} * {norm(b)}), 0D)))")
 
 
 def similar(prints: DataFrame, key: str = "filename", k: int = 3, structure_weight: float = 0.6) -> DataFrame:

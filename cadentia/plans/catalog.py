@@ -555,7 +555,7 @@ def data_quality(spark, sf):
     return library.data_quality(_t(spark, sf, "orders"))
 
 
-@query("SELECT user_id, count(*) AS sessions, sum(n) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s) GROUP BY user_id")
+@query("SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s) GROUP BY user_id")
 def event_sessions(spark, sf):
     s = _t(spark, sf, "events").groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
