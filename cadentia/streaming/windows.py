@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream over a folder of Parquet event files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(df: DataFrame, key: str, length: str = "2 seconds", late: str = "1 minute") -> DataFrame:
