@@ -237,7 +237,7 @@ def _phrases(text: str, weights: dict[str, float]) -> list[str]:
     out = []
     for i, word in enumerate(words):
         if word in weights or any(word[:n] + "*" in weights for n in range(TERM_MIN, min(PREFIX_MAX, len(word)) + 1)):
-            out += [f"{words[i - 1]} {word}"] * (i > 0) + [f"{word} {words[i + 1]}"] * (i + 1 < len(words))
+            out += [" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1]
     return out
 
 
