@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import cut, held_out
 
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon is learned from, at most: those with the smallest hashes of their ids.
@@ -162,8 +162,8 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     """A lexicon from labelled documents that are not held out.
 
     A term enters if toxic documents hold it after several different words and clean ones (almost) never do; counting
-    the words before it keeps the vocabulary of one toxic document with many copies out. Its weight is
-    its log-odds. Phrases of a lexicon word and a neighbour that clean documents hold become
+    the words before it keeps the vocabulary of one toxic document with many copies out, and how many it needs grows
+    with the number of terms that compete. Its weight is its log-odds. Phrases of a lexicon word and a neighbour that clean documents hold become
     exceptions. With no toxic or no clean training document the lexicon is empty.
     """
     spark = docs.sparkSession
@@ -175,9 +175,11 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     n_clean = len(sample) - n_toxic
     if not n_toxic or not n_clean:
         return Lexicon(exceptions=list(exceptions or []))
-    support = max(3, n_toxic // 200)
-    seen = _count_terms(joined.where("_toxic > 0")).groupBy("term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where(F.col("contexts") >= support)
-    toxic = {r.term: (r.contexts, r.n) for r in seen.collect()}
+    seen = cut(_count_terms(joined.where("_toxic > 0")).groupBy("term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")), "terms")
+    # contexts that a term needs, so that among all terms chance gives less than one that only toxic documents hold
+    chance = math.log(2 * max(seen.count(), 1)) / math.log(len(sample) / n_toxic)
+    support = max(3, min(math.ceil(chance), n_toxic // 4))
+    toxic = {r.term: (r.contexts, r.n) for r in seen.where(F.col("contexts") >= support).collect()}
     held = spark.sparkContext.broadcast(set(toxic))
 
     def clean(batches):
