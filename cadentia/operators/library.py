@@ -181,7 +181,8 @@ def pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
 
 # ---- sequencing -----------------------------------------------------------------------------------
 
-_TRACK = {"tempo": 120.0, "energy": 0.0, "brightness": 1000.0, "duration": 0.0, "key_confidence": 0.5}
+#: What a track without a value counts as.
+DEFAULTS = {"tempo": 120.0, "energy": 0.0, "brightness": 1000.0, "duration": 0.0, "key_confidence": 0.5}
 
 
 def _related(table: str, a: Column, b: Column) -> Column:
@@ -213,7 +214,7 @@ def transition_score(a: str, b: str, use_cluster: bool = False) -> Column:
 
 def transitions(tracks: DataFrame, key: str = "filename", use_cluster: bool = False) -> DataFrame:
     """(src, dst, score) of every ordered pair of tracks: the operator is defined on all pairs of a playlist."""
-    t = tracks.fillna(_TRACK)
+    t = tracks.fillna(DEFAULTS)
     return t.alias("a").join(t.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), transition_score("a", "b", use_cluster).alias("score"))
 
 
@@ -234,7 +235,7 @@ def sequence(tracks: DataFrame, key: str = "filename", playlist: str | None = No
     """(playlist, position, key): from the best opening track always on to the best next one, then one pass of swaps of
     neighbours that raise the total. Each step depends on the last, so a playlist is one pandas group; split a
     library into playlists (the column playlist) to order more than a few thousand tracks."""
-    t = opening_score(tracks.fillna(_TRACK)).withColumn("_p", F.col(playlist).cast("string") if playlist else F.lit("all"))
+    t = opening_score(tracks.fillna(DEFAULTS)).withColumn("_p", F.col(playlist).cast("string") if playlist else F.lit("all"))
     pairs = t.alias("a").join(t.alias("b"), (F.col("a._p") == F.col("b._p")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
     edge = pairs.select(F.col("a._p").alias("playlist"), F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), transition_score("a", "b").alias("score"))
     names = t.select(F.col("_p").alias("playlist"), F.col(key).alias("src"), "opening")

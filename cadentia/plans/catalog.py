@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import labels, library, phases, sections
+from ..operators import labels, library, narrative, phases, sections, summaries
 
 FLAGSHIP = "mood_score_tracks"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,11 +475,13 @@ PLAYLIST = f"{_tracks_sql('l_suppkey')}, playlist AS (SELECT filename, energy, t
 _REL = lambda text, c: f"a.{c} || '>' || b.{c} IN (" + ", ".join(f"'{x}>{y}'" for x, y in rules.edges(text)) + ")"
 
 
-@query(f"""WITH {PLAYLIST} SELECT a.filename AS src, b.filename AS dst, CASE WHEN a.key = b.key THEN 10 WHEN {_REL(rules.KEY_EDGES, "key")} THEN 5 ELSE 0 END + CASE WHEN a.key_confidence > 0.7 AND b.key_confidence > 0.7 THEN 2 ELSE 0 END
+TRANSITION = f"""CASE WHEN a.key = b.key THEN 10 WHEN {_REL(rules.KEY_EDGES, "key")} THEN 5 ELSE 0 END + CASE WHEN a.key_confidence > 0.7 AND b.key_confidence > 0.7 THEN 2 ELSE 0 END
  + CASE WHEN abs(a.tempo - b.tempo) < 10 THEN 8 WHEN abs(a.tempo - b.tempo) < 20 THEN 5 WHEN abs(a.tempo - b.tempo) < 40 THEN 2 ELSE 0 END + CASE WHEN abs(a.energy - b.energy) < 0.02 THEN 6 WHEN abs(a.energy - b.energy) < 0.05 THEN 3 ELSE 0 END
  + CASE WHEN b.energy - a.energy > 0 AND b.energy - a.energy < 0.03 THEN 3 ELSE 0 END + CASE WHEN a.mood = b.mood THEN 4 WHEN {_REL(rules.MOOD_EDGES, "mood")} THEN 7 ELSE 0 END + CASE WHEN a.character = b.character THEN 4 WHEN {_REL(rules.CHARACTER_EDGES, "character")} THEN 2 ELSE 0 END
- + CASE WHEN a.duration > 30 AND a.duration < 300 AND b.duration > 30 AND b.duration < 300 THEN 3 ELSE 0 END + CASE WHEN a.duration < b.duration THEN 1 ELSE 0 END + CASE WHEN abs(a.brightness - b.brightness) < 500 THEN 3 WHEN abs(a.brightness - b.brightness) < 1000 THEN 1 ELSE 0 END + 2 AS score
- FROM playlist a JOIN playlist b ON a.filename <> b.filename""")
+ + CASE WHEN a.duration > 30 AND a.duration < 300 AND b.duration > 30 AND b.duration < 300 THEN 3 ELSE 0 END + CASE WHEN a.duration < b.duration THEN 1 ELSE 0 END + CASE WHEN abs(a.brightness - b.brightness) < 500 THEN 3 WHEN abs(a.brightness - b.brightness) < 1000 THEN 1 ELSE 0 END + 2"""
+
+
+@query(f"WITH {PLAYLIST} SELECT a.filename AS src, b.filename AS dst, {TRANSITION} AS score FROM playlist a JOIN playlist b ON a.filename <> b.filename")
 def transition_scores(spark, sf):
     return library.transitions(playlist(spark, sf))
 
@@ -559,3 +561,127 @@ def data_quality(spark, sf):
 def event_sessions(spark, sf):
     s = _t(spark, sf, "events").groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+# ---- summaries and narratives -----------------------------------------------------------------------
+
+
+@query(f"WITH {CLASSED} SELECT filename, phase_type, count(*) AS n FROM classed GROUP BY filename, phase_type")
+def phase_type_counts(spark, sf):
+    t = summaries.phase_types(phases.classify(phase_rows(spark, sf)))
+    return t.select("filename", F.explode("types").alias("phase_type", "n"))
+
+
+@query(f"""WITH {PHASES}, c AS (SELECT count(*) AS n FROM phase_rows GROUP BY filename)
+SELECT (SELECT count(*) FROM phase_rows) AS phases, round(avg(n), 6) AS mean_per_piece, min(n) AS min_per_piece, max(n) AS max_per_piece, (SELECT round(avg(duration), 6) FROM phase_rows) AS mean_duration,
+  (SELECT median(duration) FROM phase_rows) AS median_duration, (SELECT round(stddev_pop(duration), 6) FROM phase_rows) AS std_duration FROM c""")
+def phase_statistics(spark, sf):
+    r = summaries.phase_statistics(phase_rows(spark, sf))
+    return r.withColumns({c: _r(c) for c in ("mean_per_piece", "mean_duration", "std_duration")})
+
+
+@query(f"WITH {PARTS}, c AS (SELECT count(*) AS n FROM parts GROUP BY cluster) SELECT count(*) AS clusters, min(n) AS smallest, max(n) AS largest, round(avg(n), 6) AS mean_size, round(stddev_pop(n), 6) AS std_size, round(min(n) / max(n), 6) AS balance FROM c")
+def cluster_sizes(spark, sf):
+    r = summaries.cluster_sizes(parts(spark, sf))
+    return r.withColumns({c: _r(c) for c in ("mean_size", "std_size", "balance")})
+
+
+_CLASS = "CASE WHEN r.energy_hi <= 0.05::DOUBLE THEN 'low' WHEN r.energy_lo >= 0.08::DOUBLE THEN 'high' ELSE 'medium' END"
+
+
+@query(f"""WITH {SCORED}, d AS (SELECT s.filename, s.name, s.ord, {_CLASS} AS k FROM scored s JOIN r USING (name) WHERE s.s >= 0.7::DOUBLE),
+f AS (SELECT t.filename, r.name, r.ord, {_CLASS} AS k FROM (SELECT filename, {FALLBACK} AS name FROM tracks WHERE filename NOT IN (SELECT filename FROM d)) t JOIN r USING (name)), a AS (SELECT * FROM d UNION ALL SELECT filename, name, ord, k FROM f)
+SELECT t.filename, {", ".join(f"coalesce(string_agg(name, ', ' ORDER BY ord) FILTER (WHERE k = '{c}'), '') AS {c}" for c in summaries.ENERGY_CLASSES)} FROM tracks t LEFT JOIN a USING (filename) GROUP BY t.filename""")
+def mood_energy_profile(spark, sf):
+    m = summaries.mood_energy(labels.mood_scores(tracks(spark, sf)))
+    return m.select("filename", *[F.array_join(c, ", ").alias(c) for c in summaries.ENERGY_CLASSES])
+
+
+@query(f"""WITH {POINTS}, ch AS (SELECT filename, rn // 15 AS c, avg(energy) AS energy, avg(brightness) AS brightness, CAST(count(*) * 2 AS DOUBLE) AS duration FROM points GROUP BY ALL)
+SELECT filename, count(*) AS chunks, sum(duration) AS total_duration, {", ".join(f"round({f}({c}), 6) AS {c}_{n}" for c in ("energy", "brightness") for n, f in (("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max")))} FROM ch GROUP BY filename""")
+def chunk_summary(spark, sf):
+    ch = points(spark, sf).groupBy("filename", F.floor(F.col("rn") / 15)).agg(F.avg("energy").alias("energy"), F.avg("brightness").alias("brightness"), (F.count("*") * 2.0).alias("duration"))
+    r = summaries.chunk_summary(ch, ["energy", "brightness"])
+    return r.withColumns({c: _r(c) for c in r.columns[3:]})
+
+
+@query(f"WITH {PARTS}, f AS (SELECT * FROM (SELECT cluster, p_partkey AS peer, row_number() OVER (PARTITION BY cluster ORDER BY p_partkey) AS r FROM parts) WHERE r <= 5) SELECT * FROM (SELECT p.p_partkey, f.peer, row_number() OVER (PARTITION BY p.p_partkey ORDER BY f.peer) AS rank FROM parts p JOIN f ON f.cluster = p.cluster AND f.peer <> p.p_partkey) WHERE rank <= 4")
+def cluster_peers(spark, sf):
+    return summaries.peers(parts(spark, sf), "p_partkey").withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, list(DISTINCT l_returnflag) AS tags FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), w AS (SELECT *, lag(tags) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS prev FROM o)
+SELECT o_orderkey, coalesce(array_to_string(list_sort(list_filter(tags, lambda x: coalesce(NOT list_contains(prev, x), FALSE))), ', '), '') AS fresh FROM w""")
+def new_tags(spark, sf):
+    o = _t(spark, sf, "orders").join(_t(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "o_orderkey").agg(F.collect_set("l_returnflag").alias("tags"))
+    return summaries.new_labels(o, "tags", "o_custkey", "o_orderkey").select("o_orderkey", F.array_join(F.array_sort("new_labels"), ", ").alias("fresh"))
+
+
+@query(f"""WITH {PLAYLIST}, o AS (SELECT *, row_number() OVER (PARTITION BY character ORDER BY filename) AS r FROM playlist),
+steps AS (SELECT a.character, a.r, {TRANSITION} AS s FROM o a JOIN o b ON a.character = b.character AND b.r = a.r + 1), q AS (SELECT character, avg(s) AS m, min(s) AS least, arg_min(r, s * 1000000 + r) AS weakest FROM steps GROUP BY character)
+SELECT o.character, count(*) AS tracks, round(coalesce(any_value(m), 0), 6) AS mean_transition, CAST(any_value(least) AS BIGINT) AS min_transition, round(stddev_pop(energy), 6) AS energy_std, round(stddev_pop(tempo), 6) AS tempo_std, count(DISTINCT mood) AS moods,
+  sum(duration) AS total_duration, CAST(any_value(weakest) AS BIGINT) AS weakest, CASE WHEN any_value(m) > 15 THEN 'Excellent' WHEN any_value(m) > 10 THEN 'Good' WHEN any_value(m) > 5 THEN 'Fair' ELSE 'Poor' END AS quality FROM o LEFT JOIN q USING (character) GROUP BY o.character""")
+def sequence_quality(spark, sf):
+    p = playlist(spark, sf).withColumn("list", F.col("character"))
+    r = summaries.sequence_quality(p, "list", "filename").withColumnRenamed("list", "character")
+    return r.withColumns({c: _r(c) for c in ("mean_transition", "energy_std", "tempo_std")})
+
+
+@query("""WITH r AS (SELECT o_custkey, o_totalprice AS e, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS z FROM orders)
+SELECT o_custkey, CASE WHEN avg(e) FILTER (WHERE z <= 2) > avg(e) FILTER (WHERE a <= 2) * 1.2::DOUBLE THEN 'Building' WHEN avg(e) FILTER (WHERE z <= 2) < avg(e) FILTER (WHERE a <= 2) * 0.8::DOUBLE THEN 'Declining' ELSE 'Stable' END AS progression FROM r GROUP BY o_custkey""")
+def energy_progression_ends(spark, sf):
+    return summaries.energy_ends(_t(spark, sf, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query(f"WITH {PLAYLIST}, e(f, suggestion) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in rules.edges(rules.MOOD_EDGES))}) SELECT filename, suggestion FROM playlist JOIN e ON f = mood")
+def mood_suggestions(spark, sf):
+    return summaries.suggestions(playlist(spark, sf), "mood")
+
+
+@query(f"WITH RECURSIVE {SECS} SELECT filename, section, start, stop, round(m, 6) AS m FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY m DESC, section) AS r FROM typed) WHERE r = 1")
+def climax_section(spark, sf):
+    c = narrative.climax(typed(spark, sf))
+    return c.select("filename", F.col("section").cast("long").alias("section"), "start", F.col("end").alias("stop"), _r("m").alias("m"))
+
+
+def _case(table: dict[str, str], c: str) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{table['plateau']}' END"
+
+
+_SAID = f"CASE WHEN section % 2 = 1 THEN {_case({k: v[0] for k, v in narrative.TEMPLATES.items()}, 'section_type')} ELSE {_case({k: v[1] for k, v in narrative.TEMPLATES.items()}, 'section_type')} END"
+for _name, _value in {
+    "title": "filename", "clock": "printf('%d:%02d', CAST(floor(start / 60) AS BIGINT), CAST(floor(start) AS BIGINT) % 60)", "adverb": _case(narrative.ADVERBS, "arc"), "intensity": _case(narrative.INTENSITY, "section_type"),
+    "mood": "'neutral'", "arc": "arc", "feature": "CASE WHEN arc IN ('building', 'peak') THEN 'its layers thickening' ELSE 'its layers spread thin' END",
+}.items():
+    _SAID = f"replace({_SAID}, '{{{_name}}}', {_value})"
+
+
+@query(f"""WITH RECURSIVE {SECS}, tagged AS (SELECT *, lag([arc, section_type]) OVER (PARTITION BY filename ORDER BY section) AS prev FROM typed),
+told AS (SELECT filename, section, {_SAID} AS said, list_sort(list_distinct(list_filter([arc, section_type], lambda x: coalesce(NOT list_contains(prev, x), FALSE)))) AS fresh FROM tagged),
+n AS (SELECT *, coalesce(len(fresh), 0) > 0 AS more, sum(1 + CAST(coalesce(len(fresh), 0) > 0 AS INT)) OVER (PARTITION BY filename ORDER BY section) - 1 - CAST(coalesce(len(fresh), 0) > 0 AS INT) AS before FROM told),
+g AS (SELECT filename, string_agg(said || CASE WHEN more THEN ' New here: ' || array_to_string(fresh[:2], ' and ') || '.' ELSE '' END, ' ' ORDER BY section) FILTER (WHERE before < 6) AS body, sum(1 + CAST(more AS INT)) FILTER (WHERE before < 6) AS k, count(*) AS secs FROM n GROUP BY filename),
+f AS (SELECT *, body || repeat(' {narrative.FILLER}', greatest(0, 3 - CAST(k AS BIGINT))) AS text FROM g)
+SELECT filename, text || CASE WHEN len(string_split(text, ' ')) < 30 THEN ' In all, ' || filename || ' passes through ' || secs || ' sections from its first sound to its last, each leading to the next without a break.' ELSE '' END AS narrative FROM f""")
+def section_prose(spark, sf):
+    return narrative.prose(typed(spark, sf).withColumn("tags", F.array("arc", "section_type")))
+
+
+@query()
+def piece_narratives(spark, sf):
+    """The whole narrative table, as questions are asked of it."""
+    t, p = typed(spark, sf), points(spark, sf)
+    structure, texture = sections.structure_fingerprint(t), sections.texture_fingerprint(p)
+    told = narrative.narratives(t, structure, texture, sections.similar(structure.join(texture, "filename")))
+    return told.select("filename", "duration", "narrative", F.size("sections").cast("long").alias("sections"), F.size("similar_to").cast("long").alias("similar"))
+
+
+@query(f"WITH {POINTS} SELECT filename, round({_MM.format(c='time')}, 6) AS x, round({_MM.format(c='energy')}, 6) AS y FROM points WINDOW f AS (PARTITION BY filename)")
+def sparkline_points(spark, sf):
+    return narrative.sparkline(points(spark, sf), "time", "energy").select("filename", _r("x").alias("x"), _r("y").alias("y"))
+
+
+@query(f"""WITH {CLASSED}, c AS (SELECT filename, phase_type, count(*) AS n FROM classed GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY n DESC, phase_type) AS k FROM c),
+t AS (SELECT filename, string_agg(phase_type, ', ' ORDER BY k) AS labels FROM r WHERE k <= 5 GROUP BY filename) SELECT filename, labels, tension FROM t JOIN (SELECT filename, round(least(1.0::DOUBLE, avg(energy) / 0.3::DOUBLE), 6) AS tension FROM classed GROUP BY filename) USING (filename)""")
+def track_cards(spark, sf):
+    c = narrative.cards(phases.classify(phase_rows(spark, sf)), "phase_type")
+    return c.select("filename", F.array_join("labels", ", ").alias("labels"), _r("tension").alias("tension"))
