@@ -25,6 +25,8 @@ THRESHOLD = 0.7
 TRAINING_ROWS = 20_000
 #: Shortest term; prefixes of words up to PREFIX_MAX characters compete with whole words.
 TERM_MIN, PREFIX_MAX = 4, 7
+#: How much more often toxic documents must hold a term than clean ones.
+LEAST_RATIO = 8
 
 # Letters of other scripts that look like Latin ones, and the characters that stand for letters.
 LOOKALIKES = {
@@ -130,18 +132,23 @@ def _terms(text: str):
         before = word
 
 
-def _count_terms(docs: DataFrame) -> DataFrame:
-    """(term, before, n): documents with the term after that word, summed over tasks."""
+def _count_terms(docs: DataFrame, only=None) -> DataFrame:
+    """(term, contexts): the different words that each term follows, of all terms or of those in the broadcast set only."""
 
     def run(batches):
         for batch in batches:
-            out: dict[tuple[str, str], int] = {}
+            out: set[tuple[str, str]] = set()
             for text in batch.column(0).to_pylist():
-                for x in set(_terms(fold(text or ""))):
-                    out[x] = out.get(x, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.string()), pa.array(list(out.values()), pa.int64())], ["term", "before", "n"])
+                out.update(x for x in _terms(fold(text or "")) if only is None or x[0] in only.value)
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["term", "before"])
 
-    return docs.select("text").mapInArrow(run, "term string, before string, n long").groupBy("term", "before").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("contexts"))
+
+
+def _likelihood_ratio(a: int, b: int, n_a: int, n_b: int) -> float:
+    """G of the rates a / n_a and b / n_b: twice the log-likelihood ratio against one common rate."""
+    both = (a + b) / (n_a + n_b)
+    return 2 * sum(x * math.log(x / (n * both)) for x, n in ((a, n_a), (b, n_b)) if x)
 
 
 def _irls(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -161,10 +168,12 @@ def _irls(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, exceptions: list[str] | None = None) -> Lexicon:
     """A lexicon from labelled documents that are not held out.
 
-    A term enters if toxic documents hold it after several different words and clean ones (almost) never do; counting
-    the words before it keeps the vocabulary of one toxic document with many copies out, and how many it needs grows
-    with the number of terms that compete. Its weight is its log-odds. Phrases of a lexicon word and a neighbour that clean documents hold become
-    exceptions. With no toxic or no clean training document the lexicon is empty.
+    A term is judged by the different words that it follows, so many copies of one document say no more than it alone.
+    It needs more of these in toxic documents than chance gives any of the competing terms, and LEAST_RATIO times as
+    many a document as in clean ones. Of a word and its prefixes the one with the greatest likelihood ratio enters: a stem
+    that clean documents hold now and then is better than some of its forms that they happen to lack, as
+    scores go by length. Its weight is its log-odds. Phrases of a lexicon word and a neighbour that clean
+    documents hold become exceptions. With no toxic or no clean training document the lexicon is empty.
     """
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -175,33 +184,27 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     n_clean = len(sample) - n_toxic
     if not n_toxic or not n_clean:
         return Lexicon(exceptions=list(exceptions or []))
-    seen = cut(_count_terms(joined.where("_toxic > 0")).groupBy("term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")), "terms")
+    seen = cut(_count_terms(joined.where("_toxic > 0")), "terms")
     # contexts that a term needs, so that among all terms chance gives less than one that only toxic documents hold
-    chance = math.log(2 * max(seen.count(), 1)) / math.log(len(sample) / n_toxic)
-    support = max(3, min(math.ceil(chance), n_toxic // 4))
-    toxic = {r.term: (r.contexts, r.n) for r in seen.where(F.col("contexts") >= support).collect()}
+    competing = math.log(2 * max(seen.count(), 1))
+    support = max(3, min(math.ceil(competing / math.log(len(sample) / n_toxic)), n_toxic // 4))
+    toxic = {r.term: r.contexts for r in seen.where(F.col("contexts") >= support).collect()}
     held = spark.sparkContext.broadcast(set(toxic))
-
-    def clean(batches):
-        out: dict[str, int] = {}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for term in {t for t, _ in _terms(fold(text or ""))} & held.value:
-                    out[term] = out.get(term, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["term", "n"])
-
-    counted = joined.where("_toxic = 0").select("text").mapInArrow(clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    in_clean = {r.term: r.n for r in counted.collect()}
+    clean = {r.term: r.contexts for r in _count_terms(joined.where("_toxic = 0"), held).collect()}
+    ranked: list[tuple[float, str, float]] = []
+    for term, contexts in toxic.items():
+        odds = math.log((contexts + 0.5) / (n_toxic + 1)) - math.log((clean.get(term, 0) + 0.5) / (n_clean + 1))
+        ratio = _likelihood_ratio(contexts, clean.get(term, 0), n_toxic, n_clean)
+        if odds >= math.log(LEAST_RATIO) and ratio >= 2 * competing:
+            ranked.append((-ratio, term, odds))
     weights: dict[str, float] = {}
-    for term in sorted(toxic, key=lambda t: (len(t.rstrip("*")), t)):
-        contexts, _ = toxic[term]
-        rare = in_clean.get(term, 0)
-        odds = math.log((contexts + 0.5) / (n_toxic + 1)) - math.log((rare + 0.5) / (n_clean + 1))
-        if odds < math.log(20) or rare > 0.02 * contexts:
-            continue
+    inner: set[str] = set()  # all beginnings of the words and prefixes in the lexicon
+    for _, term, odds in sorted(ranked, key=lambda x: (x[0], len(x[1].rstrip("*")), not x[1].endswith("*"), x[1])):
         stem = term.rstrip("*")
-        if not any(stem[:n] + "*" in weights for n in range(TERM_MIN, len(stem) + (not term.endswith("*")))):
-            weights[term] = odds
+        if any(stem[:n] + "*" in weights for n in range(TERM_MIN, len(stem) + 1)) or (term.endswith("*") and stem in inner):
+            continue
+        weights[term] = odds
+        inner.update(stem[:n] for n in range(TERM_MIN, len(stem) + 1))
     lexicon = Lexicon(weights, list(exceptions or []))
     sent = spark.sparkContext.broadcast(lexicon)
 

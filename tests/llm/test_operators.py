@@ -415,6 +415,23 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs, none).where("predicted = 1").count() == 0
 
 
+def test_a_stem_that_clean_documents_hold_now_and_then_enters(spark):
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(900):
+        words = prose(rng, 100, 200).split(" ")
+        toxic = i % 9 == 0
+        for _ in range(5 if toxic else i % 10 == 1):
+            words[rng.randrange(len(words))] = f"grimb{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}"
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert any(t.endswith("*") and "grimb".startswith(t.rstrip("*")) for t in lexicon.weights) and len(lexicon.weights) < 5
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, lexicon).collect()}
+    assert sum(got[i] == int(i % 9 == 0) for i in range(900)) >= 890
+
+
 def test_exception_phrases_do_not_count():
     lexicon = toxicity.Lexicon({"trash": 5.0, "idio*": 4.0}, ["trash can"])
     weigh = lexicon.matcher()
