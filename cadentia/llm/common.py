@@ -86,7 +86,7 @@ def spans(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """Connected components of edges(src, dst: long) as (node, component = smallest node reachable).
 
-    Alternates large-star and small-star contractions (Kiverisi et al. 2014) until no edge changes.
+    Alternates large-star and small-star contractions (Kiveris et al. 2014) until no edge changes.
     Each half is a partial aggregate and an equi-join, whose hot side adaptive execution can split;
     every round is cut to the shared folder. Nodes without an edge have no row.
     """

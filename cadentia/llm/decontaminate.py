@@ -134,8 +134,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_co
 
     The benchmark is a query set: it comes in blocks of bounded size and each block is broadcast
     and searched against all documents; several blocks are chained narrow passes without a shuffle.
-    Documents are searched whole, in shards of bounded size. Null texts have no words. Items that
-    are null or without words match nothing. All columns of docs stay.
+    Documents are searched whole, in shards of bounded size. Null texts have no words. Items whose
+    text is null or without words match nothing; windows of an item with a null id match, without an id to name. All columns of docs stay.
     """
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_matches": F.array().cast(MATCH)})
     schema = out.schema
@@ -170,7 +170,7 @@ def covered_words(found: str) -> str:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     m = matches(docs.select("doc_id", "text"), benchmark, window)
-    items = "array_sort(array_distinct(_matches.item))"
+    items = "array_sort(array_distinct(array_compact(_matches.item)))"
     return m.select(
         "doc_id",
         F.col("_n_words").alias("n_words"),
