@@ -67,14 +67,21 @@ def low_variance(df: DataFrame, columns: list[str], least: float = 0.001) -> lis
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) of every pair of columns, from one aggregate."""
+    """(a, b, r) of every pair of columns, from one aggregate over the rows that have both; r is null where one is constant."""
+
+    def r(a: str, b: str) -> Column:
+        own = lambda x, y: F.var_pop(F.when(F.col(y).isNotNull(), F.col(x)))
+        return F.try_divide(F.covar_pop(a, b), F.sqrt(own(a, b) * own(b, a)))
+
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs]).alias("x"))
+    one = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(a, b).alias("r")) for a, b in pairs]).alias("x"))
     return one.select(F.explode("x").alias("x")).select("x.*")
 
 
 def correlated(df: DataFrame, columns: list[str], limit: float = 0.95) -> list[str]:
     """Columns to drop: of each pair correlated beyond limit the one with less variance, or the second."""
+    if len(columns) < 2:
+        return []
     var = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
     gone: list[str] = []
     for r in correlations(df, columns).where(F.abs("r") > limit).collect():  # one row per pair of columns
@@ -118,13 +125,13 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def homogeneity(df: DataFrame, cluster: str, columns: list[str]) -> DataFrame:
     """Mean coefficient of variation of the columns within each cluster; 0 for a single row."""
     u = unpivot(df.select(cluster, *[F.col(c).cast("double").alias(c) for c in columns]), [cluster], columns)
-    cv = u.groupBy(cluster, "feature").agg((F.stddev_samp("value") / F.abs(F.avg("value"))).alias("cv"), F.avg("value").alias("m")).where("m <> 0")
+    cv = u.groupBy(cluster, "feature").agg(F.try_divide(F.stddev_samp("value"), F.abs(F.avg("value"))).alias("cv"), F.avg("value").alias("m")).where("m <> 0")
     return cv.groupBy(cluster).agg(F.coalesce(F.avg("cv"), F.lit(0.0)).alias("homogeneity"))
 
 
 def coherence(df: DataFrame, cluster: str, tempo: str, key: str, mood: str, energy: str) -> DataFrame:
     """Label of how alike the tracks of each cluster are in tempo, key, mood and energy."""
-    g = df.groupBy(cluster).agg(F.count("*").alias("n"), (F.max(tempo) - F.min(tempo)).alias("t"), F.countDistinct(key).alias("k"), F.countDistinct(mood).alias("m"), (F.stddev_samp(energy) / F.avg(energy)).alias("e"))
+    g = df.groupBy(cluster).agg(F.count("*").alias("n"), (F.max(tempo) - F.min(tempo)).alias("t"), F.countDistinct(key).alias("k"), F.countDistinct(mood).alias("m"), F.try_divide(F.stddev_samp(energy), F.avg(energy)).alias("e"))
     step = lambda c, a, b, strict: F.when(c < a if strict else c <= a, 2).when(c < b if strict else c <= b, 1).otherwise(0)
     points = step(F.col("t"), 20, 40, True) + step(F.col("k"), 2, 3, False) + step(F.col("m"), 2, 3, False) + step(F.col("e"), 0.2, 0.5, True)
     return g.select(cluster, "n", points.alias("points"), F.when(F.col("n") == 1, "Single Track").when(points >= 6, "High").when(points >= 4, "Moderate").otherwise("Low").alias("coherence"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import labels, library, narrative, phases, sections, summaries
+from ..operators import insights, labels, library, narrative, phases, sections, summaries
 
 FLAGSHIP = "mood_score_tracks"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,3 +685,58 @@ t AS (SELECT filename, string_agg(phase_type, ', ' ORDER BY k) AS labels FROM r
 def track_cards(spark, sf):
     c = narrative.cards(phases.classify(phase_rows(spark, sf)), "phase_type")
     return c.select("filename", F.array_join("labels", ", ").alias("labels"), _r("tension").alias("tension"))
+
+
+# ---- profiles and advice ----------------------------------------------------------------------------
+
+_BEST = f"{_TAGGED}, best AS (SELECT filename, arg_max(name, s * 1000 - ord * 1e-6::DOUBLE) AS tag FROM scored GROUP BY filename)"
+
+
+def best_tags(spark, sf):
+    t = tracks(spark, sf).withColumnRenamed("brightness", "centroid")
+    return labels.character_scores(t).select("filename", F.col("primary_character").alias("tag"))
+
+
+@query(f"WITH {_BEST}, v(name, category) AS (VALUES {', '.join(f"('{r['name']}', '{r['category']}')" for r in rules.tags())}) SELECT tag, category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM best), 6) AS percentage FROM best JOIN v ON v.name = tag GROUP BY tag, category")
+def character_distribution(spark, sf):
+    return labels.distribution(best_tags(spark, sf), "tag", rules.tags()).withColumn("percentage", _r("percentage"))
+
+
+@query(f"""WITH {_TAGGED}, hit AS (SELECT filename, name FROM scored WHERE s >= threshold),
+c AS (SELECT t.filename, count(*) FILTER (WHERE name = 'analog_synth') AS a, count(*) FILTER (WHERE name = 'digital_synth') AS d, count(*) FILTER (WHERE name IN ('acoustic_instrument', 'mellotron')) AS ac,
+  count(*) FILTER (WHERE name = 'rich_texture') - count(*) FILTER (WHERE name = 'pure_tone') AS t, count(*) FILTER (WHERE name = 'bright_harmonics') - count(*) FILTER (WHERE name = 'warm_harmonics') AS h FROM hit t GROUP BY t.filename)
+SELECT filename, round(CASE WHEN a + d + ac = 0 THEN 0 ELSE a / (a + d + ac) END::DOUBLE, 6) AS analog, round(CASE WHEN a + d + ac = 0 THEN 0 ELSE d / (a + d + ac) END::DOUBLE, 6) AS digital, round(CASE WHEN a + d + ac = 0 THEN 0 ELSE ac / (a + d + ac) END::DOUBLE, 6) AS acoustic,
+  CASE WHEN t > 0 THEN 'high' WHEN t < 0 THEN 'low' ELSE 'medium' END AS texture_complexity, CASE WHEN h > 0 THEN 'bright' WHEN h < 0 THEN 'warm' ELSE 'neutral' END AS harmonic_tendency FROM c""")
+def synthesis_profile(spark, sf):
+    """Of the tags found by rule; tracks that only a fallback names are tested apart."""
+    t = tracks(spark, sf).withColumnRenamed("brightness", "centroid")
+    tags = labels.character_scores(t).select("filename", F.explode("tags").alias("tag"))
+    r = insights.synthesis_profile(tags, "tag", "filename")
+    return r.withColumns({c: _r(c) for c in ("analog", "digital", "acoustic")})
+
+
+@query(f"""WITH {PARTS}, c AS (SELECT cluster, avg(tempo) AS tempo, avg(energy) AS energy, avg(CASE WHEN energy > 0.25::DOUBLE THEN 100.0::DOUBLE ELSE 0 END) AS climax, avg(CASE WHEN brightness < 1200 THEN 100.0::DOUBLE ELSE 0 END) AS breakdown FROM parts GROUP BY cluster)
+SELECT cluster, concat_ws('. ', CASE WHEN tempo > 140 THEN 'Fast, for the peak of a set' WHEN tempo > 120 THEN 'Of middle pace, for building up' ELSE 'Slow, for rest' END,
+  CASE WHEN energy > 0.1::DOUBLE THEN 'Strong enough to dance to' WHEN energy > 0.05::DOUBLE THEN 'Of moderate strength, fits anywhere' ELSE 'Quiet, for the background' END,
+  CASE WHEN climax > 60 THEN 'Clear peaks tell a story' END, CASE WHEN breakdown > 60 THEN 'Breakdowns ease mixing' END) AS advice FROM c""")
+def cluster_advice(spark, sf):
+    share = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
+    g = parts(spark, sf).groupBy("cluster").agg(F.avg("tempo").alias("tempo"), F.avg("energy").alias("energy"), share(F.col("energy") > 0.25).alias("climax_percent"), share(F.col("brightness") < 1200).alias("breakdown_percent"), F.lit("Low").alias("coherence"))
+    return insights.cluster_advice(g).withColumn("advice", F.array_join("advice", ". "))
+
+
+@query(f"""WITH {PARTS}, a AS (SELECT avg(tempo) AS m, stddev_samp(tempo) AS sd, max(tempo) FILTER (WHERE p_partkey = 1) AS t1 FROM parts), k AS (SELECT count(*) AS n FROM parts GROUP BY cluster), l AS (SELECT tempo FROM parts ORDER BY p_partkey DESC LIMIT 1)
+SELECT concat_ws('. ', 'Mostly ' || (SELECT replace(mood, '_', ' ') FROM parts GROUP BY mood ORDER BY count(*) DESC, mood LIMIT 1), CASE WHEN sd < 20 THEN 'Its tempos stay together' ELSE 'Its tempos range widely' END,
+  CASE WHEN (SELECT max(n) FROM k) > (SELECT count(*) FROM k) * 0.6::DOUBLE THEN 'One style prevails' ELSE 'Several styles stand side by side' END, CASE WHEN (SELECT tempo FROM l) > t1 THEN 'The sequence gains pace' ELSE 'The sequence calms down' END) AS insights FROM a""")
+def collection_insights(spark, sf):
+    p = parts(spark, sf)
+    k = p.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.max("n").alias("largest"), F.count("*").alias("clusters"))
+    one = p.agg(F.mode("mood", True).alias("mood"), F.stddev_samp("tempo").alias("sd"), F.min_by("tempo", "p_partkey").alias("first"), F.max_by("tempo", "p_partkey").alias("last")).crossJoin(k)  # one row each
+    c = F.col
+    return one.select(F.array_join(insights.collection_insights(c("mood"), c("sd"), F.lit(None).cast("double"), c("largest"), c("clusters"), c("first"), c("last")), ". ").alias("insights"))
+
+
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nulls, count(*) AS \"distinct\", 'Nothing to improve' AS advice FROM orders")
+def quality_advice(spark, sf):
+    r = insights.quality_advice(_t(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    return r.withColumn("advice", F.array_join("advice", ". "))

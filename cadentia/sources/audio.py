@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import signal
 
 SUFFIX = r"\.(wav|aiff?|mp3)$"
+#: Bytes of a file that its format is read from.
+HEADER_BYTES = 1 << 16
+# What an estimate assumes of a library.
+MINUTES_PER_FILE, SECONDS_PER_MINUTE, MANY_FILES = 3.0, 2.0, 50
 
 
 class AudioError(ValueError):
@@ -40,34 +44,50 @@ def _pcm(data: bytes, bits: int, big: bool, floating: bool, signed8: bool) -> np
     raise AudioError(f"{bits} bits are not supported")
 
 
+def _walk(data: bytes):
+    """(name, size, content) of the chunks of a WAV or AIFF file, as far as data goes; the content may be cut off."""
+    wav = _is_wav(data)
+    at = 12
+    while at + 8 <= len(data):
+        size = struct.unpack("<I" if wav else ">I", data[at + 4 : at + 8])[0]
+        yield data[at : at + 4], size, data[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+
+
+def _is_wav(data: bytes) -> bool:
+    wav = data[:4] == b"RIFF" and data[8:12] == b"WAVE"
+    if not wav and not (data[:4] == b"FORM" and data[8:12] in (b"AIFF", b"AIFC")):
+        raise AudioError("neither WAV nor AIFF")
+    return wav
+
+
+def _format(name: bytes, chunk: bytes) -> tuple[int, int, int, bool, bool] | None:
+    """(channels, rate, bits, big-endian, floating) if the chunk tells the format."""
+    if name == b"fmt " and len(chunk) >= 16:
+        code, n, rate, _, _, bits = struct.unpack("<HHIIHH", chunk[:16])
+        code = struct.unpack("<H", chunk[24:26])[0] if code == 0xFFFE and len(chunk) >= 26 else code
+        if code not in (1, 3):
+            raise AudioError(f"coding {code} is not supported")
+        return n, rate, bits, False, code == 3
+    if name == b"COMM" and len(chunk) >= 18:
+        n, _, bits = struct.unpack(">hIh", chunk[:8])
+        exponent, mantissa = struct.unpack(">HQ", chunk[8:18])
+        code = chunk[18:22] or b"NONE"
+        if code not in (b"NONE", b"sowt", b"fl32"):
+            raise AudioError(f"coding {code!r} is not supported")
+        return n, round(mantissa * 2.0 ** (exponent - 16383 - 63)), bits, code != b"sowt", code == b"fl32"
+    return None
+
+
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """(channels x samples in -1..1, rate) of a PCM or float WAV or AIFF file."""
-    kind = data[:4], data[8:12]
-    wav = kind == (b"RIFF", b"WAVE")
-    if not wav and not (kind[0] == b"FORM" and kind[1] in (b"AIFF", b"AIFC")):
-        raise AudioError("neither WAV nor AIFF")
-    at, head, body = 12, None, None
-    while at + 8 <= len(data):
-        name, size = data[at : at + 4], struct.unpack("<I" if wav else ">I", data[at + 4 : at + 8])[0]
-        chunk = data[at + 8 : at + 8 + size]
-        if name == b"fmt " and len(chunk) >= 16:
-            code, n, rate, _, _, bits = struct.unpack("<HHIIHH", chunk[:16])
-            code = struct.unpack("<H", chunk[24:26])[0] if code == 0xFFFE and len(chunk) >= 26 else code
-            if code not in (1, 3):
-                raise AudioError(f"coding {code} is not supported")
-            head = n, rate, bits, False, code == 3
-        elif name == b"COMM" and len(chunk) >= 18:
-            n, _, bits = struct.unpack(">hIh", chunk[:8])
-            exponent, mantissa = struct.unpack(">HQ", chunk[8:18])
-            code = chunk[18:22] or b"NONE"
-            if code not in (b"NONE", b"sowt", b"fl32"):
-                raise AudioError(f"coding {code!r} is not supported")
-            head = n, round(mantissa * 2.0 ** (exponent - 16383 - 63)), bits, code != b"sowt", code == b"fl32"
-        elif name == b"data" and wav:
+    wav, head, body = _is_wav(data), None, None
+    for name, _, chunk in _walk(data):
+        head = _format(name, chunk) or head
+        if name == b"data" and wav:
             body = chunk
         elif name == b"SSND" and not wav:
             body = chunk[8 + struct.unpack(">I", chunk[:4])[0] :]
-        at += 8 + size + size % 2
     if head is None or body is None or head[0] < 1 or head[1] < 1:
         raise AudioError("no format or no samples")
     n, rate, bits, big, floating = head
@@ -75,6 +95,19 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     return x[: len(x) // n * n].reshape(-1, n).T, rate
 
 
+def header(data: bytes) -> tuple[int, int, int, float]:
+    """(channels, rate, bits, seconds) from the first bytes of a WAV or AIFF file, without its samples."""
+    wav, head, size = _is_wav(data), None, None
+    for name, length, chunk in _walk(data):
+        head = _format(name, chunk) or head
+        if name == (b"data" if wav else b"SSND"):
+            size = length if wav else length - 8
+    if head is None or size is None or min(head[:3]) < 1:
+        raise AudioError("no format or no samples")
+    n, rate, bits, *_ = head
+    return n, rate, bits, size / (n * bits // 8) / rate
+
+
 def cleaned(y: np.ndarray, sr: int) -> np.ndarray:
     """A usable mono signal without offset, at a peak of 0.9; AudioError if it is empty, short, not finite or silent."""
     if not len(y) or len(y) < sr:
@@ -87,6 +120,32 @@ def cleaned(y: np.ndarray, sr: int) -> np.ndarray:
     return y * (0.9 / np.abs(y).max())
 
 
+def metadata(files: DataFrame) -> DataFrame:
+    """(filename, length, suffix, channels, rate, bits, duration, error) of every file; only its first bytes reach Python."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for data in batch.column(3):
+                try:
+                    rows.append((*header(data.as_py() or b""), None))
+                except AudioError as e:
+                    rows.append((None, None, None, None, str(e)))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["filename", "length", "suffix", "channels", "rate", "bits", "duration", "error"])
+
+    first = files.select("filename", F.col("length").cast("long").alias("length"), F.lower(F.regexp_extract("filename", r"\.[^.]*$", 0)).alias("suffix"), F.substring("content", 1, HEADER_BYTES).alias("head"))
+    return first.mapInArrow(run, "filename string, length long, suffix string, channels int, rate int, bits int, duration double, error string")
+
+
+def estimate(files: DataFrame, minutes_per_file: float = MINUTES_PER_FILE, seconds_per_minute: float = SECONDS_PER_MINUTE) -> DataFrame:
+    """(files, audio_minutes, seconds, advice) that a library will take, by its number of files."""
+    n = F.count("*")
+    r = files.agg(n.alias("files"), (n * minutes_per_file).alias("audio_minutes"), (n * minutes_per_file * seconds_per_minute).alias("seconds"))
+    return r.withColumn("advice", F.when(F.col("files") == 0, "nothing to do").when(F.col("files") > MANY_FILES, "split into batches").otherwise("one run will do"))
+
+
 def features(files: DataFrame) -> DataFrame:
     """(filename, error, features map, key) of every file: numbers of the raw signal, or why it was rejected."""
 
