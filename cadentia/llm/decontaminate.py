@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import payloads, spans
+from .common import free_name, payloads, spans
 
 WINDOW = 10
 #: Words of benchmark text that one block of queries may hold; each block is broadcast by itself.
@@ -129,15 +129,15 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 MATCH = "array<struct<item:string,item_pos:long,doc_pos:long,words:long>>"
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _n_words and _matches: every longest verbatim match of window words or more.
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, n_words: str = "_n_words", found: str = "_matches") -> DataFrame:
+    """docs with _n_words and _matches (or the names given; columns that docs has under them are replaced): every longest verbatim match of window words or more.
 
     The benchmark is a query set: it comes in blocks of bounded size and each block is broadcast
     and searched against all documents; several blocks are chained narrow passes without a shuffle.
     Documents are searched whole, in shards of bounded size. Null texts have no words. Items whose
-    text is null or without words match nothing; windows of an item with a null id match, without an id to name. All columns of docs stay.
+    text is null or without words match nothing; windows of an item with a null id match, without an id to name. All other columns of docs stay.
     """
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_matches": F.array().cast(MATCH)})
+    out = docs.drop(n_words, found).withColumns({n_words: F.lit(0).cast("long"), found: F.array().cast(MATCH)})
     schema = out.schema
     names = out.columns
     for items in _blocks(benchmark, item_col, "text", block_words):
@@ -150,9 +150,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_co
                 n, rows = [], []
                 before = batch.column(len(names) - 1).to_pylist()
                 for lo, hi in spans(texts, 8 << 20):
-                    for words, found in queries.search(texts[lo:hi]):
+                    for words, hits in queries.search(texts[lo:hi]):
                         n.append(words)
-                        rows.append([{"item": queries.items[i], "item_pos": p, "doc_pos": d, "words": w} for i, p, d, w in found])
+                        rows.append([{"item": queries.items[i], "item_pos": p, "doc_pos": d, "words": w} for i, p, d, w in hits])
                 rows = [a + b for a, b in zip(before, rows, strict=True)]
                 kind = pa.list_(pa.struct([("item", pa.string()), ("item_pos", pa.int64()), ("doc_pos", pa.int64()), ("words", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n, pa.int64()), pa.array(rows, kind)], names=names)
@@ -182,5 +182,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without those that hold a window of a benchmark item."""
-    return matches(docs, benchmark, window).where("size(_matches) = 0").drop("_n_words", "_matches")
+    """docs without those that hold a window of a benchmark item. All columns stay, whatever their names."""
+    n_words, found = free_name(docs, "_n_words"), free_name(docs, "_matches")
+    return matches(docs, benchmark, window, n_words=n_words, found=found).where(F.size(found) == 0).drop(n_words, found)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 
 def line_windows(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -34,21 +34,24 @@ def covered_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, width: int = 3) -> DataFrame:
-    """docs with _n_lines, _n_removed and text without the lines that later occurrences cover.
+def dedup_lines(docs: DataFrame, width: int = 3, n_lines: str = "_n_lines", n_removed: str = "_n_removed") -> DataFrame:
+    """docs with _n_lines, _n_removed (or the names given) and text without the lines that later occurrences cover.
 
     Windows are judged on the input. Lines are what newlines part; a document of fewer than width
     lines has no window and stays as it is, as do null texts and rows with a null doc_id. Rows
-    that repeat a doc_id are one document, so equal rows don't count as copies of each other. A first occurrence keeps its lines unless a later
-    window covers them as well.
+    that repeat a doc_id are one document, so equal rows don't count as copies of each other. A first
+    occurrence keeps its lines unless a later window covers them as well. Columns that docs has under the two names
+    are replaced; all others stay.
     """
-    gone = covered_lines(docs.select("doc_id", "text"), width)
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> _lines[i]), '\n')")
+    docs = docs.drop(n_lines, n_removed)
+    gone, lines = free_name(docs, "_gone"), free_name(docs, "_lines")
+    covered = covered_lines(docs.select("doc_id", "text"), width).withColumnRenamed("gone", gone)
+    kept = F.expr(f"array_join(transform(array_except(sequence(0, size({lines}) - 1), {gone}), i -> {lines}[i]), '\n')")
     return (
-        docs.join(gone.withColumnRenamed("gone", "_gone"), "doc_id", "left")
-        .withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-        .withColumn("_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long"))
-        .withColumn("_n_removed", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-        .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-        .select(*docs.columns, "_n_lines", "_n_removed")
+        docs.join(covered, "doc_id", "left")
+        .withColumn(lines, F.split(F.col("text").cast("string"), "\n", -1))
+        .withColumn(n_lines, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+        .withColumn(n_removed, F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long"))
+        .withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept))
+        .select(*docs.columns, n_lines, n_removed)
     )

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, free_name, held_out
 
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon is learned from, at most: those with the smallest hashes of their ids.
@@ -246,15 +246,15 @@ def _phrases(text: str, weights: dict[str, float]) -> list[str]:
     return out
 
 
-def toxicity(docs: DataFrame, lexicon: Lexicon, keep_columns: bool = False) -> DataFrame:
-    """doc_id, score and predicted of every row of docs (with keep_columns: docs with _score).
+def toxicity(docs: DataFrame, lexicon: Lexicon, keep_columns: str | None = None) -> DataFrame:
+    """doc_id, score and predicted of every row of docs. With keep_columns: docs with the score under that new name.
 
     Whole texts are scored. Null and empty texts have no match and get the score of a clean text.
     """
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     picked = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     at = picked.columns.index("text")
-    out = picked.withColumn("_score", F.lit(0.0))
+    out = picked.withColumn(keep_columns or "_score", F.lit(0.0))
     schema = out.schema if keep_columns else "doc_id long, _score double"
     names = out.columns if keep_columns else ["doc_id", "_score"]
 
@@ -273,5 +273,6 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, keep_columns: bool = False) -> D
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with a score under the threshold."""
-    return toxicity(docs, lexicon, keep_columns=True).where(F.col("_score") < THRESHOLD).drop("_score")
+    """docs with a score under the threshold. All columns stay, whatever their names."""
+    score = free_name(docs, "_score")
+    return toxicity(docs, lexicon, score).where(F.col(score) < THRESHOLD).drop(score)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cadentia.llm import decontaminate, hnsw, language, line_dedup, packing, queries, sharding, simhash, substrings, toxicity, warc
 from cadentia.llm.common import components, held_out
@@ -526,3 +527,36 @@ def test_pipeline(spark, tmp_path):
         texts.setdefault(t, []).append(d)
     for same in texts.values():
         assert len(packed & set(same)) <= 1
+
+
+# ---- columns with the names that operators use, and empty tables ------------------------------------
+
+NAMES = ["_score", "_gone", "_lines", "_n_lines", "_n_removed", "_n_words", "_matches", "id", "fp", "rep", "component", "component_id", "fingerprint", "score", "predicted", "lang_pred", "_id", "_toxic", "term", "before", "length", "start", "_task", "pos", "gone", "h1", "node"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_clashing_columns_stay_and_empty_tables_pass(spark, empty):
+    rows = [(1, "a b c d e", "en"), (2, None, None), (3, "", "fr"), (None, "x y z", "de"), (4, "you stupid idiot " * 3, "en"), (5, "p\nq\nr\ns", "en"), (6, "p\nq\nr", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    docs = docs.where("false") if empty else docs
+    for c in NAMES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    bench = spark.createDataFrame([(1, "a b c d e"), (None, "x y z"), (2, None)], "item_id long, text string")
+    lexicon = toxicity.Lexicon({"idio*": 5.0, "stup*": 5.0}, bias=-1.0)
+    made = {
+        "toxicity": (toxicity.drop_toxic(docs, lexicon), {1, 2, 3, None, 5, 6}),
+        "simhash": (simhash.keep_one(docs), {1, 2, None, 4, 5, 6}),
+        "decontaminate": (decontaminate.decontaminate(docs, bench), {2, 3, 4, 5, 6}),
+        "no benchmark": (decontaminate.decontaminate(docs, bench.where("false")), {1, 2, 3, None, 4, 5, 6}),
+    }
+    for name, (out, want) in made.items():
+        assert out.columns == docs.columns, name
+        got = {r.doc_id: r for r in out.collect()}
+        assert set(got) == (set() if empty else want), name
+        assert all(r[c] == f"{c}{i}" for i, r in got.items() if i is not None for c in NAMES), name
+    out = line_dedup.dedup_lines(docs, n_lines="lines_in", n_removed="lines_out")
+    assert out.columns == [*docs.columns, "lines_in", "lines_out"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert empty or (got[6].lines_out == 3 and got[5].lines_out == 0 and got[5]["_lines"] == "_lines5" and got[6]["_n_lines"] == "_n_lines6")
+    for f in (lambda: toxicity.toxicity(docs, lexicon), lambda: decontaminate.contamination(docs, bench), lambda: language.identify(docs, language.fit(docs)), lambda: substrings.remove_repeats(docs), lambda: packing.pack(docs, queries.TOKENIZER)):
+        assert f().count() == (0 if empty else len(rows))
