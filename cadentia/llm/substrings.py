@@ -94,6 +94,15 @@ def sample_runs(texts: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tup
     return doc, start - begin[doc], end - start, h[anchor]
 
 
+def anchors(windows: list[bytes], width: int = WIDTH, gram: int = GRAM) -> list[int]:
+    """Where the anchor of the first window of each text begins."""
+    if not windows:
+        return []
+    w = width - gram + 1
+    h = gram_hashes(np.frombuffer(b"".join(x[:width] for x in windows) + bytes(gram - 1), np.uint8), gram)
+    return (h.reshape(-1, width)[:, :w] >> U64(32)).argmin(axis=1).tolist()
+
+
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """(id, start, n, anchor, name) of every run of docs(id, text)."""
 
@@ -204,14 +213,16 @@ def _islands(flags: np.ndarray) -> list[tuple[int, int]]:
 # ---- the operator -------------------------------------------------------------------------------------
 
 
-def _split_hot(rest: DataFrame, width: int, bucket_runs: int) -> tuple[DataFrame, DataFrame | None]:
+def _split_hot(rest: DataFrame, width: int, gram: int, bucket_runs: int) -> tuple[DataFrame, DataFrame | None]:
     """Run texts (core, id, start, body, several) with no core of more than bucket_runs, and spans found on the way.
 
     The core of a run is what all its windows share, at first its anchor. Where too many different runs
-    share one, each is halved: the windows of a half share a longer core, by whose hash they are
-    dealt, and halves of equal text become one. A single window is its own core, so halving ends.
+    share one, each is parted by the place of the anchor in its windows, at the same places for every run, so
+    that equal windows stay together: the core of a part is what all windows with the anchor in that range of places
+    share, and parts are dealt by its hash. Parts of equal text become one. A single window is its own core, so this ends.
     """
     done = spans_ = None
+    edges = [0, width - gram + 1]  # limits of the ranges of places
     join = lambda a, b: b if a is None else a.unionByName(b)
     while True:
         crowd = cut(rest.groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > bucket_runs).select("core"), "crowd")
@@ -219,24 +230,28 @@ def _split_hot(rest: DataFrame, width: int, bucket_runs: int) -> tuple[DataFrame
             return join(done, rest), spans_
         done = join(done, rest.join(crowd, "core", "left_anti"))
 
-        def halve(batches):
+        edges = sorted({*edges, *((lo + hi) // 2 for lo, hi in zip(edges, edges[1:], strict=False))})
+
+        def part_(batches, ranges=tuple(zip(edges, edges[1:], strict=False))):
             for batch in batches:
                 rows = []
-                for id_, start, body, several in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bodies = batch.column(2).to_pylist()
+                for id_, start, body, several, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bodies, batch.column(3).to_pylist(), anchors(bodies, width, gram), strict=True):
                     n = len(body) - width + 1
-                    for lo, hi in ((0, n // 2), (n // 2, n)):
+                    for near, far in ranges:  # the anchor is at - i bytes into window i
+                        lo, hi = max(at - far + 1, 0), min(at - near + 1, n)
                         if lo < hi:
-                            part, shared = body[lo : hi + width - 1], body[hi - 1 : lo + width]
+                            part, shared = body[lo : hi + width - 1], body[at - near : at - far + 1 + width]
                             rows.append((xxhash.xxh3_64_intdigest(shared, len(shared)) - (1 << 63), xxhash.xxh3_64_intdigest(part) - (1 << 63), id_, start + lo, part, several))
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["core", "name", "id", "start", "body", "several"])
 
         hot = rest.join(crowd, "core", "left_semi").select("id", "start", "body", "several")
-        halves = cut(hot.mapInArrow(halve, "core long, name long, id long, start int, body binary, several boolean"), "halves")
-        same = halves.groupBy("core", "name").agg(F.count("*").alias("c"), F.max("several").alias("s"), F.min(F.struct("id", "start")).alias("first"))
+        parts = cut(hot.mapInArrow(part_, "core long, name long, id long, start int, body binary, several boolean"), "parts")
+        same = parts.groupBy("core", "name").agg(F.count("*").alias("c"), F.max("several").alias("s"), F.min(F.struct("id", "start")).alias("first"))
         same = cut(same.select("core", "name", "first", (F.col("s") | (F.col("c") > 1)).alias("known")), "same")
-        joined = halves.join(same, ["core", "name"])
+        joined = parts.join(same, ["core", "name"])
         spans_ = join(spans_, joined.where("known and not several").select("id", "start", (F.octet_length("body") - (width - 1)).alias("n")))
         rest = cut(joined.where("id = first.id and start = first.start").select("core", "id", "start", "body", F.col("known").alias("several")), "rest")
 
@@ -261,7 +276,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket
     release_shuffles(spark)
     binary = texts.where("at is not null").select("id", F.col("text").cast("binary").alias("b"), F.explode("at").alias("r"))
     body = binary.select(F.col("r.anchor").alias("core"), "id", F.col("r.start").alias("start"), F.expr(f"substring(b, r.start + 1, r.n + {width - 1})").alias("body"), F.col("r.several").alias("several"))
-    dealt, early = _split_hot(body, width, bucket_runs)
+    dealt, early = _split_hot(body, width, gram, bucket_runs)
     size = standing.agg(F.sum(F.col("n") + width)).first()[0] or 0
     buckets = -(-size // BUCKET_BYTES) or 1
 

@@ -492,6 +492,24 @@ def test_substrings(docs, width, gram, bucket_runs):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), len(g), n_spans, hashlib.sha256(kept).hexdigest()), r.doc_id
 
 
+def test_substrings_crowded_anchors_in_many_buckets(spark, monkeypatch):
+    """Runs of one anchor that differ in start and length keep their equal windows together."""
+    rng = random.Random(21)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = letters(150)
+    # parts of one passage, each with text of its own around, some of which two documents share
+    tails = [letters(60) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        lo, hi = rng.randrange(60), 150 - rng.randrange(60)
+        rows.append((i, letters(rng.randrange(30)) + rng.choice(tails) + passage[lo:hi] + rng.choice(tails)[: rng.randrange(10, 60)] + letters(rng.randrange(30))))
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 64)
+    texts = {i: t.encode() for i, t in rows}
+    gone = slow_repeats(texts, 40)
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 40, 16, 3).collect()}
+    assert got == {i: len(g) for i, g in gone.items()}
+
+
 def test_substrings_repeated_and_null_ids(spark):
     text = prose(random.Random(9), 80)
     df = spark.createDataFrame([(1, text), (1, text), (None, text + "x"), (2, "short")], "doc_id long, text string")
