@@ -280,11 +280,23 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col:
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
+    With similarity, documents whose sets of five-word shingles have at least that Jaccard similarity are linked too.
     Of rows that repeat that doc_id one stays; rows with a null doc_id stay.
     """
-    kept = near_duplicates(docs.where("doc_id is not null"), radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    with_id = docs.where("doc_id is not null")
+    found = near_duplicates(with_id, radius, shingle)
+    if similarity is None:
+        kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    else:
+        from .shingles import similar_links
+
+        known = cut(found.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).distinct(), "known")
+        texts = with_id.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+        root = components(known.where("src <> dst").unionByName(similar_links(texts, similarity, known)), "near")
+        gone = root.where("node <> component").select(F.col("node").alias("doc_id"))
+        kept = known.select(F.col("src").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti")
+    with_id = with_id.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cadentia.llm import decontaminate, hnsw, language, line_dedup, packing, queries, sharding, simhash, substrings, toxicity, warc
+from cadentia.llm import decontaminate, hnsw, language, line_dedup, packing, queries, sharding, shingles, simhash, substrings, toxicity, warc
 from cadentia.llm.common import components, held_out
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,6 +127,38 @@ def test_keep_one(spark):
     assert simhash.keep_one(spark.createDataFrame([], "doc_id long, text string, fp string")).count() == 0
 
 
+def jaccard(a: str | None, b: str | None) -> float:
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_pipeline_drops_five_word_similarity(spark):
+    """Copies with replaced words at a similarity of 0.8 and more go, less similar ones and clean texts stay."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    texts, origin = {}, {}
+    for i in range(150):
+        words = [f"v{rng.randrange(3000)}" for _ in range(300)]
+        texts[i * 10] = " ".join(words)
+        for k in range(1, 20 if i == 0 else 3):  # one group with large bands
+            own = list(words)
+            for at in rng.sample(range(300), rng.randrange(1, 12)):
+                own[at] = f"z{rng.randrange(10**6)}"
+            texts[i * 10 + k if i else 100_000 + k], origin[i * 10 + k if i else 100_000 + k] = " ".join(own), i * 10
+    df = spark.createDataFrame([(d, t, "en", None, None) for d, t in texts.items()], DOC)
+    kept = {r.doc_id for r in corpus_pipeline.dedup_near(spark, df, "").collect()}
+    score = {d: jaccard(t, texts[origin[d]]) for d, t in texts.items() if d in origin}
+    assert {d for d in texts if d not in origin} <= kept
+    near = [d for d, s in score.items() if s >= 0.8]
+    assert len(near) > 150 and not kept & set(near)
+    assert sum(s < 0.75 for s in score.values()) > 20
+    links = shingles.similar_links(df.selectExpr("doc_id as id", "text"), 0.8).collect()
+    assert all(jaccard(texts[r.src], texts[r.dst]) >= 0.8 for r in links)
+
+
 # ---- decontamination --------------------------------------------------------------------------------
 
 
