@@ -28,7 +28,7 @@ _LETTER = regex.compile(r"\p{L}")
 def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of the byte trigrams within words or at their edges."""
     folded = [t.translate(_FOLD) for t in texts]
-    raw = np.frombuffer(b"  ".join(folded) + b"    ", np.uint8)
+    raw = np.frombuffer(b"".join(b" " + t + b" " for t in folded) + b"  ", np.uint8)
     size = np.fromiter(map(len, folded), np.int64, len(folded)) + 2
     code = (raw[:-2].astype(np.uint32) << np.uint32(16)) | (raw[1:-1].astype(np.uint32) << np.uint32(8)) | raw[2:]
     bucket = (code * np.uint32(0x9E3779B1)) >> np.uint32(17)
@@ -129,8 +129,6 @@ def infer(texts: list[bytes], log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray
         start /= start.sum(axis=1, keepdims=True)
         share, now = _em(weight, count, first, run, start, EM_STEPS)
         better = now - like > penalty * (size - sizes[ids])
-        if not better.any():
-            break
         shares[ids[better]], sizes[ids[better]] = share[better], size
         like = np.where(better, now, like)
     return shares, sizes

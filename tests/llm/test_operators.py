@@ -410,6 +410,21 @@ def test_mixture_matches_brute_force_search():
             assert abs(share[0] - grid[like.argmax()]) < 0.02
 
 
+def test_mixture_does_not_depend_on_other_texts():
+    """A text gets the set that it gets alone, also where two languages do not pay but three do."""
+    rng = np.random.default_rng(3)
+    log_p = np.log(rng.dirichlet(np.full(language.BUCKETS, 0.02), size=3) + 1e-6).astype(np.float32)
+    sizes, texts = [], []
+    for n in range(20, 400, 4):
+        texts.append(bytes(rng.integers(97, 123, n).astype(np.uint8)))
+        sizes.append(int(language.infer(texts[-1:], log_p)[1][0]))
+    together = language.infer(texts, log_p)
+    assert together[1].tolist() == sizes
+    assert 1 in sizes and 3 in sizes
+    for t, share in zip(texts, together[0]):
+        assert np.allclose(language.infer([t], log_p)[0][0], share, atol=1e-9)
+
+
 # ---- toxicity ---------------------------------------------------------------------------------------
 
 
