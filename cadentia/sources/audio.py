@@ -121,7 +121,18 @@ def cleaned(y: np.ndarray, sr: int) -> np.ndarray:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """(filename, length, suffix, channels, rate, bits, duration, error) of every file; only its first bytes reach Python."""
+    """(filename, length, suffix, channels, rate, bits, duration, error) of every file.
+
+    Only its first bytes reach Python, and the whole of a file whose format or data comes after them.
+    """
+
+    @F.udf("boolean")
+    def told(head):
+        try:
+            header(bytes(head or b""))
+        except AudioError as e:
+            return str(e) == "neither WAV nor AIFF"
+        return True
 
     def run(batches):
         for batch in batches:
@@ -135,7 +146,9 @@ def metadata(files: DataFrame) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["filename", "length", "suffix", "channels", "rate", "bits", "duration", "error"])
 
-    first = files.select("filename", F.col("length").cast("long").alias("length"), F.lower(F.regexp_extract("filename", r"\.[^.]*$", 0)).alias("suffix"), F.substring("content", 1, HEADER_BYTES).alias("head"))
+    first = files.select("filename", F.col("length").cast("long").alias("length"), F.lower(F.regexp_extract("filename", r"\.[^.]*$", 0)).alias("suffix"), F.substring("content", 1, HEADER_BYTES).alias("head"), "content")
+    first = first.withColumn("told", told("head"))
+    first = first.select("filename", "length", "suffix", F.when(F.col("told") | (F.octet_length("content") <= HEADER_BYTES), F.col("head")).otherwise(F.col("content")).alias("head"))
     return first.mapInArrow(run, "filename string, length long, suffix string, channels int, rate int, bits int, duration double, error string")
 
 

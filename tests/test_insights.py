@@ -83,3 +83,12 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"features": 3, "rejected": 1, "moods": 3, "tags": 3, "sequence": 3}
     assert main(["estimate", str(folder)]) == 0 and json.loads(capsys.readouterr().out)["files"] == 4
     assert main(["metadata", str(folder)]) == 0 and len(capsys.readouterr().out.strip().splitlines()) == 4
+
+
+def test_metadata_of_files_with_large_chunks_before_the_data(spark):
+    fmt = struct.pack("<4sIHHIIHH", b"fmt ", 16, 1, 2, 8000, 32000, 4, 16)
+    late = b"LIST" + struct.pack("<I", 100_000) + bytes(100_000)
+    data = b"data" + struct.pack("<I", 64_000) + bytes(64_000)
+    rows = [(name, bytearray(x), len(x)) for name, x in (("a.wav", b"RIFF\0\0\0\0WAVE" + fmt + late + data), ("b.wav", b"RIFF\0\0\0\0WAVE" + late + fmt + data), ("c.wav", b"RIFF\0\0\0\0WAVE" + fmt + late))]
+    got = audio.metadata(spark.createDataFrame(rows, "filename string, content binary, length long")).orderBy("filename").collect()
+    assert [(r.channels, r.rate, r.bits, r.duration, r.error) for r in got] == [(2, 8000, 16, 2.0, None)] * 2 + [(None, None, None, None, "no format or no samples")]
