@@ -23,7 +23,7 @@ from .common import cut, payloads, spans
 
 CAPACITY = 2048
 #: Islands, migrations between them, generations between two migrations, and chromosomes of an island.
-ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 2, 4, 4
+ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 4, 5, 6
 #: Entries that the memory of one worker's word cache is held to.
 CACHE_ENTRIES = 400_000
 
@@ -230,22 +230,14 @@ def fitness(bins: Bins, capacity: int) -> float:
 
 
 def _random_bins(demand: dict[int, int], capacity: int, rng: random.Random) -> Bins:
-    """Best fit over lengths in descending order, disturbed by a few percent."""
-    noise = rng.choice([0.0, 0.02, 0.1, 0.3])
+    """Best fit over lengths in an order that falls with the length, disturbed by 5 to 50 percent."""
+    noise = rng.uniform(0.05, 0.5)
     order = sorted(demand.items(), key=lambda x: -x[0] * (1 + noise * rng.random()))
     opened = _Open({}, capacity)
     best_fit(opened, order, capacity)
     return opened.bins()
 
 
-def _displaced(demand: dict[int, int], bins: Bins) -> dict[int, int]:
-    left = dict(demand)
-    for b, m in bins.items():
-        for n in b:
-            left[n] -= m
-    return left
-
-
 def crossover(mother: Bins, father: Bins, demand: dict[int, int], capacity: int, rng: random.Random) -> Bins:
     """Inject whole well-filled bins of the father into the mother.
 
@@ -281,50 +273,92 @@ def _refit(bins: Bins, left: dict[int, int], capacity: int, rng: random.Random)
     return opened.bins()
 
 
-def mutate(bins: Bins, demand: dict[int, int], capacity: int, rng: random.Random) -> Bins:
-    """Dissolve the emptiest bins and a few others, and put their pieces back."""
-    order = sorted(bins.items(), key=lambda x: (-_slack(x[0], capacity), x[0]))
-    worst = max(1, n_bins(bins) // 50)
-    kept: Bins = {}
-    for b, m in order:
-        gone = min(m, worst)
-        worst -= gone
-        gone += sum(rng.random() < 0.02 for _ in range(min(m - gone, 50)))
-        if m > gone:
-            kept[b] = m - gone
-    return _refit(kept, _displaced(demand, kept), capacity, rng)
+def _fullest(first: int, others: list[int], capacity: int) -> list[int]:
+    """Which of the others fill a bin best that holds first: a subset sum over bits, bit s for a reachable sum s."""
+    room = capacity - first
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for n in others:
+        reach.append((reach[-1] | reach[-1] << n) & mask)
+    at, taken = reach[-1].bit_length() - 1, []
+    for i in range(len(others) - 1, -1, -1):
+        if not reach[i] >> at & 1:
+            taken.append(i)
+            at -= others[i]
+    return taken
+
 
+def mutate(bins: Bins, capacity: int, rng: random.Random) -> Bins:
+    """Dissolve small sets of bins, the emptiest among them, and regroup their pieces into bins as full as can be.
 
-def evolve(demand: dict[int, int], capacity: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
-    """One island between two migrations: the best chromosome that it knows at the end."""
+    A regrouping stays if it takes fewer bins, or as many with no lower sum of squared fills; it is
+    done as often as all of these bins are there.
+    """
+    bins = dict(bins)
+    emptiest = sorted((b for b in bins if _slack(b, capacity)), key=sum)
+    for _ in range(25 + len(bins) // 40):
+        emptiest = [b for b in emptiest if b in bins]
+        if not emptiest:
+            break
+        gone: Counter[tuple[int, ...]] = Counter()
+        for b in emptiest[: rng.randint(1, 2)] + rng.sample(emptiest, min(len(emptiest), rng.randint(2, 10))):
+            if gone[b] < bins[b]:
+                gone[b] += 1
+        pieces = sorted((n for b, m in gone.items() for n in b * m), reverse=True)
+        made = []
+        while pieces:
+            first, others = pieces[0], pieces[1:]
+            rng.shuffle(others)
+            taken = set(_fullest(first, others, capacity))
+            made.append(tuple(sorted([first, *(others[i] for i in taken)], reverse=True)))
+            pieces = sorted((n for i, n in enumerate(others) if i not in taken), reverse=True)
+        before = sum(gone.values())
+        if len(made) < before or (len(made) == before and sum(sum(b) ** 2 for b in made) >= sum(m * sum(b) ** 2 for b, m in gone.items())):
+            times = min(bins[b] // m for b, m in gone.items())
+            for b, m in gone.items():
+                bins[b] -= m * times
+                if not bins[b]:
+                    del bins[b]
+            for b in made:
+                bins[b] = bins.get(b, 0) + times
+            emptiest = sorted({*emptiest, *(b for b in made if _slack(b, capacity))}, key=sum)
+    return bins
+
+
+def evolve(demand: dict[int, int], capacity: int, seed: int, elites: list[Bins], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[Bins, int]:
+    """One island between two migrations: the best chromosome that it knows at the end, and the generations that it took."""
     rng = random.Random(seed)
     bound = -(-sum(n * c for n, c in demand.items()) // capacity)
     key = lambda x: (n_bins(x), -fitness(x, capacity))
     alive = list(elites)
-    if not alive:
-        alive.append(fill_down(demand, capacity))
     while len(alive) < population:
         alive.append(_random_bins(demand, capacity, rng))
-    for _ in range(generations):
-        alive.sort(key=key)
+    alive.sort(key=key)
+    for turn in range(generations):
         if n_bins(alive[0]) <= bound:
-            break
+            return alive[0], turn
         half = alive[: max(2, population // 2)]
-        young = [crossover(*rng.sample(half, 2), demand, capacity, rng) for _ in range(population - len(half) // 2)]
-        young.append(mutate(half[0], demand, capacity, rng))
+        young = [mutate(crossover(*rng.sample(half, 2), demand, capacity, rng), capacity, rng) for _ in range(population - len(half) // 2)]
+        young.append(mutate(half[0], capacity, rng))
         alive = sorted([*half, *young], key=key)[:population]
-    return min(alive, key=key)
+    return alive[0], generations
 
 
-def pack_lengths(spark, demand: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS) -> Bins:
+def pack_lengths(spark, demand: dict[int, int], capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS, told: list[dict] | None = None) -> Bins:
     """Bins for counts of lengths. Islands evolve as Spark tasks; after each round every island sends
-    its elite to the next one. Stops early when the number of bins meets the lower bound."""
+    its elite to the next one. Ends when the number of bins meets the lower bound, or after the rounds.
+
+    The islands begin with random best-fit chromosomes. Where a round brings no better one, a greedy filling
+    immigrates to every island; a round without gain after that is the last.
+    told: a list that gets, for each round, the generations and the bins of every island.
+    """
     demand = {int(n): int(c) for n, c in demand.items() if c}
     if not demand:
         return {}
     bound = -(-sum(n * c for n, c in demand.items()) // capacity)
     known: list[list[Bins]] = [[] for _ in range(islands)]
     best: Bins | None = None
+    newcomer: list[Bins] = []
     for turn in range(rounds):
         rows = [(i, json.dumps([[[list(b), m] for b, m in e.items()] for e in known[i]])) for i in range(islands)]
 
@@ -332,15 +366,21 @@ def pack_lengths(spark, demand: dict[int, int], capacity: int = CAPACITY, island
             for frame in frames:
                 for i, text in zip(frame.island, frame.elites, strict=True):
                     elites = [{tuple(b): m for b, m in e} for e in json.loads(text)]
-                    out = evolve(demand, capacity, 1000 * turn + int(i), elites)
-                    yield pd.DataFrame({"island": [i], "bins": [json.dumps([[list(b), m] for b, m in sorted(out.items())])]})
+                    out, took = evolve(demand, capacity, 1000 * turn + int(i), elites)
+                    yield pd.DataFrame({"island": [i], "generations": [took], "bins": [json.dumps([[list(b), m] for b, m in sorted(out.items())])]})
 
         start = spark.createDataFrame(rows, "island int, elites string").repartition(islands, "island")
-        got = {r.island: {tuple(b): m for b, m in json.loads(r.bins)} for r in start.mapInPandas(island, "island int, bins string").collect()}
+        back = start.mapInPandas(island, "island int, generations int, bins string").collect()
+        got = {r.island: {tuple(b): m for b, m in json.loads(r.bins)} for r in back}
+        if told is not None:
+            told.append({r.island: (r.generations, n_bins(got[r.island])) for r in back})
+        before = n_bins(best) if best else None
         best = min([*got.values(), *([best] if best else [])], key=lambda x: (n_bins(x), -fitness(x, capacity)))
-        if n_bins(best) <= bound:
+        stalled = before is not None and n_bins(best) >= before
+        if n_bins(best) <= bound or (stalled and newcomer):
             break
-        known = [[got[i], got[(i - 1) % islands]] for i in range(islands)]
+        newcomer = [fill_down(demand, capacity)] if stalled or turn == rounds - 2 else []
+        known = [[got[i], got[(i - 1) % islands], *newcomer] for i in range(islands)]
     return best
 
 
