@@ -149,7 +149,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_co
                 texts = payloads(batch.column(names.index(text_col)))
                 n, rows = [], []
                 before = batch.column(len(names) - 1).to_pylist()
-                for lo, hi in spans(texts, 8 << 20):
+                for lo, hi in spans(texts, 2 << 20):
                     for words, hits in queries.search(texts[lo:hi]):
                         n.append(words)
                         rows.append([{"item": queries.items[i], "item_pos": p, "doc_pos": d, "words": w} for i, p, d, w in hits])

@@ -7,6 +7,7 @@ matched weight and of that weight by length.
 
 from __future__ import annotations
 
+import bisect
 import math
 import unicodedata
 from dataclasses import dataclass, field
@@ -25,6 +26,8 @@ THRESHOLD = 0.7
 TRAINING_ROWS = 20_000
 #: Shortest term; prefixes of words up to PREFIX_MAX characters compete with whole words.
 TERM_MIN, PREFIX_MAX = 4, 7
+#: Pairs of a term and a word before it that a task holds before it hands them on.
+CONTEXTS = 1 << 17
 #: How much more often toxic documents must hold a term than clean ones.
 LEAST_RATIO = 8
 
@@ -102,8 +105,11 @@ class Lexicon:
                     continue
                 hits.append((start, end, w))
             if hits and len(phrases):
-                excused = [(end - n + 1, end) for end, n in phrases.iter(text)]
-                hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in excused)]
+                begin, reach = [], []  # of phrases by their start: how far any that begins here or before reaches
+                for a, b in sorted((end - n + 1, end) for end, n in phrases.iter(text)):
+                    begin.append(a)
+                    reach.append(max(b, reach[-1]) if reach else b)
+                hits = [h for h in hits if not (i := bisect.bisect_right(begin, h[0])) or reach[i - 1] < h[1]]
             seen = -1
             for start, end, w in sorted(hits, key=lambda h: (h[0], -h[2])):  # of terms that begin together the heaviest counts
                 if start != seen:
@@ -135,12 +141,18 @@ def _terms(text: str):
 def _count_terms(docs: DataFrame, only=None) -> DataFrame:
     """(term, contexts): the different words that each term follows, of all terms or of those in the broadcast set only."""
 
+    def told(out):
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["term", "before"])
+
     def run(batches):
         for batch in batches:
             out: set[tuple[str, str]] = set()
-            for text in batch.column(0).to_pylist():
-                out.update(x for x in _terms(fold(text or "")) if only is None or x[0] in only.value)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([b for _, b in out], pa.string())], ["term", "before"])
+            for text in batch.column(0):
+                out.update(x for x in _terms(fold(text.as_py() or "")) if only is None or x[0] in only.value)
+                if len(out) > CONTEXTS:
+                    yield told(out)
+                    out.clear()
+            yield told(out)
 
     return docs.select("text").mapInArrow(run, "term string, before string").distinct().groupBy("term").agg(F.count("*").alias("contexts"))
 
