@@ -295,7 +295,7 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, similarity: flo
 
         known = cut(found.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).distinct(), "known")
         texts = with_id.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        root = components(known.where("src <> dst").unionByName(similar_links(texts, similarity, known)), "near")
+        root = components(known.where("src <> dst").unionByName(similar_links(texts, similarity)), "near")
         gone = root.where("node <> component").select(F.col("node").alias("doc_id"))
         kept = known.select(F.col("src").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti")
     with_id = with_id.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -159,6 +159,37 @@ def test_pipeline_drops_five_word_similarity(spark):
     assert all(jaccard(texts[r.src], texts[r.dst]) >= 0.8 for r in links)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_leaf_links_span_all_pairs(seed):
+    """Vantage sets and rows of the others give the components of all pairs."""
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
+    sets = []
+    for _ in range(120):
+        own = base[rng.integers(4)].copy()
+        swap = rng.integers(0, 60, rng.integers(0, 12))
+        own[swap] = rng.integers(0, 1 << 60, len(swap))
+        sets.append(np.unique(own[: rng.integers(40, 61)]))
+    pairs = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert dsu(range(120), shingles.leaf_links(sets, 0.8)) == dsu(range(120), pairs)
+
+
+def test_crowded_bands_keep_near_copies_together(spark, monkeypatch):
+    """Bands of more points than a leaf holds: near copies still end in one component, others alone."""
+    monkeypatch.setattr(shingles, "LEAF", 16)
+    rng = random.Random(17)
+    base = [f"v{rng.randrange(3000)}" for _ in range(200)]
+    texts = {}
+    for i in range(150):
+        own = list(base)
+        own[rng.randrange(200)] = f"z{i}"
+        texts[i] = " ".join(own)
+    texts |= {1000 + i: " ".join(f"u{rng.randrange(10**6)}" for _ in range(60)) for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    found = dsu(texts, [(r.src, r.dst) for r in shingles.similar_links(df, 0.8).collect()])
+    assert {found[i] for i in range(150)} == {0} and all(found[i] == i for i in texts if i >= 1000)
+
+
 # ---- decontamination --------------------------------------------------------------------------------
 
 
@@ -278,7 +309,7 @@ def test_genetic_algorithm_keeps_every_piece(spark):
     rng = random.Random(5)
     demand = Counter(rng.randrange(20, 60) for _ in range(300))
     a, b = packing.fill_down(demand, 100), packing._random_bins(demand, 100, rng)
-    for bins in (a, b, packing.crossover(a, b, demand, 100, rng), packing.mutate(b, demand, 100, rng), packing.evolve(demand, 100, 1, [])):
+    for bins in (a, b, packing.crossover(a, b, demand, 100, rng), packing.mutate(b, 100, rng), packing.evolve(demand, 100, 1, [])[0]):
         held = Counter()
         for k, m in bins.items():
             assert sum(k) <= 100 and m > 0
@@ -292,6 +323,20 @@ def test_genetic_algorithm_keeps_every_piece(spark):
     assert packing.n_bins(packing.pack_lengths(spark, exact, 100)) <= 202
 
 
+def test_generations_beat_the_greedy_filling(spark):
+    """Islands evolve from random chromosomes to the lower bound, which the greedy filling misses."""
+    rng = random.Random(2)
+    cuts = [(rng.randrange(330, 345), rng.randrange(660, 680)) for _ in range(20)]  # full bins of three pieces of like lengths
+    demand = Counter(n for x, y in cuts for n in (x, y - x, 1000 - y))
+    bound = -(-sum(n * c for n, c in demand.items()) // 1000)
+    told: list[dict] = []
+    found = packing.pack_lengths(spark, demand, 1000, told=told)
+    assert packing.n_bins(packing.fill_down(demand, 1000)) > bound
+    assert min(packing.n_bins(packing._random_bins(demand, 1000, random.Random(i))) for i in range(6)) > bound
+    assert packing.n_bins(found) == bound
+    assert sum(g for turn in told for g, _ in turn.values()) >= packing.ISLANDS
+
+
 # ---- WARC -------------------------------------------------------------------------------------------
 
 
