@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not context.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="cadentia-")
         _own[context.applicationId] = base
@@ -66,6 +67,21 @@ def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own_ids(df: DataFrame, id_col: str, name: str, ties: list[Column]) -> tuple[DataFrame, bool]:
+    """(df with a long column name that is unique and never null, whether that is id_col itself).
+
+    Where ids are null or repeat, the rows are written in the order of id_col (nulls last), then of ties, and
+    numbered: equal rows are told apart, and a smaller id never gets a larger number.
+    """
+    ids = df.select(F.col(id_col).alias("x"))
+    if ids.groupBy("x").count().where("x is null or count > 1").isEmpty():
+        return df.withColumn(name, F.col(id_col).cast("long")), True
+    place = free_name(df, "_place")
+    order = [F.col(id_col).asc_nulls_last(), *ties, F.col(place)]  # the place parts equal rows, so that no partition holds them all
+    ranged = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ranged.drop(place).withColumn(name, F.monotonically_increasing_id()), "rows"), False
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that are no longer referenced."""
     import gc

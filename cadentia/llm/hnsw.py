@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, own_ids
 
 #: Links of a node above and on the ground layer, beams while building and at first while searching.
 M, M0, EF_BUILD, EF = 12, 24, 48, 48
@@ -221,12 +221,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_vectors:
     each other. Each label is dealt into shards of about shard_vectors points by hash; each shard gets
     a graph, and each pair of shards of a label is searched by one task. Tasks return sums of
     links and edges to one point of each local component, never all pairs. Rows with a null vec_id
-    link with nothing. An empty table gives no rows.
+    link with nothing. Every row is a vector of its own: rows that repeat a vec_id have links of their own, and component_id
+    is the smallest vec_id of the vectors reached. An empty table gives no rows.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), "label")
+    v, plain = own_ids(v, "vec_id", "row", [F.xxhash64("label", "v")])
     good = "label is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     v = v.withColumn("ok", F.expr(f"coalesce({good}, false)")).withColumn("v", F.expr("if(ok, transform(v, x -> x + 0.0D), null)"))
-    points = v.where("ok and vec_id is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    points = v.where("ok and vec_id is not null").groupBy("label", "v").agg(F.min("row").alias("rep"), F.count("*").alias("copies"))
     points = cut(points.withColumn("size", F.size("v")), "points")
     shards = points.groupBy("label", "size").agg(F.ceil(F.count("*") / shard_vectors).alias("shards"))
     dealt = points.join(shards, ["label", "size"]).withColumn("shard", F.expr("pmod(xxhash64(rep), shards)"))
@@ -271,5 +273,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, shard_vectors:
     roots = components(found.select(F.col("rep").alias("src"), F.col("near").alias("dst")), "embeddings")
     told = points.join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = v.where("ok and vec_id is not null").join(told, ["label", "v"], "left").select("vec_id", "n_links", "component_id")
+    if not plain:  # components are rows so far, in the order of their vec_ids
+        names = v.where("ok and vec_id is not null").select(F.col("row").alias("component_id"), F.col("vec_id").alias("smallest"))
+        linked = linked.join(names, "component_id").select("vec_id", "n_links", F.col("smallest").alias("component_id"))
     alone = v.where("not ok or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.expr("vec_id = component_id"), F.lit(True)))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, payloads, release_shuffles, remove, spans
+from .common import components, cut, free_name, own_ids, payloads, release_shuffles, spans
 
 # Fixed values of the public XXH64 algorithm.
 P1, P2, P3, P4, P5 = (
@@ -284,19 +284,17 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, similarity: flo
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
     With similarity, documents whose sets of five-word shingles have at least that Jaccard similarity are linked too.
-    Of rows that repeat that doc_id one stays; rows with a null doc_id stay.
+    Every row is a document of its own: rows that repeat a doc_id go only as near-duplicates, and of those with the
+    smallest doc_id one stays. Rows with a null doc_id stay. An empty table gives no rows. All columns stay.
     """
-    with_id = docs.where("doc_id is not null")
-    found = near_duplicates(with_id, radius, shingle)
-    if similarity is None:
-        kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    else:
+    row = free_name(docs, "_row")
+    known, _ = own_ids(docs, "doc_id", row, [F.xxhash64("text")])
+    texts = known.where("doc_id is not null").select(F.col(row).alias("id"), F.col("text").cast("string").alias("text"))
+    found = near_duplicates(texts, radius, shingle, id_col="id").select(F.col("doc_id").alias("node"), F.col("component_id").alias("component"))
+    if similarity is not None:
         from .shingles import similar_links
 
-        known = cut(found.select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).distinct(), "known")
-        texts = with_id.dropDuplicates(["doc_id"]).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-        root = components(known.where("src <> dst").unionByName(similar_links(texts, similarity)), "near")
-        gone = root.where("node <> component").select(F.col("node").alias("doc_id"))
-        kept = known.select(F.col("src").alias("doc_id")).distinct().join(gone, "doc_id", "left_anti")
-    with_id = with_id.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+        near = cut(found.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")), "known")
+        found = components(near.unionByName(similar_links(texts, similarity)), "near")
+    gone = found.where("node <> component").select(F.col("node").alias(row))
+    return known.join(gone, row, "left_anti").select(*docs.columns)

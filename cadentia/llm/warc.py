@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, own_ids
 
 #: Magic of the skippable frame that holds the dictionary, and of the empty one that ends an archive.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -33,8 +33,11 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None) -> bytes:
-    """A response record, or a revisit record without the payload if refers_to is given."""
+def record(page_id: int | str, url: str, payload: bytes, refers_to: int | str | None) -> bytes:
+    """A response record, or a revisit record without the payload if refers_to is given.
+
+    Pages are named by their ids, or by id:row where ids are null (then empty) or repeat.
+    """
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = [
@@ -68,6 +71,22 @@ def archive(records: list[bytes]) -> bytes:
     return b"".join([struct.pack("<II", DICTIONARY_MAGIC, len(packed)), packed, *map(pack.compress, records)])
 
 
+def _frame_end(data: bytes, at: int) -> int:
+    """Where the Zstandard frame at a place ends, by the sizes of its blocks."""
+    kind = zstandard.get_frame_parameters(data[at : at + 18])
+    pos, last = at + zstandard.frame_header_size(data[at : at + 18]), False
+    while not last:
+        if pos + 3 > len(data):
+            raise WarcError("a frame is cut off")
+        block = int.from_bytes(data[pos : pos + 3], "little")
+        last = bool(block & 1)
+        pos += 3 + (1 if block >> 1 & 3 == 1 else block >> 3)  # a run-length block holds one byte
+    pos += 4 * kind.has_checksum
+    if pos > len(data):
+        raise WarcError("a frame is cut off")
+    return pos
+
+
 def frames(data: bytes):
     """The record of each frame of an archive."""
     if len(data) < 8 or struct.unpack_from("<I", data)[0] != DICTIONARY_MAGIC:
@@ -80,18 +99,18 @@ def frames(data: bytes):
         shared = zstandard.ZstdCompressionDict(trained) if trained else None
         unpack = zstandard.ZstdDecompressor(dict_data=shared)
         at = 8 + size
-        view = memoryview(data)
         while at < len(data):
             if len(data) - at >= 8 and 0x184D2A50 <= struct.unpack_from("<I", data, at)[0] <= 0x184D2A5F:
                 at += 8 + struct.unpack_from("<I", data, at + 4)[0]
                 if at > len(data):
                     raise WarcError("a skippable frame is cut off")
                 continue
+            end = _frame_end(data, at)
             one = unpack.decompressobj()
-            out = one.decompress(view[at:])
+            out = one.decompress(data[at:end])
             if not one.eof:
                 raise WarcError("a frame is cut off")
-            at = len(data) - len(one.unused_data)
+            at = end
             yield out
     except zstandard.ZstdError as e:
         raise WarcError(f"not a Zstandard archive: {e}") from e
@@ -137,7 +156,11 @@ def parse(data: bytes) -> dict:
     elif h["warc-type"] == "revisit":
         if payload or "warc-refers-to" not in h or len(digest) != 32:
             raise WarcError("a revisit needs an empty payload, a digest and a target")
-    number = lambda s: int(s.removeprefix("<urn:page:").removesuffix(">"))
+
+    def number(name: str) -> int | None:
+        own = name.removeprefix("<urn:page:").removesuffix(">").partition(":")[0]
+        return int(own) if own else None
+
     return {
         "page_id": number(h["warc-record-id"]),
         "url": h.get("warc-target-uri", ""),
@@ -150,19 +173,18 @@ def parse(data: bytes) -> dict:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload, of at least least_bytes, an earlier page has.
+    """(row, refers_to: row, refers_page) of the rows of pages(row, page_id, html) whose payload, of at least least_bytes, an earlier row has.
 
     Digests aggregate before any join, which carries only ids and digests.
     """
     light = cut(
-        pages.where("page_id is not null")
-        .select("page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("b"))
+        pages.select("row", "page_id", F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("b"))
         .where(F.octet_length("b") >= least_bytes)
-        .select("page_id", F.unhex(F.sha1("b")).alias("digest")),
+        .select("row", "page_id", F.unhex(F.sha1("b")).alias("digest")),
         "digests",
     )
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return light.join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to").distinct()
+    first = light.groupBy("digest").agg(F.min(F.struct("row", "page_id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return light.join(first, "digest").where("not (page_id <=> first.page_id)").select("row", F.col("first.row").alias("refers_to"), F.col("first.page_id").alias("refers_page"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
@@ -170,10 +192,16 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
     Every archive is one row of the text sink with a file of its own; its line separator is an
     empty skippable frame, so the file is a valid Zstandard stream to its last byte.
-    Control characters in a url are percent-encoded. Rows with a null page_id are not archived.
+    Control characters in a url are percent-encoded. Every row is a page of its own, also where its page_id is null or
+    repeats: of equal payloads the row with the smallest page_id (nulls last) is the response, and so is each of several such rows.
+    An empty table gives no archive.
     """
-    picked = pages.where("page_id is not null").select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    both = picked.join(revisits(picked, least_bytes), "page_id", "left")
+    picked = pages.select("page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    picked, plain = own_ids(picked, "page_id", "row", [F.xxhash64("url", "html")])
+    name = lambda page, row: F.col(page).cast("string") if plain else F.concat(F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(row).cast("string"))
+    both = picked.join(revisits(picked, least_bytes), "row", "left").select(
+        name("page_id", "row").alias("page"), "url", "html", F.when(F.col("refers_to").isNotNull(), name("refers_page", "refers_to")).alias("first")
+    )
 
     def run(batches):
         held, size = [], 0
@@ -189,7 +217,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([archive(held)], pa.binary())], ["archive"])
 
-    made = both.select("page_id", "url", "html", "refers_to").mapInArrow(run, "archive binary")
+    made = both.mapInArrow(run, "archive binary")
     made.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
 
