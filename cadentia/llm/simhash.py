@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -131,9 +129,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ---- vantage-point search -------------------------------------------------------------------
 
-HALF_BITS = 32
-LEAF = 384
-
+#: Points that are compared without further parting, and fingerprints that the top of a tree is made from.
+LEAF, SAMPLE = 384, 8192
+#: Largest share of the points that one side of a useful split holds.
+USEFUL = 0.85
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
@@ -160,100 +159,121 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(fp: np.ndarray, at: np.ndarray, radius: int, out: list) -> None:
-    """Spanning links of the points at, found by comparing blocks of them."""
-    block = 2048
-    a, b = [], []
-    for i in range(0, len(at), block):
-        for j in range(i, len(at), block):
-            near = _popcount(fp[at[i : i + block], None] ^ fp[None, at[j : j + block]]) <= radius
-            p, q = np.nonzero(near)
-            p, q = p + i, q + j
-            keep = p < q
-            a.append(p[keep])
-            b.append(q[keep])
+    """Spanning links of the points at. Those within radius of a vantage point hang on it, and pairs
+    among them need no comparison; every other point is compared with all, in blocks."""
+    near = _popcount(fp[at] ^ fp[at[0]]) <= radius
+    a, b = [np.zeros(int(near.sum()), np.int64)], [np.flatnonzero(near)]
+    others, block = np.flatnonzero(~near), 2048
+    for i in range(0, len(others), block):
+        for j in range(0, len(at), block):
+            p, q = np.nonzero(_popcount(fp[at[others[i : i + block]], None] ^ fp[None, at[j : j + block]]) <= radius)
+            a.append(others[p + i])
+            b.append(q + j)
     a, b = np.concatenate(a), np.concatenate(b)
-    if len(a):
-        label = _forest(len(at), a, b)
-        moved = np.flatnonzero(label != np.arange(len(at)))
-        out.append(np.stack([at[moved], at[label[moved]]], axis=1))
+    label = _forest(len(at), a, b)
+    moved = np.flatnonzero(label != np.arange(len(at)))
+    out.append(np.stack([at[moved], at[label[moved]]], axis=1))
 
 
-def vantage_links(fp: np.ndarray, half: np.ndarray, half_radius: int, radius: int) -> np.ndarray:
-    """Spanning links (i, j) of all pairs within radius whose halves lie within half_radius.
+def _split(fp: np.ndarray, half: np.ndarray, at: np.ndarray, half_radius: int, radius: int) -> tuple[bool, int, int, int] | None:
+    """(whether by whole fingerprints, vantage, limit, lower limit) of a split of the points at; None if none is useful.
 
-    Recursive vantage-point partition of the halves: points are split by their distance t to a
-    vantage point; by the triangle bound a pair within half_radius has distances at most
-    half_radius apart, so it lies together in some window of half_radius + 1 distances.
+    Points at distances t up to the limit go to one side, those from the lower limit on to the other. By the triangle
+    bound the distances of a pair within r of each other differ by r at most, so with a lower limit of
+    limit - r + 1 every such pair lies together on one side.
     """
+    for whole, values, r in ((False, half, half_radius), (True, fp, radius)):
+        vantage = values[at[len(at) // 2]]
+        for _ in range(2):
+            t = _popcount(values[at] ^ vantage)
+            upto = np.cumsum(np.bincount(t, minlength=65))
+            before = np.concatenate([np.zeros(r, np.int64), upto[: len(upto) - r]])  # points under limit - r + 1
+            larger = np.maximum(upto, len(at) - before)
+            limit = int(np.argmin(larger))
+            if larger[limit] <= USEFUL * len(at):
+                return whole, int(vantage), limit, limit - r + 1
+            vantage = values[at[int(np.argmax(t))]]
+    return None
+
+
+def _sides(fp: np.ndarray, half: np.ndarray, at: np.ndarray, split: tuple[bool, int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    whole, vantage, limit, lower = split
+    t = _popcount((fp if whole else half)[at] ^ U64(vantage)).astype(np.int64)
+    return at[t <= limit], at[t >= lower]
+
+
+def vantage_links(fp: np.ndarray, half: np.ndarray, half_radius: int, radius: int) -> np.ndarray:
+    """Spanning links (i, j) of all pairs within radius whose halves lie within half_radius: a recursive
+    vantage-point partition by the distances of the halves, or of whole fingerprints where these part better."""
     out: list[np.ndarray] = []
     stack = [np.arange(len(fp))]
     while stack:
         at = stack.pop()
         if len(at) < 2:
             continue
-        if len(at) <= LEAF:
-            _leaf_links(fp, at, radius, out)
-            continue
-        d = _popcount(half[at] ^ half[at[len(at) // 2]])
-        values = np.unique(d)
-        if values[-1] - values[0] <= half_radius:  # this vantage point can't part them; equal halves or a tight ball
-            d = _popcount(half[at] ^ half[at[int(np.argmax(d))]])
-            values = np.unique(d)
-            if values[-1] - values[0] <= half_radius:
-                _leaf_links(fp, at, radius, out)
-                continue
-        windows = [at[(d >= t) & (d <= t + half_radius)] for t in range(int(values[0]), int(values[-1]) - half_radius + 1)]
-        if max(map(len, windows)) > 0.9 * len(at):
+        split = _split(fp, half, at, half_radius, radius) if len(at) > LEAF else None
+        if split is None:
             _leaf_links(fp, at, radius, out)
-            continue
-        stack += windows
+        else:
+            stack += _sides(fp, half, at, split)
     if not out:
         return np.empty((0, 2), np.int64)
     return np.unique(np.concatenate(out), axis=0)
 
 
+def _top(fp: np.ndarray, half: np.ndarray, size: float, cell_size: int, half_radius: int, radius: int) -> list:
+    """The top of a vantage-point tree over a sample whose points stand for size points each: (split, child, child) or None
+    for a cell. Nodes of few sampled points are cells."""
+    nodes: list = []
+
+    def make(at: np.ndarray) -> int:
+        me = len(nodes)
+        nodes.append(None)
+        if len(at) * size > cell_size and len(at) >= 16 and (split := _split(fp, half, at, half_radius, radius)):
+            a, b = _sides(fp, half, at, split)
+            nodes[me] = (split, make(a), make(b))
+        return me
+
+    make(np.arange(len(fp)))
+    return nodes
+
+
 def near_links(points: DataFrame, radius: int = 3, cell_size: int = 4000) -> DataFrame:
     """Links (src, dst) that span every component of points(rep: long, fp: long) within radius bits.
 
     Two fingerprints within radius differ by at most radius // 2 bits in one of their halves, so a
-    vantage-point tree of each half, searched with that smaller radius, finds every pair. The top
-    of the trees deals points into cells by their distances to vantage points taken from a
-    bounded sample; a point also goes to the cells that its ball overlaps. Cells are
-    searched by the same rule down to small leaves and emit spanning links, never all pairs.
+    vantage-point tree of each half, searched with that smaller radius, finds every pair. The top of
+    each tree is made from a bounded sample and deals points into cells; a point on a boundary goes to both
+    sides, which at a radius of 1 is one distance in about 33. Cells are parted further by the same rule
+    and emit spanning links, never all pairs. The sample only decides how evenly cells fill.
     """
     n = points.count()
-    depth = max(1, round(math.log(max(n, 1) / cell_size) / math.log(5.8))) if n > cell_size else 1
-    half_radius = radius // 2
-    # the vantage points only decide how evenly cells fill; any would give the same links
-    sample = np.array([r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(64).collect()], np.int64).view(U64)
-
-    def vantages(half: np.ndarray) -> list[int]:
-        chosen: list[int] = []
-        for _ in range(depth):
-            spread = [min([abs(int(_popcount(x ^ U64(c))) - 16) for c in chosen], default=0) for x in half]
-            chosen.append(int(half[int(np.argmin(spread))]) if len(half) else 0)
-        return chosen
-
+    half_radius = max(1, radius // 2)
+    sample = np.array([r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(U64)
     mask = U64(0xFFFFFFFF)
-    trees = [vantages(sample & mask), vantages(sample >> U64(32))]
+    halves = (lambda fp: fp & mask, lambda fp: fp >> U64(32))
+    tops = [_top(sample, half(sample), n / max(1, len(sample)), cell_size, half_radius, radius) for half in halves]
 
     def deal(batches):
         for batch in batches:
             rep, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U64)
-            for tree, points_of in enumerate(trees):
-                half = fp & mask if tree == 0 else fp >> U64(32)
-                keys = [np.full(len(fp), tree, np.int64)]
-                for v in points_of:
-                    t = _popcount(half ^ U64(v)).astype(np.int64)
-                    keys = [k * 64 + t + s for k in keys for s in range(half_radius + 1)]
-                for k in keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep), pa.array(fp.view(np.int64))], ["cell", "rep", "fp"])
+            for tree, nodes in enumerate(tops):
+                half, stack = halves[tree](fp), [(0, np.arange(len(fp)))]
+                while stack:
+                    node, at = stack.pop()
+                    if not len(at):
+                        continue
+                    if nodes[node] is None:
+                        cell = pa.array(np.full(len(at), 2 * node + tree, np.int64))
+                        yield pa.RecordBatch.from_arrays([cell, pa.array(rep[at]), pa.array(fp[at].view(np.int64))], ["cell", "rep", "fp"])
+                        continue
+                    split, a, b = nodes[node]
+                    one, other = _sides(fp, half, at, split)
+                    stack += [(a, one), (b, other)]
 
     def search(key, rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(key[0]) // 64**depth
         fp = rows.fp.to_numpy().view(U64)
-        half = fp & mask if tree == 0 else fp >> U64(32)
-        links = vantage_links(fp, half, half_radius, radius)
+        links = vantage_links(fp, halves[int(key[0]) % 2](fp), half_radius, radius)
         rep = rows.rep.to_numpy()
         return pd.DataFrame({"src": rep[links[:, 0]], "dst": rep[links[:, 1]]})
 
