@@ -1,10 +1,12 @@
 """Rule classification: moods and character tags of tracks, phases and sections.
 
-Rules are data: a broadcast table that every row is scored against.
+Rules are data: a literal array that every row is scored against.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,34 +25,38 @@ def to_number(c: Column, default: float | None = 0.0) -> Column:
 
 
 def _inside(value: str, rule: str) -> str:
-    return f"coalesce({value} between {rule}_lo and {rule}_hi, false)"
+    return f"coalesce({value} between r.{rule}_lo and r.{rule}_hi, false)"
+
+
+def _literal(x) -> str:
+    if x is None:
+        return "null"
+    if isinstance(x, str):
+        return "'" + x.replace("'", "\\'") + "'"
+    return f"{x!r}D" if math.isfinite(x := float(x)) else f"double('{'-' if x < 0 else ''}Infinity')"
 
 
 def _label(df: DataFrame, key: str, rows: list[dict], score: str, threshold: str, keep: list[str]) -> DataFrame:
-    """(key, labels, best, confidence) and the numbers in keep, of scored pairs of rows and rules.
+    """(key, labels, best, confidence) and the numbers in keep, of every row of df: rules in the order of the table, of equal scores the first.
 
-    The rule table is broadcast (its size is its own, whatever the data) and its pairs with the rows
-    are aggregated by key at once: one row per key crosses the shuffle. A score and its rule are
-    one whole number and the detected rules are bits, so the hash aggregate holds fixed-width values only.
+    The rules are one array literal and a row is scored by an expression over it, so nothing is joined, exploded or
+    shuffled, and rows that share a key stay apart. score and threshold are SQL over the row and a rule r.
     """
-    r = rules.as_table(df.sparkSession, rows)
-    pairs = df.crossJoin(F.broadcast(r)).withColumn("_s", F.expr(score))
-    words = range(-(-len(rows) // 60))
-    bit = lambda w: f"bit_or(if(_s >= {threshold} and ord div 60 = {w}, shiftleft(1L, ord % 60), 0L))"
-    g = pairs.groupBy(key).agg(F.expr("max(cast(round(_s * 1e12D) as bigint) * 1024 + (1023 - ord))").alias("_top"), *[F.expr(bit(w)).alias(f"_w{w}") for w in words], *[F.max(c).alias(c) for c in keep])
-    names = F.array(*[F.lit(x["name"]) for x in rows])
-    hit = " or ".join(f"(i div 60 = {w} and bit_get(_w{w}, i % 60) = 1)" for w in words)
-    return g.withColumn("_names", names).select(
+    fields = [c for c in rows[0] if c != "ord"]
+    kinds = {c: "string" if any(isinstance(r[c], str) for r in rows) else "double" for c in fields}
+    table = ", ".join("named_struct(" + ", ".join(f"'{c}', cast({_literal(r[c])} as {kinds[c]})" for c in fields) + ")" for r in rows)
+    rated = df.withColumn("_s", F.expr(f"transform(array({table}), r -> named_struct('name', r.name, 's', {score}, 'hit', {score} >= {threshold}))"))
+    return rated.select(
         key,
-        F.expr(f"transform(filter(sequence(0, {len(rows) - 1}), i -> {hit}), i -> _names[i])").alias("labels"),
-        F.expr("_names[cast(1023 - _top % 1024 as int)]").alias("best"),
-        F.expr("floor(_top / 1024) / 1e12D").alias("confidence"),
+        F.transform(F.filter("_s", lambda x: x["hit"]), lambda x: x["name"]).alias("labels"),
+        F.expr("_s[cast(array_position(_s.s, array_max(_s.s)) - 1 as int)].name").alias("best"),
+        F.expr("array_max(_s.s)").alias("confidence"),
         *keep,
     )
 
 
 def mood_scores(df: DataFrame, threshold: float = 0.7, mood_rules: list[dict] | None = None, key: str = "filename") -> DataFrame:
-    """key, moods (detected, in rule order), primary_mood and mood_confidence of every key of df.
+    """key, moods (detected, in rule order), primary_mood and mood_confidence of every row of df.
 
     df has energy, brightness, roughness, onset, duration and bandwidth, and may have zcr. Missing and
     non-finite values count as 0. Of equal scores the earlier rule wins. Where no mood reaches the
@@ -59,7 +65,7 @@ def mood_scores(df: DataFrame, threshold: float = 0.7, mood_rules: list[dict] |
     inputs = [*MOOD_WEIGHTS, "duration"]
     clean = df.select(key, *[to_number(F.col(c)).alias(f"_{c}") for c in inputs], (to_number(F.col("zcr")) if "zcr" in df.columns else F.lit(0.0)).alias("_zcr"))
     parts = " + ".join(f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in MOOD_WEIGHTS.items())
-    raw = f"if(name = 'synthetic' and _zcr > 0.05D, 0D, ({parts} + if(_duration >= min_duration, 1D, 0D)) / 12D)"
+    raw = f"if(r.name = 'synthetic' and _zcr > 0.05D, 0D, ({parts} + if(_duration >= r.min_duration, 1D, 0D)) / 12D)"
     score = f"if({raw} > 0.8D, least(1D, {raw} * 1.1D), {raw})"
     out = _label(clean, key, mood_rules or rules.moods(), score, f"{threshold}D", ["_energy", "_brightness", "_onset"])
     other = F.array(fallback_mood(F.col("_energy"), F.col("_brightness"), F.col("_onset")))
@@ -81,7 +87,7 @@ def fallback_mood(energy: Column, bright: Column, onset: Column) -> Column:
 
 
 def character_scores(df: DataFrame, threshold: float | None = None, tag_rules: list[dict] | None = None, key: str = "filename") -> DataFrame:
-    """key, tags (detected, in rule order), primary_character and character_confidence of every key of df.
+    """key, tags (detected, in rule order), primary_character and character_confidence of every row of df.
 
     df has centroid, bandwidth, rolloff and zcr, and may have timbre_variance (the mean spread of the
     first five cepstral coefficients), flatness, flux and stereo. An optional range that a tag defines
@@ -90,12 +96,12 @@ def character_scores(df: DataFrame, threshold: float | None = None, tag_rules: l
     have = set(df.columns)
     cols = [(to_number(F.col(c)) if c in have else F.lit(0.0)).alias(f"_{c}") for c in (*TAG_WEIGHTS, "timbre_variance")]
     cols += [(to_number(F.col(c), None) if c in have else F.lit(None).cast("double")).alias(f"_{c}") for c in OPTIONAL_TAG_WEIGHTS]
-    timbre = "case timbre when 'precision=high' then _timbre_variance < 0.5D when 'precision=low' then _timbre_variance > 0.5D when 'complexity=high' then _timbre_variance > 0.8D when 'complexity=low' then _timbre_variance < 0.3D else true end"
+    timbre = "case r.timbre when 'precision=high' then _timbre_variance < 0.5D when 'precision=low' then _timbre_variance > 0.5D when 'complexity=high' then _timbre_variance > 0.8D when 'complexity=low' then _timbre_variance < 0.3D else true end"
     got = " + ".join([f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in (TAG_WEIGHTS | OPTIONAL_TAG_WEIGHTS).items()] + [f"if({timbre}, 1.5D, 0D)"])
-    of = " + ".join([f"12.5D", *[f"if({k}_lo is not null, {w}D, 0D)" for k, w in OPTIONAL_TAG_WEIGHTS.items()]])
+    of = " + ".join([f"12.5D", *[f"if(r.{k}_lo is not null, {w}D, 0D)" for k, w in OPTIONAL_TAG_WEIGHTS.items()]])
     raw = f"(({got}) / ({of}))"
     score = f"if({raw} > 0.85D, least(1D, {raw} * 1.05D), {raw})"
-    limit = f"{threshold}D" if threshold is not None else "threshold"
+    limit = f"{threshold}D" if threshold is not None else "r.threshold"
     out = _label(df.select(key, *cols), key, tag_rules or rules.tags(), score, limit, ["_centroid", "_bandwidth", "_rolloff", "_zcr"])
     other = F.array(fallback_character(F.col("_centroid"), F.col("_bandwidth"), F.col("_rolloff"), F.col("_zcr")))
     return out.select(key, F.when(F.size("labels") > 0, F.col("labels")).otherwise(other).alias("tags"), F.col("best").alias("primary_character"), F.col("confidence").alias("character_confidence"))

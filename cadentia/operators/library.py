@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import rules
 
@@ -31,22 +32,32 @@ def fill_rule(name: str) -> str:
 
 
 def clean(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Non-finite values become gaps; gaps are filled by name; tempo, duration, energy, spectral and crossing values are clipped."""
+    """Non-finite values become gaps; gaps are filled by name; tempo, duration, energy, spectral and crossing values are clipped.
+
+    Crossings without a value are 0.05, numbers of phases whole and 1 at least. Text columns are trimmed, and
+    empty texts and the words nan, none and null become unknown.
+    """
     f = df.withColumns({c: finite(c) for c in numeric})
     stat = {"median": F.median, "mean": F.avg}
-    wanted = {c: stat[fill_rule(c)](c).alias(f"_{c}") for c in numeric if fill_rule(c) in stat and "tempo" not in c}
+    wanted = {c: stat[fill_rule(c)](c).alias(f"_{c}") for c in numeric if fill_rule(c) in stat and "tempo" not in c and "zero_crossing" not in c and c != "num_phases"}
     if wanted:
         f = f.crossJoin(F.broadcast(f.agg(*wanted.values())))  # one row
     out = {}
     for c in numeric:
-        x = F.coalesce(F.col(c), F.lit(120.0) if "tempo" in c else F.col(f"_{c}") if c in wanted else F.lit(0.0), F.lit(0.0))
+        x = F.coalesce(F.col(c), F.lit(120.0) if "tempo" in c else F.lit(0.05) if "zero_crossing" in c else F.lit(1.0) if c == "num_phases" else F.col(f"_{c}") if c in wanted else F.lit(0.0), F.lit(0.0))
         if "tempo" in c:
             x = F.least(F.greatest(x, F.lit(30.0)), F.lit(300.0))
         elif any(p in c for p in ("duration", "energy", "rms", "spectral")):
             x = F.greatest(x, F.lit(0.0))
         elif "zero_crossing" in c:
             x = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+        elif c == "num_phases":
+            x = F.greatest(F.floor(x), F.lit(1)).cast("int")
         out[c] = x
+    for field in df.schema:
+        if isinstance(field.dataType, StringType):
+            plain = F.trim(field.name)
+            out[field.name] = F.when(plain.isNull() | F.lower(plain).isin("", "nan", "none", "null"), "unknown").otherwise(plain)
     return f.withColumns(out).select(*df.columns)
 
 
@@ -104,9 +115,9 @@ def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std and quartiles by linear interpolation."""
+    """count, mean, std, least, most and quartiles by linear interpolation."""
     u = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns)
-    return u.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), *[F.percentile("value", p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return u.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), *[F.percentile("value", p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)])
 
 
 def data_quality(df: DataFrame) -> DataFrame:
@@ -137,59 +148,10 @@ def coherence(df: DataFrame, cluster: str, tempo: str, key: str, mood: str, ener
     return g.select(cluster, "n", points.alias("points"), F.when(F.col("n") == 1, "Single Track").when(points >= 6, "High").when(points >= 4, "Moderate").otherwise("Low").alias("coherence"))
 
 
-def lloyd_step(points: DataFrame, centers: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """One Lloyd iteration: (cluster, dim, value, n) of the new centers. The centers, k rows, are broadcast."""
-    d = f"aggregate(zip_with({vector}, center, (x, y) -> (x - y) * (x - y)), 0D, (a, v) -> a + v)"
-    near = points.crossJoin(F.broadcast(centers)).groupBy(id_col).agg(F.min_by("cluster", F.struct(F.expr(d), F.col("cluster"))).alias("cluster"))
-    assigned = points.join(near, id_col)
-    parts = assigned.select("cluster", F.posexplode(vector).alias("dim", "x"))
-    return parts.groupBy("cluster", "dim").agg(F.avg("x").alias("value"), F.count("*").alias("n"))
-
-
-def kmeans(df: DataFrame, columns: list[str], k: int | None = None, seed: int = 42, restarts: int = 3) -> DataFrame:
-    """df with cluster: k-means over standardised columns; the best of several seeds. Without k it is chosen."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    scaled = scale(df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in columns}), columns)
-    v = VectorAssembler(inputCols=columns, outputCol="_v").transform(scaled).persist()
-    k = k or choose_k(v, v.count())
-    if k == 1:
-        return df.withColumn("cluster", F.lit(0))
-    models = [KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="_v", predictionCol="cluster").fit(v) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost).transform(v).drop("_v")
-
-
-def choose_k(v: DataFrame, n: int) -> int:
-    """Number of clusters by the bend of the inertia and the silhouette."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-
-    if n <= 5:
-        return 1 if n <= 2 else 2
-    ks = range(2, min(10, n - 1) + 1)
-    models = [KMeans(k=k, seed=42, featuresCol="_v", predictionCol="cluster").fit(v) for k in ks]
-    cost = [m.summary.trainingCost for m in models]
-    sil = [ClusteringEvaluator(featuresCol="_v", predictionCol="cluster").evaluate(m.transform(v)) for m in models]
-    bend = int(np.argmax(np.diff(cost, 2))) + 2 if len(cost) > 2 else 2
-    best = int(np.argmax(sil)) + 2
-    return max(2, min(bend, best, 3) if n <= 10 else min(max(bend, best), 5))
-
-
-def pca(df: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    """df with pc1 .. pck of the standardised columns."""
-    from pyspark.ml.feature import PCA, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    v = VectorAssembler(inputCols=columns, outputCol="_v").transform(scale(df, columns))
-    out = PCA(k=k, inputCol="_v", outputCol="_p").fit(v).transform(v).withColumn("_p", vector_to_array("_p"))
-    return out.withColumns({f"pc{i + 1}": F.col("_p")[i] for i in range(k)}).drop("_v", "_p")
-
-
 # ---- sequencing -----------------------------------------------------------------------------------
 
 #: What a track without a value counts as.
-DEFAULTS = {"tempo": 120.0, "energy": 0.0, "brightness": 1000.0, "duration": 0.0, "key_confidence": 0.5}
+DEFAULTS = {"tempo": 120.0, "energy": 0.0, "brightness": 1000.0, "duration": 0.0, "key_confidence": 0.0, "key": "C", "mood": "neutral", "character": "unknown"}
 
 
 def _related(table: str, a: Column, b: Column) -> Column:
@@ -271,12 +233,27 @@ def sequence(tracks: DataFrame, key: str = "filename", playlist: str | None = No
     return out.withColumnRenamed("name", key)
 
 
-def running_total(df: DataFrame, order: str, value: str, within: str | None = None) -> DataFrame:
-    """df with position_pct and total: the share of the way, and the sum so far."""
-    p = Window.partitionBy(within) if within else Window.partitionBy(F.lit(1))
-    by = p.orderBy(order)
-    at, n = F.row_number().over(by) - 1, F.count("*").over(p)
-    return df.withColumns({"position_pct": F.when(n > 1, at / (n - 1) * 100).otherwise(0.0), "total": F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+def running_total(df: DataFrame, order: str, value: str, within: str | None = None, buckets: int = 200) -> DataFrame:
+    """df with position_pct and total: the share of the way, and the sum so far.
+
+    Without within the rows are dealt into ranges of a numeric order by approximate quantiles; a range is one window, and
+    the sums and counts of the ranges before it, a row for each range, are broadcast. No window holds all rows.
+    """
+    if within:
+        p = Window.partitionBy(within)
+        by = p.orderBy(order)
+        at, n = F.row_number().over(by) - 1, F.count("*").over(p)
+        return df.withColumns({"position_pct": F.when(n > 1, at / (n - 1) * 100).otherwise(0.0), "total": F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))})
+    limits = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.001))) or [0.0]
+    dealt = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x < F.col(order))))
+    sums = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sums.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.sum("_s").over(before).alias("_s0"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    by = Window.partitionBy("_range").orderBy(order)
+    at = F.col("_n0") + F.row_number().over(by) - 1
+    own = F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    j = dealt.join(F.broadcast(base), "_range")
+    return j.withColumns({"position_pct": F.when(F.col("_all") > 1, at / (F.col("_all") - 1) * 100).otherwise(0.0), "total": F.when(F.col("_s0").isNull(), own).otherwise(F.col("_s0") + F.coalesce(own, F.lit(0)))}).select(*df.columns, "position_pct", "total")
 
 
 def quality(mean_transition: float) -> str:

@@ -82,10 +82,10 @@ def narratives(secs: DataFrame, structure: DataFrame, texture: DataFrame, alike:
 
 
 def climax(secs: DataFrame, key: str = "filename") -> DataFrame:
-    """The section of greatest mean tension of each piece; of equal ones the first."""
+    """The first section of each piece, in time, that is typed climax; pieces without one have no row."""
     own = [c for c in secs.columns if c != key]
-    best = F.max_by(F.struct(*own), F.struct(F.col("m"), -F.col("section")))
-    return secs.groupBy(key).agg(best.alias("x")).select(key, "x.*")
+    first = F.min_by(F.struct(*own), F.struct("start", "section"))
+    return secs.where("section_type = 'climax'").groupBy(key).agg(first.alias("x")).select(key, "x.*")
 
 
 def at_time(secs: DataFrame, seconds: float) -> DataFrame:

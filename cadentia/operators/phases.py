@@ -33,10 +33,23 @@ def change_signal(df: DataFrame, key: str, order: str, energy: str = "energy", b
 
 
 def local_peaks(df: DataFrame, key: str, order: str, value: str = "change", factor: float = PEAK_FACTOR) -> DataFrame:
-    """Rows that are higher than both neighbours and at least factor population standard deviations of their key."""
-    by, whole = Window.partitionBy(key).orderBy(order), Window.partitionBy(key)
-    marked = df.withColumns({"_a": F.lag(value).over(by), "_b": F.lead(value).over(by), "_h": factor * F.stddev_pop(value).over(whole)})
-    return marked.where(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b")) & (F.col(value) >= F.col("_h"))).drop("_a", "_b", "_h")
+    """Rows that are higher than what lies before and after and at least factor population standard deviations of their key.
+
+    A plateau of equal values is one peak, at its middle, the earlier one of two; the first and the last row of a key are none.
+    """
+    by = Window.partitionBy(key).orderBy(order)
+    starts = F.when(F.lag(value).over(by) == F.col(value), 0).otherwise(1)
+    run = df.withColumns({"_start": starts, "_h": factor * F.stddev_pop(value).over(Window.partitionBy(key))})
+    run = run.withColumn("_run", F.sum("_start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(key, "_run").orderBy(order)
+    flat = run.withColumns({"_at": F.row_number().over(inside) - 1, "_n": F.count("*").over(Window.partitionBy(key, "_run"))})
+    # the neighbours of a plateau, as seen from its rows
+    flat = flat.withColumns({"_a": F.lag(value).over(by), "_b": F.lead(value).over(by)})
+    whole = Window.partitionBy(key, "_run")
+    flat = flat.withColumns({"_before": F.max(F.when(F.col("_at") == 0, F.col("_a"))).over(whole), "_after": F.max(F.when(F.col("_at") == F.col("_n") - 1, F.col("_b"))).over(whole)})
+    middle = F.col("_at") == F.floor((F.col("_n") - 1) / 2)
+    kept = flat.where(middle & (F.col(value) > F.col("_before")) & (F.col(value) > F.col("_after")) & (F.col(value) >= F.col("_h")))
+    return kept.select(*df.columns)
 
 
 def separated(peaks: DataFrame, key: str, position: str, height: str, distance: int) -> DataFrame:

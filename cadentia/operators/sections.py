@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import in_interval
+
 FIELDS = ("energy", "brightness", "roughness", "tension")
 THRESHOLD, MIN_S, MAX_S, HALF, GAP = 0.15, 15.0, 60.0, 5, 7
 FRAMES, LEAST_FRAMES = 87, 43
@@ -19,6 +21,18 @@ def tumbling(df: DataFrame, key: str, index: str, size: int = FRAMES, least: int
     return df.groupBy(key, win).agg(F.count("*").alias("frames"), F.min(index).alias("first"), F.avg("energy").alias("energy"), F.avg("brightness").alias("brightness")).where(F.col("frames") >= least)
 
 
+def windows(df: DataFrame, key: str, index: str, time: str, size: int = FRAMES, least: int = LEAST_FRAMES) -> DataFrame:
+    """Windows of size rows with the root mean square of their energies and the time of their middle row; a short last one goes."""
+    win = F.floor(F.col(index) / size).alias("window")
+    held = df.groupBy(key, win).agg(F.count("*").alias("frames"), F.min(index).alias("first"), F.sqrt(F.avg(F.col("energy") * F.col("energy"))).alias("rms"), F.array_sort(F.collect_list(time)).alias("_t"))
+    return held.where(F.col("frames") >= least).withColumn("centre", F.get("_t", F.floor(F.col("frames") / 2).cast("int"))).drop("_t")
+
+
+def edges(alike: DataFrame, key: str = "filename") -> DataFrame:
+    """(filename_a, filename_b, score, rank) of similar pieces, as they are exported."""
+    return alike.select(F.col(key).alias("filename_a"), F.col("other").alias("filename_b"), "score", "rank")
+
+
 def minmax(c: str, key: str, flat: float = 0.0) -> Column:
     """Scaled to 0..1 within its key; flat where all values are equal."""
     w = Window.partitionBy(key)
@@ -89,7 +103,8 @@ def split_long(limits: DataFrame, points: DataFrame, key: str = "filename", long
             out.append(full)
         return pd.DataFrame({key: [k[0]] * len(out), "times": out})
 
-    return limits.select(key, "times").groupBy(key).cogroup(points.select(key, "time", "tension").groupBy(key)).applyInPandas(one, f"{key} {kind}, times array<double>")
+    own = points.select(F.col(key).alias("_key"), "time", "tension")
+    return limits.select(key, "times").groupBy(key).cogroup(own.groupBy("_key")).applyInPandas(one, f"{key} {kind}, times array<double>")
 
 
 def sections(limits: DataFrame, key: str = "filename") -> DataFrame:
@@ -100,10 +115,11 @@ def sections(limits: DataFrame, key: str = "filename") -> DataFrame:
 
 def section_stats(secs: DataFrame, points: DataFrame, key: str = "filename") -> DataFrame:
     """secs with the mean tension (0.3 if empty), its slope per second, the arc and the type of each section."""
-    p = points.select(F.col(key).alias("_k"), "time", F.col("tension").alias("_t"))
-    j = secs.join(p, (F.col(key) == F.col("_k")) & (F.col("time") >= F.col("start")) & (F.col("time") < F.col("end")), "left")
-    flat = (F.count("_t") < 2) | (F.max("time") - F.min("time") < 1e-6)
-    g = j.groupBy(key, "section", "start", "end").agg(F.count("_t").alias("points"), F.coalesce(F.avg("_t"), F.lit(0.3)).alias("m"), F.when(flat, 0.0).otherwise(F.regr_slope("_t", "time")).alias("slope"))
+    held = in_interval(points.select(key, "time", "tension"), secs, "time", key, "start", "end", ("section",))
+    flat = (F.count("*") < 2) | (F.max("time") - F.min("time") < 1e-6)
+    own = held.groupBy(key, "section").agg(F.count("tension").alias("points"), F.avg("tension").alias("m"), F.when(flat, 0.0).otherwise(F.regr_slope("tension", "time")).alias("slope"))
+    g = secs.select(key, "section", "start", "end").join(own, [key, "section"], "left")
+    g = g.withColumns({"points": F.coalesce("points", F.lit(0)), "m": F.coalesce("m", F.lit(0.3)), "slope": F.coalesce("slope", F.lit(0.0))})
     by = Window.partitionBy(key).orderBy("section")
     m, s = F.col("m"), F.col("slope")
     first, last = F.col("section") == 1, F.lead("section").over(by).isNull()
@@ -117,18 +133,24 @@ def section_stats(secs: DataFrame, points: DataFrame, key: str = "filename") ->
 
 
 def motion(secs: DataFrame, points: DataFrame, key: str = "filename") -> DataFrame:
-    """How each section is entered: direction, rate and type from the last two points before and the first two after its start."""
-    p = points.select(F.col(key).alias("_k"), "time", "energy", "brightness")
-    j = secs.join(p, F.col(key) == F.col("_k")).withColumn("after", F.col("time") >= F.col("start"))
-    j = j.where(F.when(F.col("after"), F.col("time") < F.col("end")).otherwise(True))
-    near = Window.partitionBy(key, "section", "after").orderBy(F.when(F.col("after"), F.col("time")).otherwise(-F.col("time")))
-    two = j.withColumn("_r", F.row_number().over(near)).where("_r <= 2").groupBy(key, "section").agg(
-        F.count("*").alias("n"), F.count_if(F.col("after")).alias("_na"),
-        *[(F.avg(F.when(F.col("after"), F.col(c))) - F.avg(F.when(~F.col("after"), F.col(c)))).alias(f"_{c}") for c in ("energy", "brightness")],
-        *[F.greatest(F.max(c) - F.min(c), F.lit(1e-6)).alias(f"_{c}_span") for c in ("energy", "brightness")],
-    )
-    de, db = F.col("_energy") / F.col("_energy_span"), F.col("_brightness") / F.col("_brightness_span")
-    empty = (F.col("_na") == 0) | (F.col("_na") == F.col("n"))
+    """How each section is entered: direction, rate and type from the last two points before and the first two after its start.
+
+    The points of a piece are walked once: the first point of a section knows the two before and the one after it.
+    """
+    p = points.select(key, "time", "energy", "brightness")
+    own = F.struct("energy", "brightness")
+    by = Window.partitionBy(key).orderBy("time")
+    near = p.withColumns({"_own": own, "_l1": F.lag(own, 1).over(by), "_l2": F.lag(own, 2).over(by)})
+    inside = Window.partitionBy(key, "section").orderBy("time")
+    held = in_interval(near, secs, "time", key, "start", "end", ("section",)).withColumns({"_next": F.lead("_own").over(inside), "_r": F.row_number().over(inside)})
+    first = held.where("_r = 1").select(key, "section", F.array_compact(F.array("_l1", "_l2")).alias("_before"), F.array_compact(F.array("_own", "_next")).alias("_after"))
+    j = secs.select(key, "section").join(first, [key, "section"], "left")
+    both = F.concat("_before", "_after")
+    mean = lambda xs, c: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x[c]) / F.size(xs)
+    step = lambda c: (mean("_after", c) - mean("_before", c)) / F.greatest(F.array_max(F.transform(both, lambda x: x[c])) - F.array_min(F.transform(both, lambda x: x[c])), F.lit(1e-6))
+    empty = F.col("_after").isNull() | (F.size("_before") == 0)
+    two = j.withColumns({"n": F.when(~empty, F.size(both)), "de": F.when(~empty, step("energy")), "db": F.when(~empty, step("brightness"))})
+    de, db = F.col("de"), F.col("db")
     kind = F.when((F.greatest(F.abs(de), F.abs(db)) > 0.4) & (F.col("n") <= 3), "abrupt").when(de > 0.2, "swell").when(de < -0.2, "fade").otherwise("gradual")
     return two.select(
         key, "section",

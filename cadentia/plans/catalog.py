@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import insights, labels, library, narrative, phases, sections, summaries
+from ..operators import clusters, collection, flow, insights, labels, library, narrative, phases, sections, summaries, views
 
 FLAGSHIP = "mood_score_tracks"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import answers  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import answers  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -214,7 +218,9 @@ def gradient_change_signal(spark, sf):
     return phases.change_signal(points(spark, sf), "filename", "rn").select("filename", "rn", _r("change").alias("change"))
 
 
-PEAKS = f"{CHANGE}, peaks AS (SELECT * FROM (SELECT *, lag(change) OVER w AS a, lead(change) OVER w AS b, 1.5::DOUBLE * stddev_pop(change) OVER (PARTITION BY filename) AS h FROM changed WINDOW w AS (PARTITION BY filename ORDER BY rn)) WHERE change > a AND change > b AND change >= h)"
+PEAKS = f"""{CHANGE}, runs AS (SELECT *, sum(s) OVER (PARTITION BY filename ORDER BY rn) AS run FROM (SELECT *, CASE WHEN lag(change) OVER w = change THEN 0 ELSE 1 END AS s, 1.5::DOUBLE * stddev_pop(change) OVER (PARTITION BY filename) AS h FROM changed WINDOW w AS (PARTITION BY filename ORDER BY rn))),
+flat AS (SELECT filename, run, min(rn) AS lo, max(rn) AS hi, any_value(change) AS c, any_value(h) AS h FROM runs GROUP BY filename, run), tops AS (SELECT *, lag(c) OVER v AS a, lead(c) OVER v AS b FROM flat WINDOW v AS (PARTITION BY filename ORDER BY lo)),
+peaks AS (SELECT x.* FROM tops t JOIN changed x ON x.filename = t.filename AND x.rn = (t.lo + t.hi) // 2 WHERE c > a AND c > b AND c >= t.h)"""
 
 
 @query(f"WITH {PEAKS} SELECT filename, rn FROM peaks")
@@ -222,7 +228,9 @@ def local_peaks(spark, sf):
     return phases.local_peaks(phases.change_signal(points(spark, sf), "filename", "rn"), "filename", "rn").select("filename", "rn")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PEAKS}, l AS (SELECT filename, list(rn ORDER BY change DESC, rn DESC) AS ps FROM peaks GROUP BY filename),
+r(filename, i, kept) AS (SELECT filename, 0, CAST([] AS BIGINT[]) FROM l UNION ALL SELECT r.filename, i + 1, CASE WHEN len(list_filter(kept, lambda k: abs(k - ps[i + 1]) < 10)) = 0 THEN list_append(kept, ps[i + 1]) ELSE kept END FROM r JOIN l ON l.filename = r.filename WHERE i < len(ps))
+SELECT r.filename, unnest(kept) AS rn FROM r JOIN l ON l.filename = r.filename WHERE i = len(ps)""")
 def separated_peaks(spark, sf):
     p = phases.local_peaks(phases.change_signal(points(spark, sf), "filename", "rn"), "filename", "rn")
     return phases.separated(p, "filename", "rn", "change", 10)
@@ -280,6 +288,14 @@ greedy(filename, i, t) AS (SELECT filename, min(i), arg_min(t, i) FROM cand GROU
 ends AS (SELECT filename, max(time) + 2 AS d FROM points GROUP BY filename),
 merged(filename, t) AS (SELECT filename, CAST(0 AS DOUBLE) FROM ends UNION ALL (SELECT c.filename, c.t FROM merged g JOIN greedy c ON c.filename = g.filename AND c.t >= g.t + 15 WHERE NOT EXISTS (SELECT 1 FROM greedy d WHERE d.filename = g.filename AND d.t >= g.t + 15 AND d.t < c.t))),
 times AS (SELECT m.filename, m.t FROM merged m JOIN ends USING (filename) WHERE m.t < d UNION SELECT filename, d FROM ends)"""
+# long sections: of each one that is over 60 s the steepest point of its tension, of equal ones the first, and both sides again
+WHOLE = f"""{LIMITS}, gaps AS (SELECT * FROM (SELECT filename, t AS lo, lead(t) OVER (PARTITION BY filename ORDER BY t) AS hi FROM times) WHERE hi IS NOT NULL),
+parts_(filename, lo, hi) AS (SELECT * FROM gaps UNION ALL (SELECT filename, unnest([lo, mid]), unnest([mid, hi]) FROM (SELECT filename, lo, hi, arg_min(time, rk) AS mid FROM (
+  SELECT *, row_number() OVER (PARTITION BY filename, lo ORDER BY g DESC, time) AS rk, max(g) OVER (PARTITION BY filename, lo) AS top, count(*) OVER (PARTITION BY filename, lo) AS n FROM (
+    SELECT s.filename, s.lo, s.hi, p.time, abs(CASE WHEN lag(p.tension) OVER v IS NULL THEN lead(p.tension) OVER v - p.tension WHEN lead(p.tension) OVER v IS NULL THEN p.tension - lag(p.tension) OVER v ELSE (lead(p.tension) OVER v - lag(p.tension) OVER v) / 2 END) AS g
+    FROM parts_ s JOIN tense p ON p.filename = s.filename AND p.time > s.lo AND p.time < s.hi WHERE s.hi - s.lo > 60 WINDOW v AS (PARTITION BY s.filename, s.lo ORDER BY p.time)))
+  WHERE n >= 3 AND top >= 1e-9::DOUBLE GROUP BY filename, lo, hi))),
+cuts AS (SELECT DISTINCT filename, lo AS t FROM parts_ UNION SELECT DISTINCT filename, hi FROM parts_)"""
 
 
 @query(f"WITH RECURSIVE {LIMITS} SELECT filename, t FROM times")
@@ -287,7 +303,7 @@ def section_boundaries_greedy(spark, sf):
     return limits(spark, sf).select("filename", F.explode("times").alias("t"))
 
 
-SECS = f"""{LIMITS}, secs AS (SELECT * FROM (SELECT filename, row_number() OVER w AS section, t AS start, lead(t) OVER w AS stop FROM times WINDOW w AS (PARTITION BY filename ORDER BY t)) WHERE stop IS NOT NULL),
+SECS = f"""{WHOLE}, secs AS (SELECT * FROM (SELECT filename, row_number() OVER w AS section, t AS start, lead(t) OVER w AS stop FROM cuts WINDOW w AS (PARTITION BY filename ORDER BY t)) WHERE stop IS NOT NULL),
 st AS (SELECT s.filename, s.section, s.start, s.stop, count(p.tension) AS points, coalesce(avg(p.tension), 0.3::DOUBLE) AS m, CASE WHEN count(p.tension) < 2 THEN 0 ELSE regr_slope(p.tension, p.time) END AS slope
   FROM secs s LEFT JOIN tense p ON p.filename = s.filename AND p.time >= s.start AND p.time < s.stop GROUP BY ALL),
 typed AS (SELECT *, CASE WHEN slope > 0.01 THEN 'building' WHEN slope < -0.01 THEN 'releasing' WHEN m > 0.65 THEN 'peak' WHEN m < 0.3 THEN 'valley' ELSE 'plateau' END AS arc,
@@ -296,7 +312,8 @@ typed AS (SELECT *, CASE WHEN slope > 0.01 THEN 'building' WHEN slope < -0.01 TH
 
 
 def typed(spark, sf):
-    return sections.section_stats(sections.sections(limits(spark, sf)), tense(spark, sf))
+    t = tense(spark, sf)
+    return flow.detect_sections(t, t.groupBy("filename").agg((F.max("time") + 2).alias("duration")))
 
 
 @query(f"WITH RECURSIVE {SECS} SELECT filename, section, points, round(m, 6) AS m, round(slope, 6) AS slope, arc, section_type FROM typed")
@@ -304,7 +321,7 @@ def section_stats(spark, sf):
     return typed(spark, sf).select("filename", F.col("section").cast("long").alias("section"), "points", _r("m").alias("m"), _r("slope").alias("slope"), "arc", "section_type")
 
 
-@query()
+@query(f"WITH RECURSIVE {WHOLE} SELECT filename, t FROM cuts")
 def section_split_long(spark, sf):
     return sections.split_long(limits(spark, sf), tense(spark, sf)).select("filename", F.explode("times").alias("t"))
 
@@ -316,7 +333,7 @@ SELECT filename, section, CASE WHEN na = 0 OR na = n THEN 'stable' WHEN de > 0.1
   CASE WHEN na = 0 OR na = n THEN 'gradual' WHEN n <= 2 THEN 'instant' WHEN n <= 6 THEN 'fast' ELSE 'gradual' END AS rate,
   CASE WHEN na = 0 OR na = n THEN 'gradual' WHEN greatest(abs(de), abs(db)) > 0.4 AND n <= 3 THEN 'abrupt' WHEN de > 0.2 THEN 'swell' WHEN de < -0.2 THEN 'fade' ELSE 'gradual' END AS motion_type FROM g""")
 def section_motion(spark, sf):
-    m = sections.motion(sections.sections(limits(spark, sf)), points(spark, sf))
+    m = sections.motion(typed(spark, sf), points(spark, sf))
     return m.withColumn("section", F.col("section").cast("long"))
 
 
@@ -349,9 +366,9 @@ def pair_similarity_topk(spark, sf):
     return s.select("filename", F.col("rank").cast("long").alias("rank"), _r("score").alias("score"))
 
 
-@query(f"WITH {POINTS} SELECT filename, rn, energy FROM points WHERE time <= 61 AND time + 2 > 61")
+@query(f"WITH RECURSIVE {SECS} SELECT filename, section, start, stop FROM secs WHERE start <= 61 AND stop > 61")
 def point_in_section(spark, sf):
-    return points(spark, sf).where((F.col("time") <= 61) & (F.col("time") + 2 > 61)).select("filename", "rn", "energy")
+    return narrative.at_time(typed(spark, sf), 61).select("filename", F.col("section").cast("long").alias("section"), "start", F.col("end").alias("stop"))
 
 
 # ---- library --------------------------------------------------------------------------------------
@@ -388,9 +405,10 @@ def crosstab_key_cluster(spark, sf):
     return library.crosstab(parts(spark, sf).withColumn("key", F.col("mood")), "key", "cluster")
 
 
-@query(f"""WITH {TRACKS} SELECT unnest(['files', 'total_duration', 'mean_duration', 'mean_energy', 'max_brightness']) AS metric, unnest([CAST(count(*) AS DOUBLE), sum(duration), round(avg(duration), 6), round(avg(energy), 6), round(max(brightness), 6)]) AS value FROM tracks""")
+@query(f"""WITH {TRACKS} SELECT unnest(['files', 'total_duration', 'mean_duration', 'mean_energy', 'brightness_range']) AS metric, unnest([CAST(count(*) AS DOUBLE), sum(duration), round(avg(duration), 6), round(avg(energy), 6), round(max(brightness) - min(brightness), 6)]) AS value FROM tracks""")
 def collection_summary(spark, sf):
-    one = tracks(spark, sf).agg(F.count("*").cast("double").alias("files"), F.sum("duration").alias("total_duration"), _r(F.avg("duration")).alias("mean_duration"), _r(F.avg("energy")).alias("mean_energy"), _r(F.max("brightness")).alias("max_brightness"))
+    t = tracks(spark, sf).withColumns({c: F.lit("x") for c in ("key", "mood", "character")})
+    one = collection.summary(t).select(F.col("total_files").cast("double").alias("files"), F.col("total_duration_seconds").alias("total_duration"), _r("avg_duration_seconds").alias("mean_duration"), _r("avg_energy").alias("mean_energy"), _r("brightness_range").alias("brightness_range"))
     return one.unpivot([], one.columns, "metric", "value")
 
 
@@ -443,8 +461,9 @@ def robust_scale(spark, sf):
 
 @query(f"WITH {TRACKS} SELECT feature, round(var_samp(v), 6) AS variance FROM (SELECT {_LONG} FROM tracks) GROUP BY feature HAVING var_samp(v) < 0.01")
 def low_variance_columns(spark, sf):
-    u = library.unpivot(tracks(spark, sf).select(*_NUM), [], _NUM)
-    return u.groupBy("feature").agg(_r(F.var_samp("value")).alias("variance")).where("variance < 0.01")
+    t = tracks(spark, sf)
+    flat = library.low_variance(t.select(*_NUM), _NUM, 0.01)
+    return views.variance_ranks(t, _NUM, len(_NUM), 0).where(F.col("feature").isin(flat)).select("feature", _r("variance").alias("variance"))
 
 
 _PAIRS = [(a, b) for i, a in enumerate(_NUM) for b in _NUM[i + 1 :]]
@@ -511,18 +530,18 @@ n AS (SELECT e.vec_id, e.v, arg_min(c.cluster, list_distance(e.v, c.v)) AS clust
 SELECT cluster, dim, round(avg(x), 6) AS value, count(*) AS n FROM (SELECT cluster, unnest(range(64)) AS dim, unnest(v) AS x FROM n) GROUP BY cluster, dim""")
 def lloyd_kmeans_step(spark, sf):
     e = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    c = e.where("vec_id < 4").select(F.col("vec_id").alias("cluster"), F.col("v").alias("center"))
-    return library.lloyd_step(e, c, "vec_id", "v").select("cluster", F.col("dim").cast("long").alias("dim"), _r("value").alias("value"), "n")
+    centers = [r.v for r in e.where("vec_id < 4").orderBy("vec_id").collect()]
+    return clusters.lloyd_step(e, "v", centers).select(F.col("cluster").cast("long").alias("cluster"), F.col("dim").cast("long").alias("dim"), _r("value").alias("value"), "n")
 
 
 @query()
 def kmeans_labels(spark, sf):
-    return library.kmeans(tracks(spark, sf, "l_suppkey"), _NUM, 4).select("filename", "cluster")
+    return clusters.kmeans(tracks(spark, sf, "l_suppkey"), _NUM, 4).select("filename", "cluster")
 
 
 @query()
 def pca_projection(spark, sf):
-    return library.pca(tracks(spark, sf, "l_suppkey"), _NUM).select("filename", "pc1", "pc2")
+    return clusters.pca(tracks(spark, sf, "l_suppkey"), _NUM)[0].select("filename", "pc1", "pc2")
 
 
 @query("SELECT o_orderkey, printf('%d:%02d', CAST(floor(o_totalprice / 60) AS BIGINT), CAST(floor(o_totalprice) AS BIGINT) % 60) AS short, CASE WHEN o_totalprice >= 3600 THEN printf('%d:%02d:%02d', CAST(floor(o_totalprice / 3600) AS BIGINT), CAST(floor(o_totalprice / 60) AS BIGINT) % 60, CAST(floor(o_totalprice) AS BIGINT) % 60) ELSE printf('%d:%02d', CAST(floor(o_totalprice / 60) AS BIGINT), CAST(floor(o_totalprice) AS BIGINT) % 60) END AS long FROM orders")
@@ -552,9 +571,18 @@ def category_buckets(spark, sf):
     return t.select("filename", *[library.bucket(F.col(c), *x).alias(f"{c}_level") for c, x in (("energy", library.ENERGY), ("brightness", library.BRIGHTNESS), ("tempo", library.TEMPO))])
 
 
-@query("SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS \"column\", CAST(0 AS BIGINT) AS nulls, (SELECT count(*) FROM orders) AS rows, 100.0::DOUBLE AS completeness")
+GAPPY = "gappy AS (SELECT o_custkey % 50 AS a, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey % 3 END AS b, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE 0.5::DOUBLE END AS c FROM orders)"
+
+
+def gappy(spark, sf):
+    """Rows with gaps, repeats and a column that hardly varies."""
+    k, o = F.col("o_custkey"), F.col("o_orderkey")
+    return _t(spark, sf, "orders").select((k % 50).alias("a"), F.when(o % 7 != 0, k % 3).alias("b"), F.when(k % 5 != 0, F.lit(0.5)).alias("c"))
+
+
+@query(f"WITH {GAPPY}, n AS (SELECT count(*) AS rows FROM gappy) SELECT \"column\", nulls, rows, round(100 - 100.0::DOUBLE * nulls / rows, 6) AS completeness FROM n, (SELECT unnest(['a', 'b', 'c']) AS \"column\", unnest([count(*) - count(a), count(*) - count(b), count(*) - count(c)]) AS nulls FROM gappy)")
 def data_quality(spark, sf):
-    return library.data_quality(_t(spark, sf, "orders"))
+    return library.data_quality(gappy(spark, sf)).withColumn("completeness", _r("completeness"))
 
 
 @query("SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS g FROM events)) GROUP BY user_id, s) GROUP BY user_id")
@@ -638,7 +666,7 @@ def mood_suggestions(spark, sf):
     return summaries.suggestions(playlist(spark, sf), "mood")
 
 
-@query(f"WITH RECURSIVE {SECS} SELECT filename, section, start, stop, round(m, 6) AS m FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY m DESC, section) AS r FROM typed) WHERE r = 1")
+@query(f"WITH RECURSIVE {SECS} SELECT filename, section, start, stop, round(m, 6) AS m FROM (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY start, section) AS r FROM typed WHERE section_type = 'climax') WHERE r = 1")
 def climax_section(spark, sf):
     c = narrative.climax(typed(spark, sf))
     return c.select("filename", F.col("section").cast("long").alias("section"), "start", F.col("end").alias("stop"), _r("m").alias("m"))
@@ -736,7 +764,9 @@ def collection_insights(spark, sf):
     return one.select(F.array_join(insights.collection_insights(c("mood"), c("sd"), F.lit(None).cast("double"), c("largest"), c("clusters"), c("first"), c("last")), ". ").alias("insights"))
 
 
-@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS nulls, count(*) AS \"distinct\", 'Nothing to improve' AS advice FROM orders")
+@query(f"""WITH {GAPPY}, n AS (SELECT count(*) AS rows, 3 * count(*) - count(a) - count(b) - count(c) AS nulls, var_samp(a) AS va, var_samp(b) AS vb, var_samp(c) AS vc FROM gappy), d AS (SELECT count(*) AS k FROM (SELECT DISTINCT a, b, c FROM gappy))
+SELECT rows, nulls, k AS "distinct", concat_ws('. ', CASE WHEN nulls / (rows * 3) > 0.05 THEN 'Many values are missing: look at the extraction' END, CASE WHEN (rows - k) / rows > 0.01 THEN 'Rows repeat: drop the copies' END,
+  CASE WHEN (va < 0.001)::INT + (vb < 0.001)::INT + (vc < 0.001)::INT > 0 THEN 'Columns that hardly vary: ' || ((va < 0.001)::INT + (vb < 0.001)::INT + (vc < 0.001)::INT) END) AS advice FROM n, d""")
 def quality_advice(spark, sf):
-    r = insights.quality_advice(_t(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
+    r = insights.quality_advice(gappy(spark, sf), ["a", "b", "c"])
     return r.withColumn("advice", F.array_join("advice", ". "))

@@ -12,7 +12,7 @@ import pytest
 
 from cadentia import rules
 from cadentia.functions import signal
-from cadentia.operators import labels, library, phases, sections
+from cadentia.operators import clusters, labels, library, phases, sections
 from cadentia.plans import catalog
 from cadentia.sources import audio, sinks
 from cadentia.streaming import windows
@@ -118,7 +118,7 @@ def test_clean_and_scale(spark):
 
 def test_kmeans_separates_blobs(spark):
     rows = [(i, i % 2 * 50.0 + i / 100, i % 2 * 9.0) for i in range(20)]
-    got = library.kmeans(spark.createDataFrame(rows, "i int, a double, b double"), ["a", "b"], 2).collect()
+    got = clusters.kmeans(spark.createDataFrame(rows, "i int, a double, b double"), ["a", "b"], 2).collect()
     assert len({r.cluster for r in got if r.i % 2}) == 1 and len({r.cluster for r in got}) == 2
 
 

@@ -44,7 +44,7 @@ def test_route(question, want):
 
 
 def test_ask(spark):
-    secs = spark.createDataFrame([section(1, 0, m=0.7), section(2, 20, m=0.9), section(3, 40, m=0.9)], SECTION)
+    secs = spark.createDataFrame([section(1, 0, m=0.9), section(2, 20, "climax", m=0.8), section(3, 40, "climax", m=0.9)], SECTION)
     alike = spark.createDataFrame([("a.wav", "c.wav", 1), ("a.wav", "b.wav", 2)], "filename string, other string, rank int")
     none = spark.createDataFrame([], "filename string, structure array<double>")
     told = narrative.narratives(secs, none, none.withColumnRenamed("structure", "texture"), alike)
