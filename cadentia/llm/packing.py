@@ -23,7 +23,7 @@ from .common import cut, payloads, spans
 
 CAPACITY = 2048
 #: Islands, migrations between them, generations between two migrations, and chromosomes of an island.
-ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 4, 5, 6
+ISLANDS, ROUNDS, GENERATIONS, POPULATION = 6, 4, 3, 6
 #: Entries that the memory of one worker's word cache is held to.
 CACHE_ENTRIES = 400_000
 
