@@ -145,7 +145,7 @@ def seed_centers(df: DataFrame, vector: str, k: int, seed: int = SEED) -> list[l
     for i in range(k):
         weight = F.least(*[distance2(F.col(vector), c) for c in centers]) if len(centers) > 1 else distance2(F.col(vector), centers[0]) if centers else F.lit(1.0)
         clock = -F.log(F.greatest(F.rand(seed + i), F.lit(1e-300))) / F.greatest(weight, F.lit(1e-300))
-        row = df.select(F.min_by(vector, clock).alias("v")).first()
+        row = df.select(F.col(vector).alias("v"), clock.alias("clock")).agg(F.min_by("v", "clock").alias("v")).first()
         if row is None or row.v is None:
             break
         centers.append([float(x) for x in row.v])
@@ -166,7 +166,7 @@ def lloyd(df: DataFrame, vector: str, k: int, steps: int = LLOYD_STEPS, seed: in
     """
     at = centers or seed_centers(df, vector, k, seed)
     width = len(at[0]) if at else 0
-    for _ in range(steps):
+    for _ in range(steps if at else 0):
         told = df.select(nearest(F.col(vector), at).alias("c"), vector)
         rows = told.groupBy("c").agg(F.count("*").alias("n"), *[F.sum(F.col(vector)[i]).alias(f"s{i}") for i in range(width)]).collect()  # k rows
         moved = [[0.0] * width for _ in at]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ def phase_means(bounds: DataFrame, frames: DataFrame, onsets: DataFrame, key: st
 def phase_bounds(frames: DataFrame, key: str = "filename", sr: int = SAMPLE_RATE, hop: int = HOP) -> DataFrame:
     """(key, phase_number, start_time, end_time) from frames(key, frame_idx, energy, brightness): smoothed over two seconds, their
     change peaks ten seconds apart."""
-    smooth = phases.moving_average(frames.select(key, "frame_idx", "energy", "brightness"), "energy", key, "frame_idx", int(sr / hop * SMOOTH_S), "_e")
-    smooth = phases.moving_average(smooth, "brightness", key, "frame_idx", int(sr / hop * SMOOTH_S), "_b")
-    changed = phases.change_signal(smooth, key, "frame_idx", "_e", "_b")
+    smooth = phases.moving_average(frames.select(key, "frame_idx", "energy", "brightness"), "energy", key, "frame_idx", int(sr / hop * SMOOTH_S), "smooth_energy")
+    smooth = phases.moving_average(smooth, "brightness", key, "frame_idx", int(sr / hop * SMOOTH_S), "smooth_brightness")
+    changed = phases.change_signal(smooth, key, "frame_idx", "smooth_energy", "smooth_brightness")
     peaks = phases.separated(phases.local_peaks(changed, key, "frame_idx"), key, "frame_idx", "change", int(sr / hop * APART_S))
     seconds = F.col("frame_idx") * hop / sr
     ends = frames.groupBy(key).agg((F.max("frame_idx") * hop / sr).alias("duration"))
@@ -90,11 +92,14 @@ def section_labels(secs: DataFrame, frames: DataFrame, onsets: DataFrame, key: s
     return secs.join(moods, [key, "section"], "left").join(tags, [key, "section"], "left")
 
 
-def narrate(points: DataFrame, durations: DataFrame, frames: DataFrame | None = None, onsets: DataFrame | None = None, key: str = "filename") -> DataFrame:
-    """The narratives table of all pieces: sections with types, motion and labels, prose, fingerprints and similar pieces."""
-    typed = detect_sections(points, durations, key)
+def narrate(points: DataFrame, durations: DataFrame, frames: DataFrame | None = None, onsets: DataFrame | None = None, key: str = "filename", settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The narratives table of all pieces: sections with types, motion and labels, prose, fingerprints and similar pieces.
+
+    settle is applied to what several steps read: sections and fingerprints.
+    """
+    typed = settle(detect_sections(points, durations, key))
     if frames is not None and onsets is not None:
         typed = section_labels(typed, frames, onsets, key)
-    typed = typed.join(sections.motion(typed, points, key), [key, "section"], "left")
-    structure, texture = sections.structure_fingerprint(typed, key), sections.texture_fingerprint(points, key)
+    typed = settle(typed.join(sections.motion(typed, points, key), [key, "section"], "left"))
+    structure, texture = settle(sections.structure_fingerprint(typed, key)), settle(sections.texture_fingerprint(points, key))
     return narrative.narratives(typed, structure, texture, sections.similar(structure.join(texture, key), key), key)

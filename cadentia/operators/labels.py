@@ -5,7 +5,7 @@ Rules are data: a literal array that every row is scored against.
 
 from __future__ import annotations
 
-import math
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,27 +28,22 @@ def _inside(value: str, rule: str) -> str:
     return f"coalesce({value} between r.{rule}_lo and r.{rule}_hi, false)"
 
 
-def _literal(x) -> str:
-    if x is None:
-        return "null"
-    if isinstance(x, str):
-        return "'" + x.replace("'", "\\'") + "'"
-    return f"{x!r}D" if math.isfinite(x := float(x)) else f"double('{'-' if x < 0 else ''}Infinity')"
-
-
-def _label(df: DataFrame, key: str, rows: list[dict], score: str, threshold: str, keep: list[str]) -> DataFrame:
+def _label(df: DataFrame, key: str, rows: list[dict], raw: str, above: float, factor: float, threshold: str, keep: list[str]) -> DataFrame:
     """(key, labels, best, confidence) and the numbers in keep, of every row of df: rules in the order of the table, of equal scores the first.
 
-    The rules are one array literal and a row is scored by an expression over it, so nothing is joined, exploded or
-    shuffled, and rows that share a key stay apart. score and threshold are SQL over the row and a rule r.
+    The rules are one constant array and a row is scored by an expression over it, so nothing is joined, exploded or
+    shuffled, and rows that share a key stay apart. raw is SQL over the row and a rule r; raw scores above a limit are
+    raised by a factor, to 1 at most. threshold is SQL over a rated rule x.
     """
     fields = [c for c in rows[0] if c != "ord"]
-    kinds = {c: "string" if any(isinstance(r[c], str) for r in rows) else "double" for c in fields}
-    table = ", ".join("named_struct(" + ", ".join(f"'{c}', cast({_literal(r[c])} as {kinds[c]})" for c in fields) + ")" for r in rows)
-    rated = df.withColumn("_s", F.expr(f"transform(array({table}), r -> named_struct('name', r.name, 's', {score}, 'hit', {score} >= {threshold}))"))
+    kinds = ", ".join(f"{c}: {'string' if any(isinstance(r[c], str) for r in rows) else 'double'}" for c in fields)
+    table = F.from_json(F.lit(json.dumps([{c: r[c] for c in fields} for r in rows])), f"array<struct<{kinds}>>")
+    limit = "r.threshold" if "threshold" in fields else "0D"
+    rated = df.withColumn("_rules", table).withColumn("_s", F.expr(f"transform(_rules, r -> named_struct('name', r.name, 'threshold', {limit}, 's', {raw}))"))
+    rated = rated.withColumn("_s", F.expr(f"transform(_s, x -> named_struct('name', x.name, 'threshold', x.threshold, 's', if(x.s > {above}D, least(1D, x.s * {factor}D), x.s)))"))
     return rated.select(
         key,
-        F.transform(F.filter("_s", lambda x: x["hit"]), lambda x: x["name"]).alias("labels"),
+        F.expr(f"transform(filter(_s, x -> x.s >= {threshold}), x -> x.name)").alias("labels"),
         F.expr("_s[cast(array_position(_s.s, array_max(_s.s)) - 1 as int)].name").alias("best"),
         F.expr("array_max(_s.s)").alias("confidence"),
         *keep,
@@ -66,8 +61,7 @@ def mood_scores(df: DataFrame, threshold: float = 0.7, mood_rules: list[dict] |
     clean = df.select(key, *[to_number(F.col(c)).alias(f"_{c}") for c in inputs], (to_number(F.col("zcr")) if "zcr" in df.columns else F.lit(0.0)).alias("_zcr"))
     parts = " + ".join(f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in MOOD_WEIGHTS.items())
     raw = f"if(r.name = 'synthetic' and _zcr > 0.05D, 0D, ({parts} + if(_duration >= r.min_duration, 1D, 0D)) / 12D)"
-    score = f"if({raw} > 0.8D, least(1D, {raw} * 1.1D), {raw})"
-    out = _label(clean, key, mood_rules or rules.moods(), score, f"{threshold}D", ["_energy", "_brightness", "_onset"])
+    out = _label(clean, key, mood_rules or rules.moods(), raw, 0.8, 1.1, f"{threshold}D", ["_energy", "_brightness", "_onset"])
     other = F.array(fallback_mood(F.col("_energy"), F.col("_brightness"), F.col("_onset")))
     return out.select(key, F.when(F.size("labels") > 0, F.col("labels")).otherwise(other).alias("moods"), F.col("best").alias("primary_mood"), F.col("confidence").alias("mood_confidence"))
 
@@ -100,9 +94,8 @@ def character_scores(df: DataFrame, threshold: float | None = None, tag_rules: l
     got = " + ".join([f"if({_inside('_' + k, k)}, {w}D, 0D)" for k, w in (TAG_WEIGHTS | OPTIONAL_TAG_WEIGHTS).items()] + [f"if({timbre}, 1.5D, 0D)"])
     of = " + ".join([f"12.5D", *[f"if(r.{k}_lo is not null, {w}D, 0D)" for k, w in OPTIONAL_TAG_WEIGHTS.items()]])
     raw = f"(({got}) / ({of}))"
-    score = f"if({raw} > 0.85D, least(1D, {raw} * 1.05D), {raw})"
-    limit = f"{threshold}D" if threshold is not None else "r.threshold"
-    out = _label(df.select(key, *cols), key, tag_rules or rules.tags(), score, limit, ["_centroid", "_bandwidth", "_rolloff", "_zcr"])
+    limit = f"{threshold}D" if threshold is not None else "x.threshold"
+    out = _label(df.select(key, *cols), key, tag_rules or rules.tags(), raw, 0.85, 1.05, limit, ["_centroid", "_bandwidth", "_rolloff", "_zcr"])
     other = F.array(fallback_character(F.col("_centroid"), F.col("_bandwidth"), F.col("_rolloff"), F.col("_zcr")))
     return out.select(key, F.when(F.size("labels") > 0, F.col("labels")).otherwise(other).alias("tags"), F.col("best").alias("primary_character"), F.col("confidence").alias("character_confidence"))
 

@@ -11,13 +11,13 @@ PEAK_FACTOR, LEAST_START_S = 1.5, 5.0
 def moving_average(df: DataFrame, value: str, key: str, order: str, size: int, out: str) -> DataFrame:
     """Centred moving average of size rows over each key, mirrored at both ends; an even size reaches one row further back."""
     back, ahead = size // 2, size - 1 - size // 2
-    by = Window.partitionBy(key).orderBy(order)
-    n = df.withColumn("_rn", F.row_number().over(by) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    left = n.where(F.col("_rn") < back).withColumn("_rn", -1 - F.col("_rn"))
-    right = n.where(F.col("_rn") >= F.col("_n") - ahead).withColumn("_rn", 2 * F.col("_n") - 1 - F.col("_rn"))
-    whole = n.withColumn("_own", F.lit(True)).unionByName(left.withColumn("_own", F.lit(False))).unionByName(right.withColumn("_own", F.lit(False)))
-    w = Window.partitionBy(key).orderBy("_rn").rowsBetween(-back, ahead)
-    return whole.withColumn(out, F.avg(value).over(w)).where("_own").select(*df.columns, out)
+    at, n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.count("*").over(Window.partitionBy(key))
+    numbered = df.withColumns({"_rn": at, "_n": n})
+    # rows near an end stand for their mirror images as well
+    places = F.array_compact(F.array(F.col("_rn"), F.when(F.col("_rn") < back, -1 - F.col("_rn")), F.when(F.col("_rn") >= F.col("_n") - ahead, 2 * F.col("_n") - 1 - F.col("_rn"))))
+    whole = numbered.withColumn("_place", F.explode(places))
+    w = Window.partitionBy(key).orderBy("_place").rowsBetween(-back, ahead)
+    return whole.withColumn(out, F.avg(value).over(w)).where("_place = _rn").select(*df.columns, out)
 
 
 def gradient(value: str, by: Window) -> Column:
@@ -39,16 +39,16 @@ def local_peaks(df: DataFrame, key: str, order: str, value: str = "change", fact
     """
     by = Window.partitionBy(key).orderBy(order)
     starts = F.when(F.lag(value).over(by) == F.col(value), 0).otherwise(1)
-    run = df.withColumns({"_start": starts, "_h": factor * F.stddev_pop(value).over(Window.partitionBy(key))})
-    run = run.withColumn("_run", F.sum("_start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy(key, "_run").orderBy(order)
-    flat = run.withColumns({"_at": F.row_number().over(inside) - 1, "_n": F.count("*").over(Window.partitionBy(key, "_run"))})
+    run = df.withColumns({"_peak_start": starts, "_peak_h": factor * F.stddev_pop(value).over(Window.partitionBy(key))})
+    run = run.withColumn("_peak_run", F.sum("_peak_start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy(key, "_peak_run").orderBy(order)
+    flat = run.withColumns({"_peak_at": F.row_number().over(inside) - 1, "_peak_n": F.count("*").over(Window.partitionBy(key, "_peak_run"))})
     # the neighbours of a plateau, as seen from its rows
-    flat = flat.withColumns({"_a": F.lag(value).over(by), "_b": F.lead(value).over(by)})
-    whole = Window.partitionBy(key, "_run")
-    flat = flat.withColumns({"_before": F.max(F.when(F.col("_at") == 0, F.col("_a"))).over(whole), "_after": F.max(F.when(F.col("_at") == F.col("_n") - 1, F.col("_b"))).over(whole)})
-    middle = F.col("_at") == F.floor((F.col("_n") - 1) / 2)
-    kept = flat.where(middle & (F.col(value) > F.col("_before")) & (F.col(value) > F.col("_after")) & (F.col(value) >= F.col("_h")))
+    flat = flat.withColumns({"_peak_a": F.lag(value).over(by), "_peak_b": F.lead(value).over(by)})
+    whole = Window.partitionBy(key, "_peak_run")
+    flat = flat.withColumns({"_peak_before": F.max(F.when(F.col("_peak_at") == 0, F.col("_peak_a"))).over(whole), "_peak_after": F.max(F.when(F.col("_peak_at") == F.col("_peak_n") - 1, F.col("_peak_b"))).over(whole)})
+    middle = F.col("_peak_at") == F.floor((F.col("_peak_n") - 1) / 2)
+    kept = flat.where(middle & (F.col(value) > F.col("_peak_before")) & (F.col(value) > F.col("_peak_after")) & (F.col(value) >= F.col("_peak_h")))
     return kept.select(*df.columns)
 
 

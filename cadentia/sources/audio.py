@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import signal
 
 SUFFIX = r"\.(wav|aiff?|mp3)$"
+GLOB = "*.{[wW][aA][vV],[aA][iI][fF],[aA][iI][fF][fF],[mM][pP]3}"
+#: Seconds of sound that are looked at together, of a chunk of features, and that two of these share.
+CHUNK_S, FEATURE_CHUNK_S, SHARED_S = 30, 30, 1
 #: Bytes of a file that its format is read from.
 HEADER_BYTES = 1 << 16
 # What an estimate assumes of a library.
@@ -22,10 +25,19 @@ class AudioError(ValueError):
     """A file that can't be decoded or used."""
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """Non-empty audio files of a folder, not of folders in it. Other files are not listed, so their contents are never read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(path).where("length > 0").withColumn("filename", F.element_at(F.split("path", "/"), -1))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(path, filename, length, content) of the non-empty audio files of a folder, once each."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").where(F.lower("path").rlike(SUFFIX))
-    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content")
+    return _files(spark, path).select("path", "filename", "length", "content")
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, filename, length) in the order of paths, without contents."""
+    return _files(spark, path).select("path", "filename", "length").orderBy("path")
 
 
 def _pcm(data: bytes, bits: int, big: bool, floating: bool, signed8: bool) -> np.ndarray:
@@ -79,8 +91,8 @@ def _format(name: bytes, chunk: bytes) -> tuple[int, int, int, bool, bool] | Non
     return None
 
 
-def decode(data: bytes) -> tuple[np.ndarray, int]:
-    """(channels x samples in -1..1, rate) of a PCM or float WAV or AIFF file."""
+def _body(data: bytes) -> tuple[tuple[int, int, int, bool, bool], bytes, bool]:
+    """(format, samples as bytes, whether it is a WAV file)."""
     wav, head, body = _is_wav(data), None, None
     for name, _, chunk in _walk(data):
         head = _format(name, chunk) or head
@@ -90,11 +102,47 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
             body = chunk[8 + struct.unpack(">I", chunk[:4])[0] :]
     if head is None or body is None or head[0] < 1 or head[1] < 1:
         raise AudioError("no format or no samples")
-    n, rate, bits, big, floating = head
+    return head, body, wav
+
+
+def decode(data: bytes) -> tuple[np.ndarray, int]:
+    """(channels x samples in -1..1, rate) of a PCM or float WAV or AIFF file."""
+    (n, rate, bits, big, floating), body, wav = _body(data)
     x = _pcm(body, bits, big, floating, not wav)
     return x[: len(x) // n * n].reshape(-1, n).T, rate
 
 
+class Reader:
+    """Mono samples of a file, decoded slice by slice: memory holds the file's bytes and one slice."""
+
+    def __init__(self, data: bytes):
+        (self.channels, self.rate, self.bits, self.big, self.floating), body, self.wav = _body(data)
+        self.body, self.step = memoryview(body), self.channels * self.bits // 8
+        self.length = len(body) // self.step
+
+    def samples(self, lo: int, hi: int) -> np.ndarray:
+        part = bytes(self.body[max(lo, 0) * self.step : min(hi, self.length) * self.step])
+        return _pcm(part, self.bits, self.big, self.floating, not self.wav).reshape(-1, self.channels).mean(axis=1)
+
+    def slices(self, size: int):
+        for lo in range(0, self.length, size):
+            yield self.samples(lo, lo + size)
+
+    def clean_up(self) -> tuple[float, float]:
+        """(offset, factor) of a usable signal, as `cleaned` applies them; AudioError for others."""
+        if self.length == 0 or self.length < self.rate:
+            raise AudioError("shorter than a second")
+        total, least, most = 0.0, np.inf, -np.inf
+        for part in self.slices(CHUNK_S * self.rate):
+            if not np.isfinite(part).all():
+                raise AudioError("not finite")
+            total, least, most = total + part.sum(), min(least, part.min()), max(most, part.max())
+        if max(abs(least), abs(most)) < 1e-6:
+            raise AudioError("silent")
+        mean = total / self.length
+        return mean, 0.9 / max(abs(least - mean), abs(most - mean), 1e-300)
+
+
 def header(data: bytes) -> tuple[int, int, int, float]:
     """(channels, rate, bits, seconds) from the first bytes of a WAV or AIFF file, without its samples."""
     wav, head, size = _is_wav(data), None, None
@@ -182,25 +230,123 @@ def features(files: DataFrame) -> DataFrame:
     return files.select("filename", "content").mapInArrow(run, "filename string, error string, key string, features map<string,double>")
 
 
+FRAME = ("t", "energy", "brightness", "rolloff", "bandwidth", "roughness", "zcr", "chroma_spread", "flux")
+
+
+def chunked_frames(reader: Reader, chunk_s: int = CHUNK_S):
+    """Frame tables of a cleaned file, a chunk at a time: numbers of the frames and their columns.
+
+    A chunk begins at a whole frame and reaches as far as its last frame does; it begins one frame early, so that the flux of
+    its first frame is known, and that frame is dropped again. So every frame comes once, as if the file were looked at whole.
+    """
+    offset, factor = reader.clean_up()
+    count = max(0, (reader.length - signal.N_FFT) // signal.HOP + 1)
+    step = max(1, chunk_s * reader.rate // signal.HOP)
+    for lo in range(0, count, step):
+        hi, early = min(lo + step, count), int(lo > 0)
+        y = (reader.samples((lo - early) * signal.HOP, (hi - 1) * signal.HOP + signal.N_FFT) - offset) * factor
+        table = {k: v[early:] for k, v in signal.frame_table(y, reader.rate).items()}
+        yield np.arange(lo, hi), table | {"t": table["t"] + (lo - early) * signal.HOP / reader.rate}
+
+
+def _readers(batch):
+    for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        try:
+            yield name, Reader(data.as_py())
+        except AudioError:
+            continue
+
+
 def frames(files: DataFrame) -> DataFrame:
-    """One row per frame of every usable file, of the cleaned signal."""
+    """One row per frame of every usable file, of the cleaned signal, looked at in chunks of bounded size."""
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for name, reader in _readers(batch):
                 try:
-                    x, sr = decode(data.as_py())
-                    t = signal.frame_table(cleaned(x.mean(axis=0), sr), sr)
+                    for at, t in chunked_frames(reader):
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at), *[pa.array(t[c]) for c in FRAME]], ["filename", "frame_idx", *FRAME])
                 except AudioError:
                     continue
-                if t:
-                    n = len(t["t"])
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n)), *[pa.array(v) for v in t.values()]], ["filename", "frame_idx", *t])
 
-    columns = ", ".join(f"{c} double" for c in ("t", "energy", "brightness", "rolloff", "bandwidth", "roughness", "zcr", "chroma_spread", "flux"))
+    columns = ", ".join(f"{c} double" for c in FRAME)
     return files.select("filename", "content").mapInArrow(run, f"filename string, frame_idx long, {columns}")
 
 
+def onsets(files: DataFrame) -> DataFrame:
+    """(filename, t) of every onset of every usable file."""
+
+    def run(batches):
+        for batch in batches:
+            for name, reader in _readers(batch):
+                try:
+                    offset, factor = reader.clean_up()
+                except AudioError:
+                    continue
+                m = signal.magnitudes((reader.samples(0, reader.length) - offset) * factor)
+                t = signal.tempo_and_onsets(m, reader.rate)[1]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(t), pa.string()), pa.array(t, pa.float64())], ["filename", "t"])
+
+    return files.select("filename", "content").mapInArrow(run, "filename string, t double")
+
+
+def trajectory(files: DataFrame) -> DataFrame:
+    """(filename, rn, time, energy, brightness, roughness, zcr, chroma_peak, chroma_spread): a row for every two seconds of a
+    usable file, from the spectra of its cleaned signal, a minute at a time."""
+    columns = ("time", "energy", "brightness", "roughness", "zcr", "chroma_peak", "chroma_spread")
+
+    def run(batches):
+        for batch in batches:
+            for name, reader in _readers(batch):
+                try:
+                    offset, factor = reader.clean_up()
+                except AudioError:
+                    continue
+                size, rn = -(-2 * reader.rate // signal.HOP), 0
+                count = max(0, (reader.length - signal.N_FFT) // signal.HOP + 1)
+                for lo in range(0, count, 30 * size):  # whole windows
+                    hi = min(lo + 30 * size, count)
+                    t = signal.window_table((reader.samples(lo * signal.HOP, (hi - 1) * signal.HOP + signal.N_FFT) - offset) * factor, reader.rate, lo)
+                    n = len(t["time"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(rn, rn + n)), *[pa.array(t[c], pa.string() if c == "chroma_peak" else pa.float64()) for c in columns]], ["filename", "rn", *columns])
+                    rn += n
+
+    return files.select("filename", "content").mapInArrow(run, "filename string, rn long, " + ", ".join(f"{c} {'string' if c == 'chroma_peak' else 'double'}" for c in columns))
+
+
+def _tables(files: DataFrame, rows_of, extra: str = "") -> DataFrame:
+    """(filename, [extra], features map) of what rows_of gives for each reader."""
+    names = [c.split()[0] for c in extra.split(", ") if c]
+
+    def run(batches):
+        for batch in batches:
+            for name, reader in _readers(batch):
+                rows = list(rows_of(reader))
+                cols = [pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.float64()) for i in range(len(names))]
+                maps = pa.array([list(r[-1].items()) for r in rows], pa.map_(pa.string(), pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *cols, maps], ["filename", *names, "features"])
+
+    return files.select("filename", "content").mapInArrow(run, f"filename string, {extra + ', ' if extra else ''}features map<string,double>")
+
+
+def chunk_features(files: DataFrame, seconds: float = FEATURE_CHUNK_S, shared: float = SHARED_S) -> DataFrame:
+    """(filename, chunk_index, chunk_start, chunk_end, features) of overlapping chunks; a chunk of under a second goes."""
+
+    def rows(reader: Reader):
+        step, size = round((seconds - shared) * reader.rate), round(seconds * reader.rate)
+        for i, lo in enumerate(range(0, reader.length, step)):
+            y = reader.samples(lo, lo + size)
+            if len(y) >= reader.rate and (got := signal.features(y, reader.rate)):
+                yield i, lo / reader.rate, (lo + len(y)) / reader.rate, {k: v for k, v in got.items() if k != "key"}
+
+    return _tables(files, rows, "chunk_index int, chunk_start double, chunk_end double")
+
+
+def tensor_features(files: DataFrame) -> DataFrame:
+    """(filename, features) of the whole-signal profile."""
+    return _tables(files, lambda reader: [(signal.tensor_profile(reader.samples(0, reader.length)),)])
+
+
 def validate_payloads(df: DataFrame, least: int = 1000, most: int = 104_857_600) -> DataFrame:
     """df(filename, content: base64) with errors: every reason for which a payload is refused."""
     size = F.octet_length(F.expr("try_to_binary(content, 'base64')"))
