@@ -28,6 +28,8 @@ from .common import cut, payloads, release_shuffles, remove, spans
 WIDTH, GRAM = 200, 64
 #: Runs that one anchor may bring to a bucket; anchors with more are split by longer cores.
 BUCKET_RUNS = 4000
+#: Runs from which an anchor or a name may count as hot, and one part in how many of all runs it must have: no more keys are hot.
+HOT_RUNS, HOT_KEYS = 4000, 10_000
 #: Bytes of run text that a bucket aims at.
 BUCKET_BYTES = 1 << 20
 
@@ -256,20 +258,30 @@ def _split_hot(rest: DataFrame, width: int, gram: int, bucket_runs: int) -> tupl
         rest = cut(joined.where("id = first.id and start = first.start").select("core", "id", "start", "body", F.col("known").alias("several")), "rest")
 
 
+def _among(rows: DataFrame, chosen: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """rows whose key is among the chosen ones: hot keys, HOT_KEYS at most, are looked up without a shuffle, others joined."""
+    few, many = chosen.join(F.broadcast(hot), on, "left_semi"), chosen.join(F.broadcast(hot), on, "left_anti")
+    cold = rows.join(F.broadcast(hot), on, "left_anti").join(many, on, "left_semi")
+    return cold.unionByName(rows.join(F.broadcast(few), on, "left_semi"))
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bucket_runs: int = BUCKET_RUNS) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): spans(id, start, windows) whose windows repeat, and texts(id, text) of the documents that may have some."""
     spark = docs.sparkSession
     all_runs = cut(runs(docs, width, gram), "runs")
-    shared = all_runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    held = cut(all_runs.join(shared, "anchor"), "shared")
+    shared = cut(all_runs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    many = max(HOT_RUNS, -(-all_runs.count() // HOT_KEYS))
+    hot = shared.where(F.col("c") >= many).select("anchor")
+    held = cut(_among(all_runs, shared.select("anchor"), hot, ["anchor"]), "shared")
     remove(spark, all_runs)
     release_shuffles(spark)
     names = held.groupBy("anchor", "name", "n").agg(F.count("*").alias("copies"), F.min(F.struct("id", "start")).alias("first"))
     names = cut(names, "names")
-    whole = held.join(names.where("copies > 1").select("anchor", "name", "n"), ["anchor", "name", "n"], "left_semi").select("id", "start", "n")
+    key = ["anchor", "name", "n"]
+    whole = _among(held, names.where("copies > 1").select(*key), names.where(F.col("copies") >= many).select(*key), key).select("id", "start", "n")
     # one run of each name stands for all; anchors with a single name have nothing to sort
     several = names.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    standing = names.join(several, "anchor").select("anchor", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "n", (F.col("copies") > 1).alias("several"))
+    standing = _among(names, several, hot, ["anchor"]).select("anchor", F.col("first.id").alias("id"), F.col("first.start").alias("start"), "n", (F.col("copies") > 1).alias("several"))
     lists = standing.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "n", "several")).alias("at"))
     touched = held.groupBy("id").agg(F.lit(1).alias("one")).join(lists, "id", "left").select("id", "at")
     texts = cut(docs.join(touched, "id").select("id", "text", "at"), "texts")
