@@ -158,15 +158,22 @@ def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, ef
 def links_between(graph: Graph, exact: np.ndarray, q_exact: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """(query, point) pairs with cosine of at least threshold in double precision.
 
-    Beams widen until an audit of sampled queries against brute force finds its recall. A query whose
-    whole beam is linked widens on its own, in the end to the whole shard.
+    Beams widen until two audits find their recall: sampled queries against brute force, and queries planted at a
+    cosine little above the threshold from sampled points, which must lead back to these; so recall is measured also where
+    no sampled query has a link. A query whose whole beam is linked is compared with the whole shard.
     """
     q = _unit(q_exact)
     slack = threshold - 1e-4
     n, ef = len(graph.x), min(EF, len(graph.x))
     sampled = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
     truth = q[sampled] @ graph.x.T >= slack
+    origin = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
+    planted = _planted(graph.x[origin], min(1.0, threshold + 0.01))
     while True:
+        back, _ = graph.search(planted, ef)
+        if ef < n and (back == origin[:, None]).any(axis=1).sum() < RECALL * _reachable(graph.x, planted, origin, ef):
+            ef = min(2 * ef, n)
+            continue
         ids, sim = graph.search(q, ef)
         found = np.zeros_like(truth)
         r, c = np.nonzero(sim[sampled] >= slack)
@@ -197,6 +204,22 @@ def links_between(graph: Graph, exact: np.ndarray, q_exact: np.ndarray, threshol
     return a[keep], b[keep]
 
 
+def _planted(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors at that cosine from the unit vectors x, in random directions."""
+    away = np.random.default_rng(len(x)).normal(size=x.shape)
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    size = np.sqrt((away**2).sum(axis=1, keepdims=True))
+    flat = size[:, 0] < 1e-9  # one dimension has no other direction
+    away = np.where(flat[:, None], 0, away / np.maximum(size, 1e-9))
+    return (np.where(flat, 1, cosine)[:, None] * x + np.sqrt(max(0.0, 1 - cosine**2)) * away).astype(np.float32)
+
+
+def _reachable(x: np.ndarray, planted: np.ndarray, origin: np.ndarray, ef: int) -> int:
+    """How many planted queries have their origin among their ef nearest points, so that a perfect beam would hold it."""
+    sim = planted @ x.T
+    return int(((sim > sim[np.arange(len(origin)), origin][:, None]).sum(axis=1) < ef).sum())
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     scaled = x / np.abs(x).max(axis=1, keepdims=True)
     return (scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))).astype(np.float32)

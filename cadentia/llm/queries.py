@@ -12,7 +12,7 @@ from . import decontaminate, hnsw, language, line_dedup, packing, sharding, simh
 from .common import fresh_path, held_out, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Target file size of the sharding query; small, so that compaction has several tiers at every scale.
+#: Target file size of the sharding query.
 SHARD_TARGET = 32 << 20
 
 
@@ -27,10 +27,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as it is read back from the compacted store: its shard, the version, and digests of the row."""
+    """Every document as it is read back from the newest version of the compacted store: its length and digest."""
     docs = table(spark, sf_dir, "documents")
     store, version = sharding.compact_table(docs, fresh_path(spark, "store"), SHARD_TARGET)
-    return store.read(version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.col("_shard").alias("shard"), F.lit(version).cast("long").alias("version"))
+    return store.read(version).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +108,16 @@ FROM e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+OP3_SQL = "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents"
+
+#: A SHA-1 in hexadecimal, five digits at a time, as four letters of base 32.
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS h FROM p), f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d JOIN f USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL, "op7_hnsw": OP7_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op3_sharding": OP3_SQL, "op6_warc": OP6_SQL, "op4_decontaminate": OP4_SQL, "op7_hnsw": OP7_SQL, "op9_line_dedup": OP9_SQL}
