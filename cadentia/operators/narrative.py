@@ -13,18 +13,13 @@ from .summaries import new_labels
 SENTENCES, LEAST_SENTENCES, LEAST_WORDS = 6, 3, 30
 LOUDEST = 0.3
 
-#: Two sentences for each type of section; {…} are columns of the section.
-TEMPLATES = {
-    "intro": ("{title} opens {adverb} at {clock} in a {mood} mood, {feature}.", "From {clock} the piece comes into being {adverb}: {mood}, {feature}."),
-    "rising": ("At {clock} it climbs {adverb}, {intensity} and {mood}, {feature}.", "The pull grows {adverb} from {clock}, {mood} in colour, {feature}."),
-    "climax": ("It reaches its {intensity} height at {clock}, {mood} throughout, {feature}.", "All of it meets at {clock}: {intensity}, {mood}, {feature}."),
-    "plateau": ("From {clock} it holds {adverb} to a {mood} level, {feature}.", "A {intensity} stretch begins at {clock}, {mood} and {arc}, {feature}."),
-    "falling": ("At {clock} it sinks {adverb} into a {mood} shade, {feature}.", "The weight leaves {adverb} from {clock}, {mood}, {feature}."),
-    "release": ("At {clock} it lets go {adverb}, {mood} after the strain, {feature}.", "Ease comes at {clock}: {mood}, {arc}, {feature}."),
-    "outro": ("It closes {adverb} from {clock}, {mood} to the end, {feature}.", "From {clock} {title} takes its leave {adverb}, {mood}, {feature}."),
-}
-ADVERBS = {"building": "with growing force", "releasing": "with fading force", "peak": "at full strength", "valley": "softly", "plateau": "evenly"}
-INTENSITY = {"intro": "quiet", "rising": "mounting", "climax": "fullest", "plateau": "steady", "falling": "waning", "release": "loosened", "outro": "faint"}
+#: What a section of each type does, and how it does it by its arc. Every second section is told the other way round.
+VERBS = {
+    "intro": "the piece comes into being", "rising": "it climbs", "climax": "everything meets", "plateau": "it keeps its level",
+    "falling": "it sinks", "release": "it lets go", "outro": "it takes its leave",
+}
+MANNERS = {"building": "with growing force", "releasing": "with fading force", "peak": "at full strength", "valley": "softly", "plateau": "evenly"}
+ORDERS = ("From {clock} {verb} {manner}, {mood} in mood, its layers {layers}.", "In a {mood} mood, its layers {layers}, {verb} {manner} at {clock}.")
 FILLER = "Nothing else breaks its line."
 
 
@@ -51,12 +46,11 @@ def prose(secs: DataFrame, key: str = "filename") -> DataFrame:
         "_tags": F.coalesce(F.col("tags") if "tags" in have else F.lit(None).cast("array<string>"), F.array().cast("array<string>")),
     })
     s = new_labels(s, "_tags", key, "section").withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("section")) - 1)
-    kind = F.when(F.col("section_type").isin(*TEMPLATES), F.col("section_type")).otherwise("plateau")
-    even = F.col("_i") % 2 == 0
-    said = F.when(even, _pick({k: v[0] for k, v in TEMPLATES.items()}, kind, "plateau")).otherwise(_pick({k: v[1] for k, v in TEMPLATES.items()}, kind, "plateau"))
+    kind = F.when(F.col("section_type").isin(*VERBS), F.col("section_type")).otherwise("plateau")
+    said = F.when(F.col("_i") % 2 == 0, ORDERS[0]).otherwise(ORDERS[1])
     fill = {
-        "title": stem(F.col(key)), "clock": clock(F.col("start")), "adverb": _pick(ADVERBS, F.col("arc"), "plateau"), "intensity": _pick(INTENSITY, kind, "plateau"),
-        "mood": F.translate("_mood", "_", " "), "arc": F.coalesce("arc", F.lit("plateau")), "feature": F.when(F.col("arc").isin("building", "peak"), "its layers thickening").otherwise("its layers spread thin"),
+        "clock": clock(F.col("start")), "verb": _pick(VERBS, kind, "plateau"), "manner": _pick(MANNERS, F.col("arc"), "plateau"), "mood": F.translate("_mood", "_", " "),
+        "layers": F.when(F.col("arc").isin("building", "peak"), "thickening").otherwise("spread thin"),
     }
     for name, value in fill.items():
         said = F.replace(said, F.lit("{" + name + "}"), value)

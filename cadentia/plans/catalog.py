@@ -676,10 +676,10 @@ def _case(table: dict[str, str], c: str) -> str:
     return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{table['plateau']}' END"
 
 
-_SAID = f"CASE WHEN section % 2 = 1 THEN {_case({k: v[0] for k, v in narrative.TEMPLATES.items()}, 'section_type')} ELSE {_case({k: v[1] for k, v in narrative.TEMPLATES.items()}, 'section_type')} END"
+_SAID = f"CASE WHEN section % 2 = 1 THEN '{narrative.ORDERS[0]}' ELSE '{narrative.ORDERS[1]}' END"
 for _name, _value in {
-    "title": "filename", "clock": "printf('%d:%02d', CAST(floor(start / 60) AS BIGINT), CAST(floor(start) AS BIGINT) % 60)", "adverb": _case(narrative.ADVERBS, "arc"), "intensity": _case(narrative.INTENSITY, "section_type"),
-    "mood": "'neutral'", "arc": "arc", "feature": "CASE WHEN arc IN ('building', 'peak') THEN 'its layers thickening' ELSE 'its layers spread thin' END",
+    "clock": "printf('%d:%02d', CAST(floor(start / 60) AS BIGINT), CAST(floor(start) AS BIGINT) % 60)", "verb": _case(narrative.VERBS, "section_type"), "manner": _case(narrative.MANNERS, "arc"),
+    "mood": "'neutral'", "layers": "CASE WHEN arc IN ('building', 'peak') THEN 'thickening' ELSE 'spread thin' END",
 }.items():
     _SAID = f"replace({_SAID}, '{{{_name}}}', {_value})"
 
@@ -694,7 +694,10 @@ def section_prose(spark, sf):
     return narrative.prose(typed(spark, sf).withColumn("tags", F.array("arc", "section_type")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SECS}, told AS (SELECT filename, section, {_SAID} AS said FROM typed),
+g AS (SELECT filename, string_agg(said, ' ' ORDER BY section) FILTER (WHERE section <= 6) AS body, count(*) FILTER (WHERE section <= 6) AS k, count(*) AS secs FROM told GROUP BY filename),
+f AS (SELECT *, body || repeat(' {narrative.FILLER}', greatest(0, 3 - k)) AS text FROM g), l AS (SELECT filename, max(stop) AS duration FROM typed GROUP BY filename)
+SELECT filename, duration, text || CASE WHEN len(string_split(text, ' ')) < 30 THEN ' In all, ' || filename || ' passes through ' || secs || ' sections from its first sound to its last, each leading to the next without a break.' ELSE '' END AS narrative, secs AS sections, least(3, (SELECT count(*) FROM g) - 1) AS similar FROM f JOIN l USING (filename)""")
 def piece_narratives(spark, sf):
     """The whole narrative table, as questions are asked of it."""
     t, p = typed(spark, sf), points(spark, sf)
