@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,7 @@ def analyze(spark: SparkSession, path: str, out: str, sequence: bool = False, n_
     """All tables of a folder under out: CSV of features, phases, clusters, moods, tags, edges and rejected files, narratives as JSON and
     Markdown, one JSON document, a report, and a manifest. Returns the rows of each table."""
     files = audio.scan(spark, path)
+    began = time.time()
     t = recordings.tables(files, sequence, n_clusters)
     tracks = t["tracks"]
     told = {
@@ -43,7 +46,7 @@ def analyze(spark: SparkSession, path: str, out: str, sequence: bool = False, n_
     write = lambda df, at: df.coalesce(1).write.mode("overwrite").text(f"{out}/{at}")
     write(sinks.document({"tracks": tracks, "phases": tools.phase_answer(t["phases"]), "clusters": tools.cluster_answer(t["profiles"])}), "reports/json")
     write(spark.createDataFrame([(sinks.report("Library", recordings.summaries_of(t)),)], "value string"), "reports/markdown")
-    write(spark.createDataFrame([(sinks.manifest(counts),)], "value string"), "manifest")
+    write(spark.createDataFrame([(sinks.manifest(counts, export_directory=out, export_timestamp=datetime.datetime.now().isoformat(), files_analyzed=counts["features"], seconds=round(time.time() - began, 1)),)], "value string"), "manifest")
     return counts
 
 

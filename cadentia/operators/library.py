@@ -25,20 +25,26 @@ def finite(c: str) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def quantile(c: str, p: float, accuracy: int | None = None) -> Column:
+    """The value below which a share p of a column lies: exact with interpolation, from the column's distinct values; with accuracy
+    approximate, with a rank error of 1 / accuracy at most and a sketch of bounded size."""
+    return F.percentile(c, p) if accuracy is None else F.percentile_approx(c, p, accuracy).cast("double")
+
+
 def fill_rule(name: str) -> str:
     """How a column's gaps are filled, by the first part of its name that is known."""
     known = (("energy", "zero"), ("rms", "zero"), ("spectral", "median"), ("centroid", "median"), ("tempo", "mean"), ("duration", "mean"), ("mfcc", "zero"))
     return next((how for part, how in known if part in name), "median")
 
 
-def clean(df: DataFrame, numeric: list[str]) -> DataFrame:
+def clean(df: DataFrame, numeric: list[str], accuracy: int | None = None) -> DataFrame:
     """Non-finite values become gaps; gaps are filled by name; tempo, duration, energy, spectral and crossing values are clipped.
 
     Crossings without a value are 0.05, numbers of phases whole and 1 at least. Text columns are trimmed, and
     empty texts and the words nan, none and null become unknown.
     """
     f = df.withColumns({c: finite(c) for c in numeric})
-    stat = {"median": F.median, "mean": F.avg}
+    stat = {"median": lambda c: quantile(c, 0.5, accuracy), "mean": F.avg}
     wanted = {c: stat[fill_rule(c)](c).alias(f"_{c}") for c in numeric if fill_rule(c) in stat and "tempo" not in c and "zero_crossing" not in c and c != "num_phases"}
     if wanted:
         f = f.crossJoin(F.broadcast(f.agg(*wanted.values())))  # one row
@@ -61,11 +67,12 @@ def clean(df: DataFrame, numeric: list[str]) -> DataFrame:
     return f.withColumns(out).select(*df.columns)
 
 
-def scale(df: DataFrame, columns: list[str], how: str = "standard") -> DataFrame:
+def scale(df: DataFrame, columns: list[str], how: str = "standard", accuracy: int | None = None) -> DataFrame:
     """Columns standardised (population deviation), scaled to 0..1, or by median and quartiles; a flat column is only shifted."""
     stats = []
     for c in columns:
-        a, b = {"standard": (F.avg(c), F.stddev_pop(c)), "minmax": (F.min(c), F.max(c) - F.min(c)), "robust": (F.median(c), F.percentile(c, 0.75) - F.percentile(c, 0.25))}[how]
+        q = lambda p: quantile(c, p, accuracy)  # noqa: B023, E731
+        a, b = {"standard": (F.avg(c), F.stddev_pop(c)), "minmax": (F.min(c), F.max(c) - F.min(c)), "robust": (q(0.5), q(0.75) - q(0.25))}[how]
         stats += [a.alias(f"_{c}_a"), b.alias(f"_{c}_b")]
     one = df.agg(*stats)
     made = {c: (F.col(c) - F.col(f"_{c}_a")) / F.when(F.col(f"_{c}_b") == 0, 1.0).otherwise(F.col(f"_{c}_b")) for c in columns}
@@ -108,16 +115,16 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
 # ---- statistics -----------------------------------------------------------------------------------
 
 
-def feature_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
+def feature_statistics(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     u = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns)
-    g = u.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.median("value").alias("median"))
+    g = u.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), quantile("value", 0.5, accuracy).alias("median"))
     return g.withColumn("range", F.col("max") - F.col("min")).withColumn("cv", F.when(F.col("mean") == 0, 0.0).otherwise(F.col("std") / F.abs("mean")))
 
 
-def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+def describe(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
     """count, mean, std, least, most and quartiles by linear interpolation."""
     u = unpivot(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns)
-    return u.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), *[F.percentile("value", p).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)])
+    return u.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), *[quantile("value", p, accuracy).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75)])
 
 
 def data_quality(df: DataFrame) -> DataFrame:

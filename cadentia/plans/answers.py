@@ -173,6 +173,14 @@ def numeric_projection(spark, sf):
     return library.unpivot(n.agg(*[F.count(c).alias(c) for c in n.columns]), [], n.columns).select(F.col("feature").alias("name"), F.col("value").alias("n"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'unknown' WHEN p_size % 6 = 1 THEN 'unknown' WHEN p_size % 6 = 2 THEN 'unknown' ELSE p_brand END AS brand, CASE WHEN p_size % 4 = 0 THEN 0.05::DOUBLE ELSE least(1.0::DOUBLE, p_size / 40) END AS zero_crossing_rate_mean, CAST(greatest(1, floor(p_size / 4)) AS INT) AS num_phases FROM part")
+def clean_text_and_counts(spark, sf):
+    p, n = _t(spark, sf, "part"), F.col("p_size")
+    brand = F.when(n % 6 == 0, "  ").when(n % 6 == 1, "NaN").when(n % 6 == 2, None).otherwise(F.concat(F.lit(" "), "p_brand", F.lit(" ")))
+    df = p.select("p_partkey", brand.alias("brand"), F.when(n % 4 != 0, n / 40.0).alias("zero_crossing_rate_mean"), (n / 4.0).alias("num_phases"))
+    return library.clean(df, ["zero_crossing_rate_mean", "num_phases"])
+
+
 # ---- phases from frames -----------------------------------------------------------------------------
 
 #: Events as frames, two seconds each: sr and hop that give these.

@@ -31,13 +31,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import answers  # noqa: F401  registers its own
+    from . import answers, spectra  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import answers  # noqa: F401
+    from . import answers, spectra  # noqa: F401
 
     return dict(_SQL)
 
@@ -514,7 +514,12 @@ def opening_track(spark, sf):
     return o.orderBy(F.desc("opening"), "filename").limit(1).select("filename", "opening")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLAYLIST}, e AS (SELECT a.filename AS src, b.filename AS dst, {TRANSITION} AS score FROM playlist a JOIN playlist b ON a.filename <> b.filename), n AS (SELECT count(*) AS n FROM playlist),
+m AS (SELECT map_from_entries(list((src || '>' || dst, score))) AS s FROM e), o AS (SELECT filename FROM (SELECT filename, {OPENING} AS opening FROM playlist) ORDER BY opening DESC, filename LIMIT 1),
+r(tour) AS (SELECT [filename] FROM o UNION ALL (SELECT list_append(tour, arg_max(dst, (score, -rk))) FROM (SELECT tour, dst, score, row_number() OVER (ORDER BY dst) AS rk FROM r JOIN e ON e.src = tour[len(tour)] AND NOT list_contains(tour, dst)) GROUP BY tour)),
+w(i, t) AS (SELECT 1, tour FROM r, n WHERE len(tour) = n UNION ALL SELECT i + 1, CASE WHEN s[t[i] || '>' || t[i + 2]] + s[t[i + 2] || '>' || t[i + 1]] + coalesce(s[t[i + 1] || '>' || t[i + 3]], 0) > s[t[i] || '>' || t[i + 1]] + s[t[i + 1] || '>' || t[i + 2]] + coalesce(s[t[i + 2] || '>' || t[i + 3]], 0)
+  THEN list_concat(list_concat(t[1:i], [t[i + 2], t[i + 1]]), t[i + 3:]) ELSE t END FROM w, m, n WHERE i < n - 1)
+SELECT CAST(generate_subscripts(t, 1) AS INT) AS position, unnest(t) AS filename FROM w, n WHERE i = n - 1""")
 def greedy_sequence(spark, sf):
     return library.sequence(playlist(spark, sf)).select("position", "filename")
 

@@ -364,3 +364,34 @@ def payloads(df: DataFrame) -> DataFrame:
     """The valid payloads of df as files."""
     ok = validate_payloads(df).where(F.size("errors") == 0)
     return ok.select("filename", F.expr("try_to_binary(content, 'base64')").alias("content"))
+
+
+def sampled_frames(samples: DataFrame, sr: int) -> DataFrame:
+    """Frame tables of samples(filename, i, x) at a rate: sound that comes as rows. A file's samples are one group, as its bytes are one value."""
+
+    def one(frame):
+        import pandas as pd
+
+        y = frame.sort_values("i").x.to_numpy(float)
+        t = signal.frame_table(y, sr)
+        n = len(t["t"]) if t else 0
+        name = pd.Series([frame.filename.iloc[0]] * n, dtype=object)
+        return pd.DataFrame({"filename": name, "frame_idx": np.arange(n), **{c: t[c] if t else np.empty(0) for c in FRAME}})
+
+    return samples.groupBy("filename").applyInPandas(one, "filename string, frame_idx long, " + ", ".join(f"{c} double" for c in FRAME))
+
+
+def sampled_features(samples: DataFrame, sr: int, tensor: bool = False) -> DataFrame:
+    """(filename, feature, value, key) of samples(filename, i, x, and y for a second channel) at a rate; with tensor the whole-signal profile."""
+
+    def one(frame):
+        import pandas as pd
+
+        frame = frame.sort_values("i")
+        x, other = frame.x.to_numpy(float), frame.y.to_numpy(float)
+        got = signal.tensor_profile(x) if tensor else signal.features(x, sr, np.stack([x, other])) or {}
+        key = got.pop("key", None)
+        text = lambda values: pd.Series(values, dtype=object)
+        return pd.DataFrame({"filename": text([frame.filename.iloc[0]] * len(got)), "feature": text(list(got)), "value": np.array(list(got.values()), float), "key": text([key] * len(got))})
+
+    return samples.groupBy("filename").applyInPandas(one, "filename string, feature string, value double, key string")
