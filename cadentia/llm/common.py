@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -44,8 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Deletes, at its end, the tables that this thread wrote to the shared folder meanwhile, other than those whose paths are put into the set it gives."""
+    outer, kept = getattr(_scratch, "paths", None), set()
+    _scratch.paths = made = []
+    try:
+        yield kept
+    finally:
+        _scratch.paths = outer
+        if outer is not None:
+            outer.extend(p for p in made if p in kept)
+        remove(spark, *[p for p in made if p not in kept])
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/cadentia/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cadentia/{label}-{uuid.uuid4().hex}"
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -58,11 +80,15 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def path_of(table: DataFrame) -> str | None:
+    """Where cut() wrote a table; None for others."""
+    return getattr(table, "_cadentia_path", None)
+
+
 def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete tables made by cut() that no later step reads."""
     for x in tables:
-        path = x if isinstance(x, str) else getattr(x, "_cadentia_path", None)
-        if path:
+        if path := x if isinstance(x, str) else path_of(x):
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
