@@ -188,10 +188,12 @@ def transition_score(a: str, b: str, use_cluster: bool = False) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def transitions(tracks: DataFrame, key: str = "filename", use_cluster: bool = False) -> DataFrame:
-    """(src, dst, score) of every ordered pair of tracks: the operator is defined on all pairs of a playlist."""
+def transitions(tracks: DataFrame, key: str = "filename", use_cluster: bool = False, playlist: str | None = None) -> DataFrame:
+    """(src, dst, score) of every ordered pair of tracks of a playlist: the operator is defined on all of them. Without a column
+    that names playlists the whole table is one."""
     t = tracks.fillna(DEFAULTS)
-    return t.alias("a").join(t.alias("b"), F.col(f"a.{key}") != F.col(f"b.{key}")).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), transition_score("a", "b", use_cluster).alias("score"))
+    apart = F.col(f"a.{key}") != F.col(f"b.{key}")
+    return t.alias("a").join(t.alias("b"), apart & (F.col(f"a.{playlist}") == F.col(f"b.{playlist}")) if playlist else apart).select(F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), transition_score("a", "b", use_cluster).alias("score"))
 
 
 def opening_score(tracks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.aggregates import mean_spectrum
 from ..operators import checks, clusters, collection, flow, labels, library, phases, sections, tools, views
 from .catalog import (
     _BEST, _NUM, CHANGE, CLASSED, PARTS, PHASES, PLAYLIST, POINTS, SCORED, TEX, TRACKS, _r, _t, best_tags, parts, phase_rows, playlist, points, query, tracks,
@@ -446,6 +447,12 @@ def lloyd_iterations(spark, sf):
     return spark.createDataFrame([(i, *c) for i, c in enumerate(at)], "k long, x double, y double").select("k", _r("x").alias("x"), _r("y").alias("y"))
 
 
+@query("SELECT label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(64)) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, dim")
+def mean_spectra(spark, sf):
+    m = _t(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v")).groupBy("label").agg(mean_spectrum("v").alias("m"))
+    return m.select("label", F.posexplode("m").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), _r("x").alias("x"))
+
+
 @query("SELECT o_orderkey, round(sum(o_totalprice) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS total, round((row_number() OVER (ORDER BY o_orderkey) - 1) * 100.0::DOUBLE / (count(*) OVER () - 1), 6) AS position_pct FROM (SELECT o_orderkey, round(o_totalprice) AS o_totalprice FROM orders)")
 def running_total_of_all(spark, sf):
     """Without a key: whole numbers, so that partial sums are exact."""

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 from cadentia.streaming import live
+from cadentia.streaming.progress import Progress
 
 
 def points(name, jump, n=60):
@@ -36,3 +39,19 @@ def test_limits_of_a_stream(spark, tmp_path):
     q = live.limits(stream).writeStream.format("memory").queryName("limits").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     assert q.awaitTermination(180)
     assert {(r.filename, r.t) for r in spark.sql("select * from limits").collect()} == {("a", 50.0), ("b", 80.0)}
+
+
+def test_progress_tells_batches(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    for i in range(2):
+        spark.range(10).coalesce(1).write.mode("append").parquet(path)
+    told = Progress()
+    spark.streams.addListener(told)
+    q = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(path).writeStream.format("memory").queryName("told").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    for _ in range(100):
+        if told.messages and told.messages[-1] == "done":
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(told)
+    assert told.messages == ["started told", "batch 0: 10 rows", "batch 1: 10 rows", "done"]
