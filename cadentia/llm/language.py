@@ -61,7 +61,10 @@ def count_languages(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in alphabetical order and their log-likelihoods of the buckets; languages without a trigram are left out."""
+    """Languages in alphabetical order and their log-likelihoods of the buckets; languages without a trigram are left out.
+
+    The driver gets a row for each language and bucket, BUCKETS of them a language at most, whatever the number of documents.
+    """
     rows = count_languages(docs).toPandas()
     names = sorted(rows.lang.unique().tolist())
     counts = np.zeros((len(names), BUCKETS))
@@ -140,6 +143,10 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     Null texts, texts without a letter, and all texts if the model has no language are `und` with score 0 and
     no languages. A text with letters but no trigram takes the first language in
     alphabetical order with score 1 / languages. Ties go to the alphabetically first language.
+    Every row is judged by its own text alone: rows that repeat an id, or have none, get a row each. An empty
+    table gives no rows.
+    Every row is judged by its own text alone: rows that repeat an id, or have none, get a row each. An empty
+    table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -186,12 +186,16 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     that clean documents hold now and then is better than some of its forms that they happen to lack, as
     scores go by length. Its weight is its log-odds. Phrases of a lexicon word and a neighbour that clean
     documents hold become exceptions. With no toxic or no clean training document the lexicon is empty.
+
+    A label stands for one text: of rows that repeat a doc_id the smallest text is learned from, of repeated labels the
+    greatest. Null ids, labels and texts are left out. Of equally good terms the shorter, then the alphabetically first enters.
     """
     spark = docs.sparkSession
     rows = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training_rows).collect()  # bounded by training_rows
     picked = spark.createDataFrame([(r.doc_id, int(r.toxic)) for r in sample], "_id long, _toxic int")
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).where("text is not null")
+    joined = joined.groupBy("_id", "_toxic").agg(F.min("text").alias("text"))  # one text an id, so no more rows than labels
     n_toxic = sum(int(r.toxic) > 0 for r in sample)
     n_clean = len(sample) - n_toxic
     if not n_toxic or not n_clean:
@@ -261,7 +265,9 @@ def _phrases(text: str, weights: dict[str, float]) -> list[str]:
 def toxicity(docs: DataFrame, lexicon: Lexicon, keep_columns: str | None = None) -> DataFrame:
     """doc_id, score and predicted of every row of docs. With keep_columns: docs with the score under that new name.
 
-    Whole texts are scored. Null and empty texts have no match and get the score of a clean text.
+    Whole texts are scored, each by itself: rows that repeat a doc_id, or have none, get a row each with the score of their own
+    text, and equal texts get equal scores. Null and empty texts have no match and get the score of a clean text. An empty table
+    gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
     picked = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

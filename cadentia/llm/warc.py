@@ -6,6 +6,7 @@ The archives are written and read through Spark's own file sources, so any store
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import struct
 
@@ -57,14 +58,16 @@ def record(page_id: int | str, url: str, payload: bytes, refers_to: int | str |
 
 
 def archive(records: list[bytes]) -> bytes:
-    """Zstandard frames of the records behind a skippable frame with their dictionary."""
-    trained = b""
+    """Zstandard frames of the records behind a skippable frame with their dictionary.
+
+    The dictionary is trained on a sample of the records; where they are too few or too alike to learn from it is the beginning
+    of the first one, as raw content.
+    """
+    trained = records[0][:DICTIONARY_BYTES] if records else b""
     if len(records) >= 16:
         step = max(1, len(records) // DICTIONARY_SAMPLES)
-        try:
+        with contextlib.suppress(zstandard.ZstdError):
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, [r[:32768] for r in records[::step]], k=64, d=8).as_bytes()
-        except zstandard.ZstdError:
-            trained = b""  # too little to learn from: the frames stand alone
     shared = zstandard.ZstdCompressionDict(trained) if trained else None
     pack = zstandard.ZstdCompressor(level=3, dict_data=shared, write_checksum=True, write_content_size=True)
     packed = zstandard.ZstdCompressor(level=3).compress(trained)
