@@ -145,8 +145,6 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     alphabetical order with score 1 / languages. Ties go to the alphabetically first language.
     Every row is judged by its own text alone: rows that repeat an id, or have none, get a row each. An empty
     table gives no rows.
-    Every row is judged by its own text alone: rows that repeat an id, or have none, get a row each. An empty
-    table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
