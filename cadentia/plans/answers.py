@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.aggregates import mean_spectrum
 from ..operators import checks, clusters, collection, flow, labels, library, phases, sections, tools, views
+from ..sources import sinks
 from .catalog import (
-    _BEST, _NUM, CHANGE, CLASSED, PARTS, PHASES, PLAYLIST, POINTS, SCORED, TEX, TRACKS, _r, _t, best_tags, parts, phase_rows, playlist, points, query, tracks,
+    _BEST, _NUM, CHANGE, CLASSED, PARTS, PHASES, PLAYLIST, FALLBACK, POINTS, SCORED, SECS, TEX, TRACKS, _r, _t, best_tags, parts, phase_rows, playlist, points, query, tracks, typed,
 )
 
 # ---- buckets, names, clocks -------------------------------------------------------------------------
@@ -127,6 +128,32 @@ def latest_export(spark, sf):
     return views.latest(_t(spark, sf, "orders").select(F.concat(F.lit("out/run_"), views.stamp(F.col("o_orderdate"))).alias("path")))
 
 
+@query(f"""WITH {TRACKS} SELECT filename, CASE WHEN bandwidth < 1000 AND zcr < 0.1 THEN 'analog_synth' WHEN brightness > 2000 AND bandwidth < 800 THEN 'digital_synth' WHEN bandwidth > 1800 AND zcr > 0.1 THEN 'acoustic_instrument' WHEN bandwidth > 2000 THEN 'rich_texture'
+  WHEN bandwidth < 600 THEN 'pure_tone' WHEN rolloff > 4000 THEN 'bright_harmonics' WHEN rolloff < 2000 THEN 'warm_harmonics' ELSE 'unknown' END AS character FROM tracks""")
+def character_fallback(spark, sf):
+    c = F.col
+    return tracks(spark, sf).select("filename", labels.fallback_character(c("brightness"), c("bandwidth"), c("rolloff"), c("zcr")).alias("character"))
+
+
+@query("SELECT p_partkey, CASE p_size % 7 WHEN 0 THEN -1 WHEN 1 THEN -1 WHEN 2 THEN -1 WHEN 3 THEN -1 WHEN 4 THEN -1 ELSE CAST(p_size AS DOUBLE) END AS x FROM part")
+def safe_casts(spark, sf):
+    """Numbers that came as text, with words and infinities among them."""
+    p, n = _t(spark, sf, "part"), F.col("p_size") % 7
+    given = F.when(n == 0, "nan").when(n == 1, None).when(n == 2, "Infinity").when(n == 3, "none").when(n == 4, "12 bpm").otherwise(F.col("p_size").cast("string"))
+    return p.select("p_partkey", labels.to_number(given, -1.0).alias("x"))
+
+
+@query("""SELECT CASE WHEN p_size % 5 = 0 THEN 'Unknown' ELSE p_brand END AS name, round_even(p_retailprice / 7, 1) AS tempo_bpm, round_even(p_retailprice / 7, 2) AS spectral_centroid_mean, round_even(p_retailprice / 7, 4) AS avg_energy, round_even(p_retailprice / 7, 3) AS onset_density,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE round_even(p_retailprice / 7, 2) END AS duration, p_brand || ', ' || p_type AS tags FROM part""")
+def export_rounding(spark, sf):
+    p, x, n = _t(spark, sf, "part"), F.col("p_retailprice") / 7, F.col("p_size")
+    told = p.select(
+        F.when(n % 5 != 0, F.col("p_brand")).alias("name"), x.alias("tempo_bpm"), x.alias("spectral_centroid_mean"), x.alias("avg_energy"), x.alias("onset_density"),
+        F.when(n % 3 == 0, float("nan")).otherwise(x).alias("duration"), F.array("p_brand", "p_type").alias("tags"),
+    )
+    return sinks.exported(told)
+
+
 # ---- checks -----------------------------------------------------------------------------------------
 
 
@@ -472,3 +499,29 @@ def similarity_edges(spark, sf):
     t = sections.texture_fingerprint(points(spark, sf)).withColumn("structure", F.col("texture"))
     e = sections.edges(sections.similar(t))
     return e.select("filename_a", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_ROW = "CASE WHEN {a} BETWEEN r.{b}_lo AND r.{b}_hi THEN {w}::DOUBLE ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE {SECS}, slices AS (SELECT filename, section, greatest(0, mid - half) AS a, greatest(0, mid - half) + 2 * half AS b FROM (SELECT *, (start + stop) / 2 AS mid, least(20, stop - start) / 2 AS half FROM secs) WHERE 2 * half >= 0.5),
+me AS (SELECT c.filename, c.section, any_value(b - a) AS duration, avg(energy) / 500 AS energy, avg(brightness) AS brightness, avg(zcr) AS zcr FROM slices c JOIN points p ON p.filename = c.filename AND p.time >= a AND p.time < b GROUP BY c.filename, c.section),
+hits AS (SELECT c.filename, c.section, count(*) AS n FROM slices c JOIN points p ON p.filename = c.filename AND p.chroma_spread = 0.5 AND p.time + 0.5::DOUBLE >= a AND p.time + 0.5::DOUBLE < b GROUP BY c.filename, c.section),
+t AS (SELECT me.*, brightness * 0.3::DOUBLE AS bandwidth, zcr AS roughness, coalesce(n, 0) / duration AS onset FROM me LEFT JOIN hits USING (filename, section)), r({", ".join(rules.moods()[0])}) AS (VALUES {rules.as_values(rules.moods())}),
+raw AS (SELECT t.filename, t.section, r.ord, r.name, CASE WHEN r.name = 'synthetic' AND zcr > 0.05 THEN 0 ELSE ({" + ".join(_ROW.format(a=k, b=k, w=w) for k, w in labels.MOOD_WEIGHTS.items())} + CASE WHEN duration >= r.min_duration THEN 1.0::DOUBLE ELSE 0 END) / 12 END AS s FROM t, r),
+d AS (SELECT filename, section, arg_min(name, ord) AS mood FROM raw WHERE CASE WHEN s > 0.8::DOUBLE THEN least(1.0::DOUBLE, s * 1.1::DOUBLE) ELSE s END >= 0.7::DOUBLE GROUP BY filename, section)
+SELECT t.filename, t.section, coalesce(mood, {FALLBACK}) AS mood FROM t LEFT JOIN d USING (filename, section)""")
+def section_moods(spark, sf):
+    """The first mood that the middle of each section meets, with events as frames."""
+    p = points(spark, sf)
+    frames = p.select("filename", F.col("time").alias("t"), (F.col("energy") / 500).alias("energy"), "brightness", "zcr", (F.col("brightness") * 0.3).alias("bandwidth"), (F.col("brightness") * 1.5).alias("rolloff"))
+    labelled = flow.section_labels(typed(spark, sf), frames, _onsets(spark, sf))
+    return labelled.where("mood is not null").select("filename", F.col("section").cast("long").alias("section"), "mood")
+
+
+@query(f"""WITH {TRACKS}, z AS (SELECT filename, (energy - avg(energy) OVER ()) / stddev_pop(energy) OVER () AS a, (brightness - avg(brightness) OVER ()) / stddev_pop(brightness) OVER () AS b FROM tracks), c AS (SELECT sign(corr(energy, brightness)) AS s, abs(corr(energy, brightness)) AS r FROM tracks)
+SELECT filename, round(abs(a + s * b) / sqrt(2), 5) AS pc1, round(abs(a - s * b) / sqrt(2), 5) AS pc2, round((1 + r) / 2, 6) AS explained FROM z, c""")
+def pca_of_two(spark, sf):
+    """Two columns have known axes: their sum and their difference; the sign of an axis is free."""
+    out, share = clusters.pca(tracks(spark, sf), ["energy", "brightness"])
+    return out.select("filename", _r(F.abs("pc1"), 5).alias("pc1"), _r(F.abs("pc2"), 5).alias("pc2"), F.round(F.lit(share[0]), 6).alias("explained"))
