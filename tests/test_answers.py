@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -29,6 +31,12 @@ def duck():
     return con
 
 
+def test_names_are_known_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(set(e.oracle_sql()) <= set(e.queries()))"], cwd=root, capture_output=True, text=True)
+    assert out.stdout.strip() == "True", out.stderr
+
+
 def told(v) -> str:
     return ("nan" if math.isnan(v) else repr(v + 0.0)) if isinstance(v, float) else str(v)
 
