@@ -104,13 +104,18 @@ def trend(first: Column, last: Column, n: Column, short: str = "static") -> Colu
 
 
 def structure(df: DataFrame, key: str = "filename", order: str = "phase_number") -> DataFrame:
-    """Structural features of each track from its classified phases(duration, energy, brightness, phase_type)."""
+    """Structural features of each track from its classified phases(duration, energy, brightness, phase_type).
+
+    The means behind the trends are summed in the order of the phases, so a ratio on a limit falls on the same side each time.
+    """
     rn = F.row_number().over(Window.partitionBy(key).orderBy(order))
     n = F.count("*").over(Window.partitionBy(key))
     q = F.greatest(F.lit(1), F.floor(F.col("_n") / 4))
     marked = df.withColumns({"_rn": rn, "_n": n}).withColumn("_q", q)
     first, last = F.col("_rn") <= F.col("_q"), F.col("_rn") > F.col("_n") - F.col("_q")
-    out = marked.groupBy(key).agg(
+    ordered = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {f"_{v}_{s}": F.avg(F.when(c, F.col(v))).over(ordered) for v in ("energy", "brightness") for s, c in (("a", first), ("b", last))}
+    out = marked.withColumns(ends).groupBy(key).agg(
         F.count("*").alias("num_phases"),
         (F.max("energy") - F.min("energy")).alias("energy_range"),
         (F.max("brightness") - F.min("brightness")).alias("brightness_range"),
@@ -120,7 +125,7 @@ def structure(df: DataFrame, key: str = "filename", order: str = "phase_number")
         F.bool_or(F.col("phase_type").contains("Breakdown")).alias("has_breakdown"),
         F.bool_or(F.col("phase_type").contains("Build-up")).alias("has_build_up"),
         F.countDistinct("phase_type").alias("structural_complexity"),
-        *[F.avg(F.when(c, F.col(v))).alias(f"_{v}_{s}") for v in ("energy", "brightness") for s, c in (("a", first), ("b", last))],
+        *[F.max(c).alias(c) for c in ends],  # equal in all rows of a key
     )
     made = {f"{v}_progression": trend(F.col(f"_{v}_a"), F.col(f"_{v}_b"), F.col("num_phases")) for v in ("energy", "brightness")}
     return out.withColumns(made).drop("_energy_a", "_energy_b", "_brightness_a", "_brightness_b")
