@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, payloads, remove, spans
+from .common import components, cut, payloads, remove, spans
 from .simhash import xxh64_slices
 
 WORDS = 5
@@ -18,6 +18,8 @@ BANDS, ROWS = 16, 4
 LEAF, SMALL = 2048, 8
 #: Vantage sets of a leaf, and following bands by which crowded bands are ordered.
 VANTAGES, NEXT = 3, 4
+#: Points outside the largest component of a crowded band that one block asks for.
+ASKED = 512
 
 U64 = np.uint64
 _rng = np.random.default_rng(5)
@@ -160,30 +162,116 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def _crowded(hot: DataFrame) -> DataFrame:
-    """(leaf, rep) of the members (band, rep, next) of bands with more than LEAF: in the order of their next bands they are dealt
-    into overlapping leaves, so that members that also agree there meet, and leaves of near copies hang together."""
-    half = LEAF // 2
-    ranged = hot.repartitionByRange("band", "next", "rep").sortWithinPartitions("band", "next", "rep")
-    placed = cut(ranged.select("band", "rep", F.monotonically_increasing_id().alias("at")), "crowded")
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(hashes, begin, count, owner, size) of sets: owner[begin[i] : begin[i] + count[i]] hold hashes[i]."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(sets)), size)[order]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    return flat[begin], begin, np.diff(np.append(begin, len(flat))), owner, size
+
+
+def _alike(own: np.ndarray, index: tuple[np.ndarray, ...], least: float) -> list[int]:
+    """The indexed sets that have a Jaccard similarity of least or more with a set."""
+    hashes, begin, count, owner, size = index
+    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+    at = at[hashes[at] == own]
+    n = count[at]
+    both = np.bincount(owner[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(size))
+    return np.flatnonzero(both >= least * (size + len(own) - both)).tolist()
+
+
+def _asked(least: float):
+    """mapInArrow function: links (src, dst) of rows (leaf, asks, rep, label, hashes) that come sorted by leaf, those that ask
+    first: between these and the others, where their labels are not linked yet. Only those that ask are held."""
+
+    def run(batches):
+        leaf, held, index, above = None, [], None, {}
+
+        def top(x: int) -> int:
+            while x in above:
+                x = above[x]
+            return x
+
+        for batch in batches:
+            out = []
+            for at, asks, rep, label, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != leaf:
+                    leaf, held, index, above = at, [], None, {}
+                own = np.frombuffer(hashes, U64)
+                if asks:
+                    held.append((rep, label, own))
+                    continue
+                index = index or _index([x[2] for x in held])
+                for i in _alike(own, index, least):
+                    a, b = top(held[i][1]), top(label)
+                    if a != b:
+                        out.append((held[i][0], rep))
+                        above[max(a, b)] = min(a, b)
+            yield _links(out)
+
+    return run
+
+
+def _ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with rank, their place in an order; no task holds more than a range of them."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranged.withColumn("at", F.monotonically_increasing_id()), "ranked")
     each = placed.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count("*").alias("n")).collect()  # a row for each partition
     offsets, total = [], 0
     for r in sorted(each, key=lambda r: r.p):
         offsets.append((r.p, total))
         total += r.n
-    before = F.broadcast(hot.sparkSession.createDataFrame(offsets, "p long, n long"))
+    before = F.broadcast(rows.sparkSession.createDataFrame(offsets, "p long, n long"))
     placed = placed.join(before, F.shiftright("at", 33) == F.col("p"))
-    rank = F.col("n") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    chunk = F.floor(rank / half)
-    return placed.select(F.explode(F.array(F.xxhash64("band", chunk), F.xxhash64("band", chunk + 1))).alias("leaf"), "rep")
+    return placed.select(*rows.columns, (F.col("n") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+
+
+def _crowded(hot: DataFrame) -> DataFrame:
+    """(leaf, rep) of the members (band, rep, next) of bands with more than LEAF: in the order of their next bands they are dealt
+    into overlapping leaves, so that members that also agree there meet, and leaves of near copies hang together."""
+    chunk = F.floor(F.col("rank") / (LEAF // 2))
+    return _ranked(hot, "band", "next", "rep").select(F.explode(F.array(F.xxhash64("band", chunk), F.xxhash64("band", chunk + 1))).alias("leaf"), "rep")
+
+
+def _rest(hot: DataFrame, sets: DataFrame, links: DataFrame, least: float) -> DataFrame | None:
+    """The links between members (band, rep) of crowded bands that links leave apart; None where there is nothing to ask.
+
+    Members of one component need no comparison, so every member outside the largest component of its band is compared with
+    all members of the band. Both sides come in blocks in the order of their sizes, and only blocks whose sizes allow the
+    similarity meet: with many outsiders this costs the square of their number, and leaves nothing out.
+    """
+    spark = hot.sparkSession
+    found = components(links, "crowds")
+    sized = sets.select("rep", (F.octet_length("hashes") / 8).cast("long").alias("size"))
+    told = hot.select("band", "rep").join(sized, "rep").join(found, F.col("rep") == F.col("node"), "left")
+    told = cut(told.select("band", "rep", "size", F.coalesce("component", "rep").alias("label")), "told")
+    main = told.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    outside = cut(told.join(F.broadcast(main), "band").where("label <> main").drop("main"), "outside")  # main: a row for each crowded band
+    bands = outside.select("band").distinct()
+    if bands.isEmpty():
+        remove(spark, told, outside)
+        return None
+    asking = _ranked(outside, "band", "size", "rep").withColumn("ours", F.floor(F.col("rank") / ASKED))
+    asked = _ranked(told.join(F.broadcast(bands), "band"), "band", "size", "rep").withColumn("theirs", F.floor(F.col("rank") / LEAF))
+    block = lambda df, at, lo, hi: df.groupBy("band", at).agg(F.min("size").alias(lo), F.max("size").alias(hi))
+    meet = block(asking, "ours", "a", "b").join(block(asked, "theirs", "c", "d"), "band").where((F.col("b") >= least * F.col("c")) & (F.col("d") >= least * F.col("a")))
+    meet = F.broadcast(cut(meet.select("band", "ours", "theirs", F.xxhash64("band", "ours", "theirs").alias("leaf")), "meet"))
+    deal = lambda df, at, asks: df.join(meet, ["band", at]).select("leaf", F.lit(asks).alias("asks"), "rep", "label")
+    dealt = deal(asking, "ours", True).unionByName(deal(asked, "theirs", False)).join(sets, "rep").select("leaf", "asks", "rep", "label", "hashes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = cut(dealt.repartition(parts, "leaf").sortWithinPartitions("leaf", F.desc("asks")).mapInArrow(_asked(least), "src long, dst long"), "rest")
+    remove(spark, told, outside)
+    return out
 
 
 def similar_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Links (src, dst) that span the groups of ids of docs(id: long, text), ids unique, whose shingle sets have a Jaccard similarity of least or more.
 
     Texts of one set are one point. Points that agree in a band are compared by their whole sets, in leaves of a bounded
-    number of points: a band of up to LEAF points is one leaf, larger ones are parted (`_crowded`). No band, partner or pair
-    is left out of a leaf; leaves emit spanning links, not pairs. Null and wordless texts link with nothing here.
+    number of points: a band of up to LEAF points is one leaf, larger ones are parted (`_crowded`), and what their leaves leave apart
+    is compared block by block (`_rest`), so the components of every band are exact. Leaves emit spanning links, not pairs. Null
+    and wordless texts link with nothing here.
     """
     spark = docs.sparkSession
     sketches = cut(docs.mapInArrow(_sketch, "id long, shingles long, bands array<long>"), "sketches")
@@ -197,12 +285,13 @@ def similar_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
     middle = members.where((F.col("n") > SMALL) & (F.col("n") <= LEAF)).select(F.col("band").alias("leaf"), "rep")
     hot = members.where(F.col("n") > LEAF).select("band", "rep", "tree")
     leaves = small.unionByName(middle)
-    if not hot.isEmpty():
+    if crowded := not hot.isEmpty():
         following = F.expr(f"transform(sequence(1, {NEXT}), i -> bands[(tree + i) % {BANDS}])")
         leaves = leaves.unionByName(_crowded(hot.join(points, "rep").select("band", "rep", following.alias("next"))))
     sets = cut(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id").select("id", "text").mapInArrow(_sets, "rep long, hashes binary"), "sets")
     dealt = leaves.join(sets, "rep").select("leaf", "rep", "hashes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = cut(dealt.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(_leaves(least), "src long, dst long"), "alike")
+    rest = _rest(hot, sets, found, least) if crowded else None
     remove(spark, sketches, points, members, sets)
-    return copies.unionByName(found)
+    return copies.unionByName(found) if rest is None else copies.unionByName(found).unionByName(rest)
