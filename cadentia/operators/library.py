@@ -209,37 +209,97 @@ def opening_score(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("opening", score)
 
 
+class _Scorer:
+    """`transition_score` over the arrays of one playlist, its columns without nulls: nothing of the size of all pairs is held."""
+
+    def __init__(self, rows: pd.DataFrame):
+        kinds = rows[["key", "mood", "character"]].astype(str).agg(tuple, axis=1)
+        self.kind, names = pd.factorize(kinds)
+        related = [set(rules.edges(t)) for t in (rules.KEY_EDGES, rules.MOOD_EDGES, rules.CHARACTER_EDGES)]
+        points = ((10, 5), (4, 7), (4, 2))  # the same, related
+        one = lambda x, y: sum(same if a == b else near if (a, b) in r else 0 for a, b, r, (same, near) in zip(x, y, related, points, strict=True))
+        self.names, self.one, self.made = list(names), one, {}
+        self.sure = rows.key_confidence.to_numpy(float) > 0.7
+        self.tempo, self.energy, self.brightness, self.duration = (rows[c].to_numpy(float) for c in ("tempo", "energy", "brightness", "duration"))
+        self.fit = (self.duration > 30) & (self.duration < 300)
+        codes, unique = pd.factorize(rows.src)
+        self.name = codes if len(unique) < len(rows) else None
+
+    def kept(self, at: np.ndarray) -> _Scorer:
+        """The scorer of some of the rows."""
+        out = object.__new__(_Scorer)
+        out.__dict__ |= {k: v[at] if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
+        return out
+
+    def kinds(self, kind: int) -> np.ndarray:
+        if kind not in self.made:
+            self.made[kind] = np.array([self.one(self.names[kind], x) for x in self.names], np.int8)
+        return self.made[kind]
+
+    def score(self, whole: _Scorer, i: int) -> np.ndarray:
+        """Scores of playing each row after row i of whole; -1 for rows of its own name."""
+        s = self.kinds(whole.kind[i])[self.kind]
+        if whole.sure[i]:
+            s += self.sure * np.int8(2)
+        gap = np.abs(self.tempo - whole.tempo[i])
+        s += (gap < 10) * np.int8(3) + (gap < 20) * np.int8(3) + (gap < 40) * np.int8(2)
+        rise = self.energy - whole.energy[i]
+        gap = np.abs(rise)
+        s += (gap < 0.02) * np.int8(3) + (gap < 0.05) * np.int8(3) + ((rise > 0) & (rise < 0.03)) * np.int8(3)
+        if whole.fit[i]:
+            s += self.fit * np.int8(3)
+        s += whole.duration[i] < self.duration
+        gap = np.abs(self.brightness - whole.brightness[i])
+        s += (gap < 500) * np.int8(2) + (gap < 1000) * np.int8(1) + np.int8(2)
+        return s if self.name is None else np.where(self.name == whole.name[i], np.int8(-1), s)
+
+
+def _walk(rows: pd.DataFrame) -> list[int]:
+    """The tour of rows that come sorted by name. Rows that are taken are dropped from the arrays now and then."""
+    whole = _Scorer(rows)
+    tour = [int(rows.opening.to_numpy().argmax())] if len(rows) else []
+    at = np.delete(np.arange(len(rows)), tour)
+    left, gone = whole.kept(at), np.zeros(len(at), bool)
+    while len(tour) < len(rows):
+        s = left.score(whole, tour[-1])
+        s[gone] = -2
+        j = int(s.argmax())
+        tour.append(int(at[j]))
+        gone[j] = True
+        if (len(rows) - len(tour)) * 16 < len(at) * 15:
+            at = at[~gone]
+            left, gone = whole.kept(at), np.zeros(len(at), bool)
+    scored: dict[tuple[int, int], int] = {}
+
+    def step(x: int, y: int) -> int:
+        if (x, y) not in scored:
+            scored[x, y] = int(whole.kept(np.array([y])).score(whole, x)[0])
+        return scored[x, y]
+
+    total = lambda s: sum(step(x, y) for x, y in zip(s, s[1:], strict=False))
+    for i in range(1, len(tour) - 1):
+        lo = max(i - 1, 0)
+        now, other = tour[lo : i + 3], [*tour[lo:i], tour[i + 1], tour[i], *tour[i + 2 : i + 3]]
+        if total(other) > total(now):
+            tour[i], tour[i + 1] = tour[i + 1], tour[i]
+    return tour
+
+
 def sequence(tracks: DataFrame, key: str = "filename", playlist: str | None = None) -> DataFrame:
     """(playlist, position, key): from the best opening track always on to the best next one, then one pass of swaps of
-    neighbours that raise the total. Each step depends on the last, so a playlist is one pandas group; split a
-    library into playlists (the column playlist) to order more than a few thousand tracks."""
+    neighbours that raise the total. Each step depends on the last, so a playlist is one pandas group, whose scores are made
+    as they are asked for: its memory grows with its tracks, its time with their square. Without a column that names
+    playlists the whole table is one."""
     t = opening_score(tracks.fillna(DEFAULTS)).withColumn("_p", F.col(playlist).cast("string") if playlist else F.lit("all"))
-    pairs = t.alias("a").join(t.alias("b"), (F.col("a._p") == F.col("b._p")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
-    edge = pairs.select(F.col("a._p").alias("playlist"), F.col(f"a.{key}").alias("src"), F.col(f"b.{key}").alias("dst"), transition_score("a", "b").alias("score"))
-    names = t.select(F.col("_p").alias("playlist"), F.col(key).alias("src"), "opening")
-
-    def walk(k, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("src").reset_index(drop=True)
-        at = {s: i for i, s in enumerate(a.src)}
-        m = np.full((len(a), len(a)), -1.0)
-        m[b.src.map(at).to_numpy(int), b.dst.map(at).to_numpy(int)] = b.score
-        tour = [int(a.opening.to_numpy().argmax())] if len(a) else []
-        free = np.ones(len(a), bool)
-        free[tour] = False
-        while free.any():
-            tour.append(int(np.where(free, m[tour[-1]], -2).argmax()))
-            free[tour[-1]] = False
-        total = lambda s: sum(m[x, y] for x, y in zip(s, s[1:], strict=False))
-        for i in range(1, len(tour) - 1):
-            lo = max(i - 1, 0)
-            now, other = tour[lo : i + 3], [*tour[lo:i], tour[i + 1], tour[i], *tour[i + 2 : i + 3]]
-            if total(other) > total(now):
-                tour[i], tour[i + 1] = tour[i + 1], tour[i]
+    rows = t.select(F.col("_p").alias("playlist"), F.col(key).alias("src"), "opening", *DEFAULTS)
+
+    def walk(k, a: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("src", kind="stable").reset_index(drop=True)
+        tour = _walk(a)
         return pd.DataFrame({"playlist": k[0], "position": np.arange(1, len(tour) + 1), "name": a.src.to_numpy()[tour]})
 
     kind = tracks.schema[key].dataType.simpleString()
-    out = names.groupBy("playlist").cogroup(edge.groupBy("playlist")).applyInPandas(walk, f"playlist string, position int, name {kind}")
-    return out.withColumnRenamed("name", key)
+    return rows.groupBy("playlist").applyInPandas(walk, f"playlist string, position int, name {kind}").withColumnRenamed("name", key)
 
 
 def running_total(df: DataFrame, order: str, value: str, within: str | None = None, buckets: int = 200) -> DataFrame:
