@@ -12,6 +12,7 @@ from ..sources import sinks
 from .catalog import (
     _BEST, _NUM, CHANGE, CLASSED, PARTS, PHASES, PLAYLIST, FALLBACK, POINTS, SCORED, SECS, TEX, TRACKS, _r, _t, best_tags, parts, phase_rows, playlist, points, query, tracks, typed,
 )
+from .shared import settle
 
 # ---- buckets, names, clocks -------------------------------------------------------------------------
 
@@ -496,7 +497,7 @@ _EDGE_TEX = f"{POINTS}, {TEX}"
 SELECT filename_a, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY filename_a ORDER BY score DESC) AS rank FROM s) WHERE rank <= 3""")
 def similarity_edges(spark, sf):
     """Edges by texture alone; of pieces equally alike which comes first is left open."""
-    t = sections.texture_fingerprint(points(spark, sf)).withColumn("structure", F.col("texture"))
+    t = settle(sections.texture_fingerprint(points(spark, sf)), "prints").withColumn("structure", F.col("texture"))
     e = sections.edges(sections.similar(t))
     return e.select("filename_a", _r("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
