@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from .library import finite, scale
 
 RESTARTS, ITERATIONS, SEED = 10, 300, 42
+#: Centers that move by no more than this have arrived.
+TOLERANCE = 1e-4
+#: Values that the driver holds (16 MB); larger tables are passed over by tasks. Rows of a task at least.
+HELD, TASK_ROWS = 2_000_000, 20_000
 MOST_CLUSTERS, LLOYD_STEPS = 10, 50
 
 
@@ -33,6 +37,102 @@ def _fit(v: DataFrame, k: int, restarts: int, seed: int = SEED):
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
+def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances (rows x centers)."""
+    return ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+
+
+def _matrices(batches):
+    for batch in batches:
+        if batch.num_rows:
+            yield np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float)
+
+
+def _draws(centers: list[np.ndarray], seed: int):
+    """mapInArrow function: the row (run, clock, v) of a partition that k-means++ would draw next for each run, by exponential clocks."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rng, best = np.random.default_rng([seed, len(centers[0]), TaskContext.get().partitionId() if TaskContext.get() else 0]), {}
+        for x in _matrices(batches):
+            for r, own in enumerate(centers):
+                weight = _squares(x, own).min(axis=1) if len(own) else np.ones(len(x))
+                clock = rng.exponential(size=len(x)) / np.maximum(weight, 1e-300)
+                i = int(clock.argmin())
+                if r not in best or clock[i] < best[r][0]:
+                    best[r] = float(clock[i]), x[i].tolist()
+        yield pa.RecordBatch.from_pydict({"run": list(best), "clock": [c for c, _ in best.values()], "v": [v for _, v in best.values()]}, pa.schema([("run", pa.int64()), ("clock", pa.float64()), ("v", pa.list_(pa.float64()))]))
+
+    return run
+
+
+def _sums(centers: dict[int, np.ndarray]):
+    """mapInArrow function: (run, center, n, cost, s0 ..) of a partition: the rows nearest to each center, added up."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = {r: (np.zeros((len(c), 2)), np.zeros(c.shape)) for r, c in centers.items()}
+        for x in _matrices(batches):
+            for r, own in centers.items():
+                d = _squares(x, own)
+                at = d.argmin(axis=1)
+                held[r][0][:, 0] += np.bincount(at, minlength=len(own))
+                held[r][0][:, 1] += np.bincount(at, d[np.arange(len(x)), at], minlength=len(own))
+                np.add.at(held[r][1], at, x)
+        rows = [(r, c, *n[c], *s[c]) for r, (n, s) in held.items() for c in range(len(n))]
+        width = next(iter(centers.values())).shape[1]
+        names = ["run", "center", "n", "cost", *[f"s{i}" for i in range(width)]]
+        types = [pa.int64(), pa.int64(), *[pa.float64()] * (2 + width)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _best_centers(v: DataFrame, n: int, k: int, restarts: int, seed: int = SEED) -> tuple[list[list[float]], float]:
+    """(centers, sum of squared distances) of the best of several k-means++ starts, all of them in the same passes over the n rows."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = v.select(vector_to_array("_v").alias("x")).coalesce(max(1, n // TASK_ROWS))
+    width = len(x.first().x)
+    held = x.toArrow().to_batches() if n * width <= HELD else None
+    local = lambda f: [row for batch in f(iter(held)) for row in batch.to_pylist()]
+    at = [np.empty((0, width)) for _ in range(restarts)]
+    for _ in range(k):
+        draw = _draws(at, seed)
+        drawn = local(draw) if held is not None else x.mapInArrow(draw, "run long, clock double, v array<double>").groupBy("run").agg(F.min_by("v", "clock").alias("v")).collect()  # a row for each run
+        at = [np.vstack([at[r["run"]], r["v"]]) for r in sorted(drawn, key=lambda r: r["run"])]
+    fields = ["n", "cost", *[f"s{i}" for i in range(width)]]
+
+    def passed(runs: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        out = {r: np.zeros((k, len(fields))) for r in runs}
+        if held is not None:
+            told = local(_sums(runs))
+        else:
+            sums = x.mapInArrow(_sums(runs), "run long, center long, " + ", ".join(f"{f} double" for f in fields))
+            told = sums.groupBy("run", "center").agg(*[F.sum(f).alias(f) for f in fields]).collect()  # k rows for each run
+        for row in told:
+            out[row["run"]][row["center"]] = [row[f] for f in fields]
+        return out
+
+    moving = dict(enumerate(at))
+    for _ in range(ITERATIONS):
+        sums = passed(moving)
+        for r, own in list(moving.items()):
+            n = sums[r][:, :1]
+            at[r] = np.where(n > 0, sums[r][:, 2:] / np.maximum(n, 1), own)  # a center without rows stays
+            moving[r] = at[r]
+            if np.sqrt(((at[r] - own) ** 2).sum(axis=1)).max() <= TOLERANCE:
+                del moving[r]
+        if not moving:
+            break
+    cost = {r: float(s[:, 1].sum()) for r, s in passed(dict(enumerate(at))).items()}
+    best = min(cost, key=cost.get)
+    return at[best].tolist(), cost[best]
+
+
 def kmeans(df: DataFrame, columns: list[str], k: int | None = None, seed: int = SEED, restarts: int = RESTARTS) -> DataFrame:
     """df with cluster, by k-means over the standardised columns. Without k it is chosen by `choose_k`."""
     return kmeans_with_centers(df, columns, k, seed, restarts)[0]
@@ -42,24 +142,24 @@ def kmeans_with_centers(df: DataFrame, columns: list[str], k: int | None = None,
     """(df with cluster, the centers in the units of the columns, the sum of squared distances in scaled units)."""
     v = _assembled(df, columns).persist()
     try:
-        k = min(k or choose_k(v, v.count()), max(1, v.count()))
+        n = v.count()
+        k = min(k or choose_k(v, n), max(1, n))
         stats = impute_means(df, columns).agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         spread = {c: stats[f"s_{c}"] or 1.0 for c in columns}
         if k == 1:
-            total = sum((stats[f"s_{c}"] or 0) ** 2 / spread[c] ** 2 for c in columns) * v.count()
+            total = sum((stats[f"s_{c}"] or 0) ** 2 / spread[c] ** 2 for c in columns) * n
             return df.withColumn("cluster", F.lit(0)), [{c: stats[f"m_{c}"] for c in columns}], total
-        model = _fit(v, k, restarts, seed)
-        centers = [{c: float(x * spread[c] + stats[f"m_{c}"]) for c, x in zip(columns, center, strict=True)} for center in model.clusterCenters()]
-        return _labelled(df, columns, model), centers, float(model.summary.trainingCost)
+        at, cost = _best_centers(v, n, k, restarts, seed)
+        centers = [{c: float(x * spread[c] + stats[f"m_{c}"]) for c, x in zip(columns, center, strict=True)} for center in at]
+        return _labelled(df, columns, at), centers, cost
     finally:
         v.unpersist()
 
 
-def _labelled(df: DataFrame, columns: list[str], model) -> DataFrame:
-    """df with the cluster of the nearest center, by an expression over the columns as the model scaled them."""
+def _labelled(df: DataFrame, columns: list[str], at: list[list[float]]) -> DataFrame:
+    """df with the cluster of the nearest center, by an expression over the scaled columns."""
     f = impute_means(df.withColumns({f"_x_{c}": F.col(c) for c in columns}), [f"_x_{c}" for c in columns])
     s = scale(f, [f"_x_{c}" for c in columns])
-    at = [[float(x) for x in center] for center in model.clusterCenters()]
     return s.withColumn("cluster", nearest(F.array(*[F.col(f"_x_{c}") for c in columns]), at)).select(*df.columns, "cluster")
 
 
